@@ -114,3 +114,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Polynomial hashes of byte strings modulo 2**64: an odd base, and a value for each byte.
+BASE = 0x9E3779B97F4A7C15
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64, for i below n at least."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x)
+    return _powers[0], _powers[1]
+
+
+def prefix_hashes(data: bytes) -> np.ndarray:
+    """p with hash(data[a:b]) = (p[b] - p[a]) * inverse[a]."""
+    values = BYTES[np.frombuffer(data, np.uint8)]
+    powers, _ = power_table(len(values) + 1)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])))

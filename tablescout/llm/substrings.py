@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.dealing import Doc, ask_and_answer, least_positions, mix
+from tablescout.llm.dealing import BASE, BYTES, Doc, ask_and_answer, least_positions, mix, power_table
 
 WINDOW = 20
 GRAM = 3
@@ -26,32 +26,56 @@ GRAM = 3
 STEP = 1 << 18
 
 
-def _grams(words: list[bytes], gram: int) -> np.ndarray:
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
-    out = h[: len(h) - gram + 1].copy()
-    for i in range(1, gram):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - gram + 1 + i]
-    return mix(out)
-
-
-def _superkmers(docs: list[Doc], window: int, gram: int):
-    """For runs of documents: (first row, words, row of each super-k-mer, its
-    first word in `words`, its windows, its minimiser, first word of each row)."""
-    at = 0
-    while at < len(docs):
-        words: list[bytes] = []
-        begin: list[int] = []
-        first = at
-        while at < len(docs) and (not words or len(words) < STEP):
-            begin.append(len(words))
-            words += docs[at][1].split()
-            at += 1
-        ends = np.array([*begin[1:], len(words)])
-        starts = np.array(begin)
-        pieces = []
-        for lo in range(0, len(words) - window + 1, STEP):
-            hi = min(lo + STEP, len(words) - window + 1)  # windows lo .. hi
-            grams = _grams(words[lo : hi + window - 1], gram)
+_NONE = -(1 << 63)  # a null id counts as the smallest
+
+
+def word_hashes(joined: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the words of `joined`; offsets: where each starts, and one past the end plus one."""
+    values = BYTES[np.frombuffer(joined, np.uint8)]
+    powers, inverse = power_table(len(values) + 2)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])))
+    return mix((prefix[offsets[1:] - 1] - prefix[offsets[:-1]]) * inverse[offsets[:-1]])
+
+
+class _Block:
+    """The super-k-mers of a block's documents, in document order.  Arrays with
+    an entry each: row (document), at (first word, counted in `words` of its
+    piece), place (first word in its document), n (windows), key (minimiser),
+    number (equal super-k-mers have the same).  `strings` cuts the packed
+    strings of given ones."""
+
+    def __init__(self, docs: list[Doc], window: int, gram: int):
+        self.docs, self.window, self.gram = docs, window, gram
+        self.doc_of = np.array([_NONE if d is None else d for d, _ in docs], np.int64)
+        self.pieces: list[tuple[int, bytes, np.ndarray, np.ndarray]] = []  # first row, joined words, offsets of words, first word of rows
+        found: list[tuple[np.ndarray, ...]] = []
+        at = 0
+        while at < len(docs):
+            texts: list[bytes] = []
+            begin, first = [0], at
+            while at < len(docs) and begin[-1] < STEP:
+                texts.append(b" ".join(docs[at][1].split()))
+                begin.append(begin[-1] + (texts[-1].count(b" ") + 1 if texts[-1] else 0))
+                at += 1
+            joined = b" ".join([t for t in texts if t])
+            offsets = np.concatenate(([0], np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1, [len(joined) + 1]))
+            self.pieces.append((first, joined, offsets, np.array(begin)))
+            found += self._find(joined, offsets, np.array(begin), first, len(self.pieces) - 1)
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)] * 2
+        self.piece, self.row, self.at, self.place, self.n, self.key, self.hash = columns
+        self._number()
+
+    def _find(self, joined: bytes, offsets: np.ndarray, begin: np.ndarray, first: int, piece: int):
+        window, gram, ends, starts = self.window, self.gram, begin[1:], begin[:-1]
+        total = int(begin[-1])
+        for lo in range(0, total - window + 1, STEP):
+            hi = min(lo + STEP, total - window + 1)  # windows lo .. hi
+            cut = offsets[lo : hi + window]
+            part = word_hashes(joined[cut[0] : cut[-1] - 1], cut - cut[0])
+            grams = part[: len(part) - gram + 1]
+            for i in range(1, gram):
+                grams = grams * np.uint64(BASE) + part[i : len(part) - gram + 1 + i]
+            grams = mix(grams)
             where = least_positions(grams, window - gram + 1)
             index = np.arange(lo, hi)
             row = np.searchsorted(ends, index, side="right")
@@ -60,129 +84,153 @@ def _superkmers(docs: list[Doc], window: int, gram: int):
             if not len(index):
                 continue
             new = np.flatnonzero(np.concatenate(([True], (np.diff(where) != 0) | (np.diff(index) != 1) | (np.diff(row) != 0))))
-            n = np.diff(np.append(new, len(index)))
-            pieces.append((row[new], index[new], n, grams[where[new]]))
-        row, s, n, key = (np.concatenate(c) for c in zip(*pieces, strict=True)) if pieces else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        yield first, words, row, s, n, key, starts, ends
-
-
-def _distinct(docs: list[Doc], buckets: int, window: int, gram: int):
-    """All super-k-mers of a block; equal ones have one number.  Returns the
-    runs of documents with their numbers, and for each number bucket, key, packed string, first document and place."""
-    number: dict[bytes, int] = {}
-    firsts: list[tuple] = []
-    runs = []
-    for first, words, row, s, n, key, starts, ends in _superkmers(docs, window, gram):
-        ids = np.empty(len(s), np.int64)
-        local = (s - starts[row]).tolist() if len(s) else []
-        for k, (r, a, m, h) in enumerate(zip(row.tolist(), s.tolist(), n.tolist(), key.tolist(), strict=True)):
-            packed = b" ".join(words[a : a + m + window - 1])
-            i = number.setdefault(packed, len(firsts))
-            ids[k] = i
-            doc = docs[first + r][0]
-            if i == len(firsts):
-                firsts.append((h % buckets, h, packed, doc, local[k], m))
-            elif firsts[i][3] == doc and local[k] < firsts[i][4]:
-                firsts[i] = (*firsts[i][:4], local[k], m)
-        runs.append((first, words, row, s, n, ids, starts, ends))
-    return runs, firsts
-
-
-_NONE = -(1 << 63)  # a null id counts as the smallest
+            n, at, row = np.diff(np.append(new, len(index))), index[new], row[new]
+            powers, inverse = power_table(len(part) + 1)
+            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(part) * powers[: len(part)])))
+            whole = (prefix[at - lo + n + window - 1] - prefix[at - lo]) * inverse[at - lo]
+            yield np.full(len(at), piece), row + first, at, at - starts[row], n, grams[where[new]], mix(whole + n.astype(np.uint64))
+
+    def strings(self, which: np.ndarray) -> list[bytes]:
+        out: list[bytes] = []
+        for p in range(len(self.pieces)):  # `which` ascends, and so do pieces
+            mine = which[self.piece[which] == p]
+            _, joined, offsets, _ = self.pieces[p]
+            a, b = offsets[self.at[mine]], offsets[self.at[mine] + self.n[mine] + self.window - 1] - 1
+            out += [joined[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return out
+
+    def _number(self) -> None:
+        """Numbers by 64-bit hash; equal hashes are compared as strings, and hashed anew if those differ."""
+        rank = np.unique(self.doc_of, return_inverse=True)[1][self.row] if len(self.row) else self.row
+        while True:
+            order = np.lexsort((self.place, rank, self.hash))
+            same = np.concatenate(([False], self.hash[order][1:] == self.hash[order][:-1])) if len(order) else np.zeros(0, bool)
+            self.number = np.empty(len(order), np.int64)
+            self.number[order] = np.cumsum(~same) - 1
+            self.first = order[~same]  # of each number, the earliest
+            again = np.sort(order[same])
+            origin = self.first[self.number[again]]
+            uniq, back = np.unique(origin, return_inverse=True)
+            kept = self.strings(uniq)
+            if all(x == kept[y] for x, y in zip(self.strings(again), back.tolist(), strict=True)):
+                return
+            wrong = [k for k, x, y in zip(again.tolist(), self.strings(again), back.tolist(), strict=True) if x != kept[y]]
+            self.hash[wrong] = [xxhash.xxh64_intdigest(x, 1) for x in self.strings(np.array(wrong))]
+
+    def by_bucket(self, buckets: int) -> dict[int, np.ndarray]:
+        """bucket -> numbers, in the order in which they are asked."""
+        bucket = (self.key[self.first] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        return {int(bucket[g[0]]): g for g in np.split(order, cuts) if len(g)}
 
 
 def _ask(window: int, gram: int):
     def ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-        _, firsts = _distinct(docs, buckets, window, gram)
-        out: dict[int, list] = {}
-        for f in firsts:
-            out.setdefault(f[0], []).append(f)
-        return {b: (np.array([f[1] for f in fs], np.uint64), b"\n".join(f[2] for f in fs), np.array([_NONE if f[3] is None else f[3] for f in fs], np.int64), np.array([f[4] for f in fs], np.int64)) for b, fs in out.items()}
+        block, out = _Block(docs, window, gram), {}
+        every = np.sort(block.first)
+        text = dict(zip(every.tolist(), block.strings(every), strict=True))
+        for bucket, numbers in block.by_bucket(buckets).items():
+            who = block.first[numbers]
+            out[bucket] = (block.key[who], b"\n".join([text[i] for i in who.tolist()]), block.doc_of[block.row[who]], block.place[who])
+        return out
 
     return ask
 
 
+def _shared_windows(members: list[bytes], begin: list[tuple[int, int]], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For super-k-mers of one minimiser: the first (document, place) of each window, by sorting the windows' strings."""
+    rows = []
+    for k, p in enumerate(members):
+        words = p.split(b" ")
+        d, a = begin[k]
+        rows += [(b" ".join(words[i : i + window]), d, a + i, k, i) for i in range(len(words) - window + 1)]
+    rows.sort()
+    found = [(np.empty(n, np.int64), np.empty(n, np.int64)) for n in (m.count(b" ") + 2 - window for m in members)]
+    for _, same in groupby(rows, key=lambda r: r[0]):
+        d0 = None
+        for _, d, a, k, i in same:
+            d0, a0 = (d, a) if d0 is None else (d0, a0)
+            found[k][0][i], found[k][1][i] = d0, a0
+    return found
+
+
 def _answer(window: int):
     def answer(parcels: list[Any]) -> list[Any]:
         """For each asked string that shares a window with another: the first (document, place) of each of its windows."""
-        whole: dict[bytes, list] = {}
-        for who, (keys, packed, doc, at) in enumerate(parcels):
-            for j, (h, p, d, a) in enumerate(zip(keys.tolist(), packed.split(b"\n"), doc.tolist(), at.tolist(), strict=True)):
-                if (w := whole.get(p)) is None:
-                    whole[p] = [h, (d, a), [(who, j)]]
-                else:
-                    w[1] = min(w[1], (d, a))
-                    w[2].append((who, j))
-        groups: dict[int, list[bytes]] = {}
-        for p, w in whole.items():
-            groups.setdefault(w[0], []).append(p)
+        keys = np.concatenate([p[0] for p in parcels])
+        who = np.repeat(np.arange(len(parcels)), [len(p[0]) for p in parcels])
+        index = np.concatenate([np.arange(len(p[0])) for p in parcels])
+        doc, at = np.concatenate([p[2] for p in parcels]), np.concatenate([p[3] for p in parcels])
+        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[back] > 1)
+        several = several[np.argsort(back[several], kind="stable")]
+        text = [p[1].split(b"\n") for p in parcels]
         replies: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in parcels]
-        for members in groups.values():
+        group, cuts = back[several], np.flatnonzero(np.diff(back[several])) + 1
+        entries = list(zip(who[several].tolist(), index[several].tolist(), doc[several].tolist(), at[several].tolist(), strict=True))
+        edges = [0, *cuts.tolist(), len(group)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            whole: dict[bytes, list] = {}
+            for w, j, d, a in entries[lo:hi]:
+                if (x := whole.get(text[w][j])) is None:
+                    whole[text[w][j]] = [(d, a), (w, j)]
+                else:
+                    x[0] = min(x[0], (d, a))
+                    x.append((w, j))
+            if not whole:
+                continue
+            members = list(whole)
             if len(members) == 1:
-                _, (d, a), asked = whole[members[0]]
-                if len(asked) > 1:
-                    n = members[0].count(b" ") + 2 - window
-                    reply = (np.full(n, d), np.arange(a, a + n))
-                    for who, j in asked:
-                        replies[who].append((j, *reply))
+                (d, a), *asked = whole[members[0]]
+                n = members[0].count(b" ") + 2 - window
+                reply = (np.full(n, d), np.arange(a, a + n))
+                for w, j in asked:
+                    replies[w].append((j, *reply))
                 continue
-            rows = []
-            for k, p in enumerate(members):
-                words = p.split(b" ")
-                d, a = whole[p][1]
-                rows += [(b" ".join(words[i : i + window]), d, a + i, k, i) for i in range(len(words) - window + 1)]
-            rows.sort()
-            sizes = [m.count(b" ") + 2 - window for m in members]
-            found = [(np.empty(n, np.int64), np.empty(n, np.int64)) for n in sizes]
-            for _, same in groupby(rows, key=lambda r: r[0]):
-                d0 = None
-                for _, d, a, k, i in same:
-                    d0, a0 = (d, a) if d0 is None else (d0, a0)
-                    found[k][0][i], found[k][1][i] = d0, a0
-            for k, p in enumerate(members):
-                (d, a), asked = whole[p][1], whole[p][2]
-                if len(asked) > 1 or not ((found[k][0] == d) & (found[k][1] == np.arange(a, a + sizes[k]))).all():
-                    for who, j in asked:
-                        replies[who].append((j, *found[k]))
+            found = _shared_windows(members, [whole[m][0] for m in members], window)
+            for m, (docs, places) in zip(members, found, strict=True):
+                (d, a), *asked = whole[m]
+                if len(asked) > 1 or not ((docs == d) & (places == np.arange(a, a + len(places)))).all():
+                    for w, j in asked:
+                        replies[w].append((j, docs, places))
         return [(np.array([r[0] for r in rs]), np.concatenate([r[1] for r in rs]), np.concatenate([r[2] for r in rs])) if rs else None for rs in replies]
 
     return answer
 
 
-def _apply(window: int, gram: int):
+def _apply(window: int, gram: int, with_text: bool):
     def apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
-        runs, firsts = _distinct(docs, buckets, window, gram)
-        many = np.array([f[5] for f in firsts], np.int64)
+        block = _Block(docs, window, gram)
+        many = block.n[block.first]
         offset = np.concatenate(([0], np.cumsum(many)))
-        first_doc = np.repeat(np.array([_NONE if f[3] is None else f[3] for f in firsts], np.int64), many)
-        first_at = np.repeat(np.array([f[4] for f in firsts], np.int64), many) + np.arange(offset[-1]) - np.repeat(offset[:-1], many)
-        by_bucket: dict[int, list[int]] = {}
-        for i, f in enumerate(firsts):
-            by_bucket.setdefault(f[0], []).append(i)
+        first_doc = np.repeat(block.doc_of[block.row[block.first]], many)
+        first_at = np.repeat(block.place[block.first] - offset[:-1], many) + np.arange(offset[-1])
+        numbers_of = block.by_bucket(buckets)
         for bucket, (asked, doc, at) in replies.items():
-            numbers = np.array(by_bucket[bucket])[asked]
+            numbers = numbers_of[bucket][asked]
             size = many[numbers]
-            to = np.repeat(offset[numbers] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            to = np.repeat(offset[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())
             first_doc[to], first_at[to] = doc, at
         out = []
-        for first, words, row, s, n, ids, starts, ends in runs:
-            covered = np.zeros(len(words) + 1, np.int64)
-            if len(s):
-                which = np.repeat(np.arange(len(s)), n)
-                step = np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                flat = offset[ids][which] + step
-                doc_of = np.array([_NONE if d is None else d for d, _ in docs[first : first + len(starts)]], np.int64)
-                doc, place = doc_of[row][which], (s - starts[row])[which] + step
-                gone = (first_doc[flat] < doc) | ((first_doc[flat] == doc) & (first_at[flat] < place))
-                begin = (s[which] + step)[gone]
-                np.add.at(covered, begin, 1)
-                np.add.at(covered, begin + window, -1)
-            lost = np.cumsum(covered)[:-1] > 0
-            for r, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                gone = lost[a:b]
-                m = int(gone.sum())
-                text = words[a:b] if not m else [words[a + i] for i in np.flatnonzero(~gone)]
-                out.append((docs[first + r][0], b - a, m, hashlib.sha256(b" ".join(text)).hexdigest(), b" ".join(text).decode("utf-8", "surrogatepass")))
+        for k, (first, joined, offsets, begin) in enumerate(block.pieces):
+            mine = np.flatnonzero(block.piece == k)
+            n = block.n[mine]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = np.repeat(offset[block.number[mine]], n) + step
+            doc, place = np.repeat(block.doc_of[block.row[mine]], n), np.repeat(block.place[mine], n) + step
+            gone = (first_doc[flat] < doc) | ((first_doc[flat] == doc) & (first_at[flat] < place))
+            start = (np.repeat(block.at[mine], n) + step)[gone]
+            length = int(begin[-1])
+            covered = np.bincount(start, minlength=length + 1) - np.bincount(start + window, minlength=length + 1)
+            lost = np.cumsum(covered)[:length] > 0
+            for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                m = int(lost[a:b].sum())
+                kept = joined[offsets[a] : max(offsets[a], offsets[b] - 1)] if b > a else b""
+                if m:
+                    words = kept.split(b" ")
+                    kept = b" ".join([words[i] for i in np.flatnonzero(~lost[a:b]).tolist()])
+                out.append((docs[first + r][0], b - a, m, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
@@ -201,4 +249,4 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id comes before all others.  Other columns of docs are not looked at."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return ask_and_answer(given, _ask(window, gram), _answer(window), _apply(window, gram), schema)
+    return ask_and_answer(given, _ask(window, gram), _answer(window), _apply(window, gram, with_text), schema)
