@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import simhash, substrings
+from tablescout.llm import bpe, decontaminate, simhash, substrings, suffixes
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -17,12 +17,24 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.drop_repeated_bytes(read(spark, sf, "documents"), with_text=False)
+
+
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(read(spark, sf, "documents"), with_ids=False)
+
+
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contained_items(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.drop_repeated_windows(read(spark, sf, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op10_substrings": op10_substrings}
+    return {"op3_simhash": op3_simhash, "op5_suffixes": op5_suffixes, "op6_bpe": op6_bpe, "op7_decontaminate": op7_decontaminate, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
