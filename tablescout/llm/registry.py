@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import bpe, decontaminate, simhash, substrings, suffixes
+from tablescout.llm import bpe, decontaminate, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.drop_repeated_chunks(read(spark, sf, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf, "documents"))
 
 
+def op4_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    return ngrams.score_texts(read(spark, sf, "documents"))
+
+
 def op5_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.drop_repeated_bytes(read(spark, sf, "documents"), with_text=False)
 
@@ -29,12 +37,30 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained_items(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(read(spark, sf, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.drop_repeated_windows(read(spark, sf, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op5_suffixes": op5_suffixes, "op6_bpe": op6_bpe, "op7_decontaminate": op7_decontaminate, "op10_substrings": op10_substrings}
+    return {
+        "op2_lines": op2_lines,
+        "op3_simhash": op3_simhash,
+        "op4_ngrams": op4_ngrams,
+        "op5_suffixes": op5_suffixes,
+        "op6_bpe": op6_bpe,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_topk": op8_topk,
+        "op9_toxicity": op9_toxicity,
+        "op10_substrings": op10_substrings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
