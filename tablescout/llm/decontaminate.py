@@ -114,12 +114,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     executors in passes of PASS_BYTES each (by a hash of the item), so any
     number of them is searched for."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    passes = max(1, -(-plan_bytes(wanted) * 3 // PASS_BYTES))
     out = None
-    for p in range(passes):
-        mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else wanted
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()], shingle, threshold))
+    for index in _indexes(items, item_col, item_text, shingle, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             it = index.value
@@ -131,3 +127,25 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         found = given.mapInArrow(run, "item_id long, doc_id long, n_shingles long, n_shared long, containment double")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _indexes(items: DataFrame, item_col: str, item_text: str, shingle: int, threshold: float) -> Iterator:
+    """A broadcast index for each pass over the documents, of bounded size."""
+    wanted = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    passes = max(1, -(-plan_bytes(wanted) * 3 // PASS_BYTES))
+    for p in range(passes):
+        mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else wanted
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()], shingle, threshold))
+
+
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that contain no item."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(items, item_col, item_text, shingle, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not index.value.search(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

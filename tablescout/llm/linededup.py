@@ -35,7 +35,7 @@ def _cut(text: Column, window: int, divisor: int) -> Column:
     )[0]
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text (what stays, chunks joined by newlines), n_lines, n_removed
     (chunks), n_removed_lines; a row for each row of docs.
 
@@ -43,9 +43,10 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     place in its text) stays.  Null texts stay null and have no lines; an empty
     text is one empty line.  A text whose chunks all go is empty.  Rows that
     repeat a doc_id and a text are one place and are treated alike; a null id
-    comes before all others.  Other columns of docs are not looked at."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = given.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    comes before all others.  Columns named in carry come along as they are;
+    others are not looked at."""
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried"))
+    keyed = given.select("doc_id", F.xxhash64("text").alias("version"), "text", "carried")
     cut = _cut(F.col("text"), window, divisor)
     chunks = keyed.where("text is not null").select("doc_id", "version", F.posexplode(cut).alias("place", "body")).where(F.instr("body", "\n") > 0).withColumn("h", F.xxhash64("body"))
     repeated = chunks.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -60,7 +61,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lost = lost.select(F.col("doc_id").alias("d2"), F.col("version").alias("v2"), "lost")
     joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("version") == F.col("v2")), "left")
     lost_or_none = F.coalesce("lost", F.array().cast("array<int>"))
-    joined = joined.select("doc_id", "text", lost_or_none.alias("lost"), F.when(F.col("lost").isNotNull(), cut).alias("pieces"), F.size(F.split("text", "\n", -1)).alias("all_lines"))
+    joined = joined.select("doc_id", "text", "carried", lost_or_none.alias("lost"), F.when(F.col("lost").isNotNull(), cut).alias("pieces"), F.size(F.split("text", "\n", -1)).alias("all_lines"))
     kept = F.transform(F.array(F.struct("pieces", "lost")), lambda b: F.filter(b["pieces"], lambda x, k: ~F.array_contains(b["lost"], k)))[0]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("all_lines")).cast("long")
     some = F.size("lost") > 0
@@ -71,4 +72,5 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         n_lines.alias("n_lines"),
         F.size("lost").cast("long").alias("n_removed"),
         gone_lines.cast("long").alias("n_removed_lines"),
+        *[F.col("carried").getField(c).alias(c) for c in carry or []],
     )

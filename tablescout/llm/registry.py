@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import bpe, decontaminate, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity
+from tablescout.llm import bpe, decontaminate, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf, "pages"))
+
+
 def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.drop_repeated_chunks(read(spark, sf, "documents"))
 
@@ -51,6 +55,7 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_lines": op2_lines,
         "op3_simhash": op3_simhash,
         "op4_ngrams": op4_ngrams,
@@ -63,5 +68,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+ b AS (SELECT html, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+ CASE WHEN b.best IS NULL OR b.best = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN b.best <> p.page_id THEN b.best END AS refers_to
+FROM p LEFT JOIN b ON p.html = b.html
+"""
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL}
