@@ -24,17 +24,28 @@ WINDOW = 20
 GRAM = 3
 #: Windows that are looked at together; longer texts go in several steps.
 STEP = 1 << 18
+#: Bytes whose words are hashed at once.
+HASHED = 1 << 20
 
 
 _NONE = -(1 << 63)  # a null id counts as the smallest
 
 
 def word_hashes(joined: bytes, offsets: np.ndarray) -> np.ndarray:
-    """Hashes of the words of `joined`; offsets: where each starts, and one past the end plus one."""
-    values = BYTES[np.frombuffer(joined, np.uint8)]
-    powers, inverse = power_table(len(values) + 2)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])))
-    return mix((prefix[offsets[1:] - 1] - prefix[offsets[:-1]]) * inverse[offsets[:-1]])
+    """Hashes of the words of `joined`, of about HASHED bytes at a time; offsets:
+    where each starts, and one past the end plus one."""
+    out = np.empty(len(offsets) - 1, np.uint64)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + HASHED)) - 1)
+        begin = int(offsets[lo])
+        at = offsets[lo : hi + 1] - begin
+        values = BYTES[np.frombuffer(joined, np.uint8, int(at[-1]) - 1, begin)]
+        powers, inverse = power_table(len(values) + 2)
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])))
+        out[lo:hi] = mix((prefix[at[1:] - 1] - prefix[at[:-1]]) * inverse[at[:-1]])
+        lo = hi
+    return out
 
 
 class _Block:
