@@ -25,6 +25,8 @@ from tablescout.llm.substrings import word_hashes
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Hash of the end of a text, also the context of a text's first word.
 END = np.uint64(0xE4D0F7E87)
+#: Tokens that are scored at once.
+STEP = 1 << 18
 BINS = 8  # of a factor of two, for the estimates that the weights are learned from
 
 
@@ -63,24 +65,35 @@ class _Block:
             self.back.append(back)
             self.counts.append((np.bincount(back, other, len(key)).astype(np.uint32), np.bincount(back, tuning, len(key)).astype(np.uint32)))
 
-    def orders(self, buckets: int) -> list[list[np.ndarray]]:
-        """For words and for pairs: the keys of each bucket."""
-        out = []
-        for key in self.keys:
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            out.append(np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]))
-        return out
+    def slices(self, k: int, buckets: int) -> list[slice]:
+        """Where the keys of each bucket, a range of hashes, lie."""
+        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+        cuts = [0, *np.searchsorted(self.keys[k], edges).tolist(), len(self.keys[k])]
+        return [slice(x, y) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _planes(x: np.ndarray) -> tuple[str, int, bytes]:
+    """Bytes of equal weight side by side, which compress well."""
+    return x.dtype.str, len(x), x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(p: tuple[str, int, bytes]) -> np.ndarray:
+    kind, n, data = p
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind)
 
 
 def _ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-    block = _Block(docs)
-    orders = block.orders(buckets)
-    return {b: [(block.keys[k][orders[k][b]], block.counts[k][0][orders[k][b]], block.counts[k][1][orders[k][b]]) for k in range(2)] for b in range(buckets)}
+    block, out = _Block(docs), {b: [] for b in range(buckets)}
+    for k in range(2):
+        for b, s in enumerate(block.slices(k, buckets)):
+            keys = block.keys[k][s]  # ascend: steps have fewer bytes
+            out[b].append((_planes(np.diff(keys, prepend=np.uint64(0))), _planes(block.counts[k][0][s]), _planes(block.counts[k][1][s])))
+    return out
 
 
 def _answer(parcels: list[Any]) -> list[Any]:
     totals, replies = [], [[] for _ in parcels]
+    parcels = [[(np.cumsum(_unplaned(k)), _unplaned(a), _unplaned(b)) for k, a, b in p] for p in parcels]
     for k in range(2):
         _, back = np.unique(np.concatenate([p[k][0] for p in parcels]), return_inverse=True)
         most = int(back.max()) + 1 if len(back) else 0
@@ -91,7 +104,7 @@ def _answer(parcels: list[Any]) -> list[Any]:
         at = 0
         for r, p in zip(replies, parcels, strict=True):
             mine = back[at : at + len(p[k][0])]
-            r.append((some[mine], whole[mine]))
+            r.append((_planes(some[mine]), _planes(whole[mine])))
             at += len(p[k][0])
     return [(totals, *r) for r in replies]
 
@@ -101,13 +114,13 @@ def _apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
     if not docs:
         return pa.table({"parcel": pa.array([], pa.binary())})
     block = _Block(docs)
-    orders = block.orders(buckets)
     totals = np.sum([r[0] for r in replies.values()], axis=0)
     whole, some = [], []
     for k in range(2):
         s, w = np.zeros(len(block.keys[k]), np.int64), np.zeros(len(block.keys[k]), np.int64)
+        at = block.slices(k, buckets)
         for b, r in replies.items():
-            s[orders[k][b]], w[orders[k][b]] = r[1 + k]
+            s[at[b]], w[at[b]] = _unplaned(r[1 + k][0]), _unplaned(r[1 + k][1])
         small = lambda x: x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
         whole.append(small(w)[block.back[k]])
         some.append(small(s)[block.back[k]])
@@ -115,7 +128,7 @@ def _apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
     end = some[0][block.n[0] - 1]  # of END, the context of first words
     context = np.concatenate(([end], some[0][:-1]))
     ids = [d for d, _ in docs]
-    parcel = (ids, block.folds, block.n, totals, whole[0], whole[1], some[0][tuning], some[1][tuning], context[tuning])
+    parcel = (ids, block.folds, block.n, totals, _planes(whole[0]), _planes(whole[1]), some[0][tuning], some[1][tuning], context[tuning])
     return pa.table({"parcel": pa.array([pack(parcel)], pa.binary())})
 
 
@@ -168,16 +181,25 @@ def _scored(weights: np.ndarray):
             for blob in b.column(0):
                 ids, folds, n, totals, word, pair, *_ = unpack(blob.as_py())
                 total, v = int(totals[0]), int(totals[1])
-                first = np.cumsum(n) - n
-                end = word[n[0] - 1]  # how often END was counted
-                context = np.concatenate(([end], word[:-1])).astype(np.float64)
-                w, p = word.astype(np.float64), pair.astype(np.float64)
-                lam = weights[bucket_of(context)]
-                prob = lam[:, 0] / (v + 1) + lam[:, 1] * w / max(total, 1) + lam[:, 2] * p / np.maximum(context, 1)
-                base = np.log10((w + 1) / (total + v + 1))
-                add = lambda x: np.add.reduceat(x, first)
+                word, pair = _unplaned(word), _unplaned(pair)
+                ends = np.cumsum(n)
+                closing = word[n[0] - 1]  # how often END was counted
+                known, base, score = np.empty(len(n), np.int64), np.empty(len(n)), np.empty(len(n))
+                lo = 0
+                while lo < len(n):  # some texts at a time
+                    begin = int(ends[lo] - n[lo])
+                    hi = max(lo + 1, int(np.searchsorted(ends, begin + STEP, side="right")))
+                    w, p = word[begin : ends[hi - 1]].astype(np.float64), pair[begin : ends[hi - 1]].astype(np.float64)
+                    context = np.concatenate(([closing], w[:-1])).astype(np.float64)
+                    lam = weights[bucket_of(context)]
+                    prob = lam[:, 0] / (v + 1) + lam[:, 1] * w / max(total, 1) + lam[:, 2] * p / np.maximum(context, 1)
+                    first = ends[lo:hi] - n[lo:hi] - begin
+                    known[lo:hi] = np.add.reduceat((w > 0).astype(np.int64), first)
+                    base[lo:hi] = np.add.reduceat(np.log10((w + 1) / (total + v + 1)), first)
+                    score[lo:hi] = np.add.reduceat(np.log10(np.maximum(prob, 1e-300)), first)
+                    lo = hi
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(n), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(n), total, np.int64)), pa.array(add(base)), pa.array(add(np.log10(np.maximum(prob, 1e-300))))],
+                    [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -195,7 +217,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids train.  Repeated rows count each time.  With nothing to train on,
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parcels = stored(ask_and_answer(given, _ask, _answer, _apply, "parcel binary"), "ngrams")
+    parcels = stored(ask_and_answer(given, _ask, _answer, _apply, "parcel binary", each_mb=6), "ngrams")
     rows = parcels.mapInArrow(_tuning_rows, "bucket long, one long, two long, n long").groupBy("bucket", "one", "two").agg(F.sum("n").alias("n")).collect()  # bins, however many texts
     weights = learn_weights([tuple(r) for r in sorted(rows)])
     return parcels.mapInArrow(_scored(weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
