@@ -48,9 +48,19 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Estimates from here on mean that the optimizer knows nothing (rows that come from the driver or an RDD).
+UNKNOWN = 1 << 54
+
+
 def plan_bytes(frame: DataFrame) -> int:
-    """The optimizer's estimate of the frame's size; for a scan, its files."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the frame's size; for a scan, its files.
+    Where it knows nothing, the frame's text is measured."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN:
+        return size
+    text = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in frame.dtypes if kind in ("string", "bigint", "int")]
+    each = sum(text, F.lit(8)).cast("long")
+    return int(frame.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0])
 
 
 def parts(frame: DataFrame, each_mb: int = 8) -> int:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tablescout.llm.common import parts, stored
 
 SCALE = 1024
-#: Candidates and queries of a block, vectors of a leaf.
-BLOCK, QUERY_BLOCK, LEAF = 8192, 512, 64
+#: Candidates and queries of a block, candidates and queries of a leaf.
+BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 8192, 512, 64, 16
 
 
 @dataclass
@@ -84,7 +84,7 @@ class CoverTree:
 class DualSearch:
     """Best k candidates of each query, ties to the smaller id; a query's own id takes no part."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, leaf: int = LEAF):
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, leaf: int = QUERY_LEAF):
         self.tree, self.k = CoverTree(queries, leaf), k
         self.q, self.ids = queries[self.tree.order], query_ids[self.tree.order]
         n = len(queries)
