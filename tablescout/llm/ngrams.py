@@ -28,6 +28,8 @@ END = np.uint64(0xE4D0F7E87)
 #: Tokens that are scored at once.
 STEP = 1 << 18
 BINS = 8  # of a factor of two, for the estimates that the weights are learned from
+#: Tokens and distinct tokens of all training texts, and of those that don't tune.
+TOTALS = ["n_whole", "v_whole", "n_some", "v_some"]
 
 
 def fold(doc_id: int | None, folds: int = FOLDS) -> int:
@@ -54,16 +56,26 @@ class _Block:
         self.docs = docs
         self.tok, self.n = tokens(docs)
         self.folds = np.array([fold(d) for d, _ in docs], np.int64)
-        part = np.repeat(self.folds, self.n)
-        tuning, other = part == TUNING, (part != TUNING) & (part != HELD_OUT)
-        context = np.concatenate(([END], self.tok[:-1]))
-        pair = mix(context * np.uint64(BASE) + self.tok)
+        kind = np.where(self.folds == TUNING, 1, np.where(self.folds == HELD_OUT, 2, 0)).astype(np.uint8)
+        kind = np.repeat(kind, self.n)
         self.keys, self.back, self.counts = [], [], []
-        for k in (self.tok, pair):
-            key, back = np.unique(k, return_inverse=True)
+        for hashes in (lambda: self.tok, self._pairs):
+            key, back = np.unique(hashes(), return_inverse=True)
+            back = back.astype(np.uint32)
             self.keys.append(key)
             self.back.append(back)
-            self.counts.append((np.bincount(back, other, len(key)).astype(np.uint32), np.bincount(back, tuning, len(key)).astype(np.uint32)))
+            self.counts.append([np.bincount(back[kind == k], minlength=len(key)).astype(np.uint32) for k in (0, 1)])
+        self.known = (int((kind < 2).sum()), int((kind == 0).sum()))
+        del self.tok
+
+    def _pairs(self) -> np.ndarray:
+        pair = np.empty_like(self.tok)
+        pair[0], pair[1:] = END, self.tok[:-1]
+        pair *= np.uint64(BASE)
+        pair += self.tok
+        for lo in range(0, len(pair), STEP):
+            pair[lo : lo + STEP] = mix(pair[lo : lo + STEP])
+        return pair
 
     def slices(self, k: int, buckets: int) -> list[slice]:
         """Where the keys of each bucket, a range of hashes, lie."""
@@ -83,38 +95,44 @@ def _unplaned(p: tuple[str, int, bytes]) -> np.ndarray:
 
 
 def _ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-    block, out = _Block(docs), {b: [] for b in range(buckets)}
-    for k in range(2):
-        for b, s in enumerate(block.slices(k, buckets)):
-            keys = block.keys[k][s]  # ascend: steps have fewer bytes
-            out[b].append((_planes(np.diff(keys, prepend=np.uint64(0))), _planes(block.counts[k][0][s]), _planes(block.counts[k][1][s])))
+    """Only buckets of which the block has a key are asked."""
+    block, out = _Block(docs), {}
+    at = [block.slices(k, buckets) for k in range(2)]
+    for b in range(buckets):
+        if all(s[b].start == s[b].stop for s in at):
+            continue
+        out[b] = []
+        for k in range(2):
+            keys = block.keys[k][at[k][b]]  # ascend: steps have fewer bytes
+            out[b].append((_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c[at[k][b]]) for c in block.counts[k])))
     return out
 
 
 def _answer(parcels: list[Any]) -> list[Any]:
-    totals, replies = [], [[] for _ in parcels]
+    """For each parcel the counts of its keys, and how many of the known words it is the first to ask."""
+    replies = [[] for _ in parcels]
     parcels = [[(np.cumsum(_unplaned(k)), _unplaned(a), _unplaned(b)) for k, a, b in p] for p in parcels]
     for k in range(2):
-        _, back = np.unique(np.concatenate([p[k][0] for p in parcels]), return_inverse=True)
-        most = int(back.max()) + 1 if len(back) else 0
-        some, rest = (np.bincount(back, np.concatenate([p[k][c] for p in parcels]), most).astype(np.int64) for c in (1, 2))
+        keys = np.concatenate([p[k][0] for p in parcels])
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        some, rest = (np.bincount(back, np.concatenate([p[k][c] for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
         whole = some + rest
+        stops = np.cumsum([len(p[k][0]) for p in parcels])
         if k == 0:
-            totals = [int(whole.sum()), int((whole > 0).sum()), int(some.sum()), int((some > 0).sum())]
-        at = 0
-        for r, p in zip(replies, parcels, strict=True):
-            mine = back[at : at + len(p[k][0])]
+            owner = np.searchsorted(stops, first, side="right")
+            for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (whole, some)), strict=True):
+                r.append(new)
+        for r, mine in zip(replies, np.split(back, stops[:-1]), strict=True):
             r.append((_planes(some[mine]), _planes(whole[mine])))
-            at += len(p[k][0])
-    return [(totals, *r) for r in replies]
+    return replies
 
 
 def _apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
-    """One parcel a block: what scoring needs of each token."""
+    """One parcel a block: what scoring needs of each token; and what the block adds to the corpus's totals."""
     if not docs:
-        return pa.table({"parcel": pa.array([], pa.binary())})
+        return pa.table({"parcel": pa.array([], pa.binary())} | {c: pa.array([], pa.int64()) for c in TOTALS})
     block = _Block(docs)
-    totals = np.sum([r[0] for r in replies.values()], axis=0)
+    words = np.sum([r[0] for r in replies.values()], axis=0).tolist()
     whole, some = [], []
     for k in range(2):
         s, w = np.zeros(len(block.keys[k]), np.int64), np.zeros(len(block.keys[k]), np.int64)
@@ -128,8 +146,9 @@ def _apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
     end = some[0][block.n[0] - 1]  # of END, the context of first words
     context = np.concatenate(([end], some[0][:-1]))
     ids = [d for d, _ in docs]
-    parcel = (ids, block.folds, block.n, totals, _planes(whole[0]), _planes(whole[1]), some[0][tuning], some[1][tuning], context[tuning])
-    return pa.table({"parcel": pa.array([pack(parcel)], pa.binary())})
+    parcel = (ids, block.folds, block.n, _planes(whole[0]), _planes(whole[1]), some[0][tuning], some[1][tuning], context[tuning])
+    totals = (block.known[0], words[0], block.known[1], words[1])
+    return pa.table({"parcel": pa.array([pack(parcel)], pa.binary())} | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -137,19 +156,21 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
 
 
-def _tuning_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for blob in b.column(0):
-            *_, totals, _, _, word, pair, context = unpack(blob.as_py())
-            if not len(word):
-                continue
-            _, _, n, v = totals.tolist()
-            with np.errstate(divide="ignore"):
-                one = np.log2(word / max(n, 1) * (v + 1))
-                two = np.log2(pair / np.maximum(context, 1) * (v + 1))
-            binned = lambda x: np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * BINS), -9999).astype(np.int64)
-            rows, n_rows = np.unique(np.stack([bucket_of(context), binned(one), binned(two)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, n_rows)], ["bucket", "one", "two", "n"])
+def _tuning_rows(n: int, v: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                *_, word, pair, context = unpack(blob.as_py())
+                if not len(word):
+                    continue
+                with np.errstate(divide="ignore"):
+                    one = np.log2(word / max(n, 1) * (v + 1))
+                    two = np.log2(pair / np.maximum(context, 1) * (v + 1))
+                binned = lambda x: np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * BINS), -9999).astype(np.int64)
+                rows, n_rows = np.unique(np.stack([bucket_of(context), binned(one), binned(two)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, n_rows)], ["bucket", "one", "two", "n"])
+
+    return run
 
 
 def learn_weights(rows: list[tuple[int, int, int, int]], rounds: int = 200, buckets: int = 64) -> np.ndarray:
@@ -175,12 +196,11 @@ def learn_weights(rows: list[tuple[int, int, int, int]], rounds: int = 200, buck
     return weights
 
 
-def _scored(weights: np.ndarray):
+def _scored(weights: np.ndarray, total: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0):
-                ids, folds, n, totals, word, pair, *_ = unpack(blob.as_py())
-                total, v = int(totals[0]), int(totals[1])
+                ids, folds, n, word, pair, *_ = unpack(blob.as_py())
                 word, pair = _unplaned(word), _unplaned(pair)
                 ends = np.cumsum(n)
                 closing = word[n[0] - 1]  # how often END was counted
@@ -217,7 +237,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids train.  Repeated rows count each time.  With nothing to train on,
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parcels = stored(ask_and_answer(given, _ask, _answer, _apply, "parcel binary", each_mb=6), "ngrams")
-    rows = parcels.mapInArrow(_tuning_rows, "bucket long, one long, two long, n long").groupBy("bucket", "one", "two").agg(F.sum("n").alias("n")).collect()  # bins, however many texts
+    schema = ", ".join(["parcel binary", *(f"{c} long" for c in TOTALS)])
+    table = stored(ask_and_answer(given, _ask, _answer, _apply, schema, each_mb=5), "ngrams")
+    n, v, n_some, v_some = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS]).first()
+    parcels = table.select("parcel")
+    rows = parcels.mapInArrow(_tuning_rows(n_some, v_some), "bucket long, one long, two long, n long").groupBy("bucket", "one", "two").agg(F.sum("n").alias("n")).collect()  # bins, however many texts
     weights = learn_weights([tuple(r) for r in sorted(rows)])
-    return parcels.mapInArrow(_scored(weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return parcels.mapInArrow(_scored(weights, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
