@@ -238,7 +238,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = ", ".join(["parcel binary", *(f"{c} long" for c in TOTALS)])
-    table = stored(ask_and_answer(given, _ask, _answer, _apply, schema, each_mb=5), "ngrams")
+    table = stored(ask_and_answer(given, _ask, _answer, _apply, schema, each_mb=3), "ngrams")
     n, v, n_some, v_some = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS]).first()
     parcels = table.select("parcel")
     rows = parcels.mapInArrow(_tuning_rows(n_some, v_some), "bucket long, one long, two long, n long").groupBy("bucket", "one", "two").agg(F.sum("n").alias("n")).collect()  # bins, however many texts
