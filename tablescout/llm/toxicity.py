@@ -31,6 +31,8 @@ LANDMARKS = 192
 #: At most so many labelled texts of each class are learned from, chosen by a hash of the id.
 SAMPLE = 4000
 THRESHOLD = 0.3
+#: Units whose subsequences are laid out as a table together, when kernels are computed.
+TABLE = 256
 #: Words that are remembered by a worker; then those in use stay.
 REMEMBERED = 400_000
 #: Look-alikes.
@@ -94,15 +96,17 @@ def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(units: list[str], others: list[str]) -> np.ndarray:
     """Normalised kernel of all with all (for landmarks, of bounded number)."""
-    table = np.zeros((len(others), LETTERS**3), np.float32)
-    r, s, w = subsequences(others)
-    table[r, s] = w
     out = np.zeros((len(units), len(others)))
-    for lo in range(0, len(units), 64):
-        r, s, w = subsequences(units[lo : lo + 64])
-        if len(r):
-            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            out[lo + r[first]] = np.add.reduceat(table[:, s].T * w[:, None], first, axis=0)
+    for at in range(0, len(others), TABLE):
+        some = others[at : at + TABLE]
+        table = np.zeros((len(some), LETTERS**3), np.float32)
+        r, s, w = subsequences(some)
+        table[r, s] = w
+        for lo in range(0, len(units), 64):
+            r, s, w = subsequences(units[lo : lo + 64])
+            if len(r):
+                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                out[lo + r[first], at : at + len(some)] = np.add.reduceat(table[:, s].T * w[:, None], first, axis=0)
     return out
 
 
@@ -168,7 +172,8 @@ def svm(x: np.ndarray, sign: np.ndarray, weight: np.ndarray, decay: float = 0.01
 def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 7) -> Model:
     """Learns from labelled texts.  Without toxic or without other texts, every score is the share of toxic ones."""
     y = np.array(labels)
-    bags = [sorted(set(units_of(t))) for t in texts]
+    same: dict[str, str] = {}  # equal units of different texts are held once
+    bags = [[same.setdefault(u, u) for u in sorted(set(units_of(t)))] for t in texts]
     share = float(np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3))
     flat = Model(np.zeros(LETTERS**3), -1.0, 0.0, float(np.log(share / (1 - share))), [])
     if not len(y) or y.min() == y.max():
