@@ -33,8 +33,12 @@ SAMPLE = 4000
 THRESHOLD = 0.3
 #: Units whose subsequences are laid out as a table together, when kernels are computed.
 TABLE = 256
+#: Units whose margins are computed together.
+TOGETHER = 4000
 #: Words that are remembered by a worker; then those in use stay.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Words of texts that are looked up together.
+STEP = 200_000
 #: Look-alikes.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_*~|/\\"
@@ -145,8 +149,8 @@ class Model:
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), self.bias)
-        for lo in range(0, len(units), 20_000):
-            part = units[lo : lo + 20_000]
+        for lo in range(0, len(units), TOGETHER):
+            part = units[lo : lo + TOGETHER]
             if part:
                 r, s, w = subsequences(part)
                 out[lo : lo + len(part)] += np.bincount(r, self.weights[s] * w, len(part))
@@ -272,7 +276,7 @@ class Scorer:
             step.append(words)
             held.update(words)
             size += len(words)
-            if size > 300_000:
+            if size > STEP:
                 out += self._finish(step, held)
                 step, held, size = [], set(), 0
         out += self._finish(step, held)
