@@ -44,7 +44,7 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe.encode(docs).drop("decoded")
+    return bpe.encode(docs, with_decoded=False)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ from tokenizers.models import BPE
 #: Characters of a pre-token that are encoded at once.
 LEAF = 512
 #: Pieces that are remembered; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Words that are looked up together.
-STEP = 300_000
+STEP = 200_000
 
 
 class TreeBPE:
@@ -171,28 +172,39 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, with_ids: bool = True, with_decoded: bool | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by spaces),
-    decoded_sha256 and, with_ids, ids (array<int>) and decoded; a row for each row.
+    decoded_sha256 and, with_ids, ids (array<int>) and, with_decoded (if not
+    given, as with_ids), decoded; a row for each row.
 
     path: the tokenizer's file, at the same place on every executor; None: the
     installed public one.  Null texts are empty; an empty text has no tokens
     and decodes to an empty text.  Ids may be null or repeat.  Other columns of
     docs are not looked at."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    wanted = [True] * 4 + [with_ids, with_decoded]
+    columns = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()), ("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())]
+    names, kinds, types = zip(*[c for c, w in zip(columns, wanted, strict=True) if w], strict=True)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or default_path(), leaf)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                rows = []
+                rows, held = [], 0
                 for doc, (n, ids, decoded) in zip(part.column(0).to_pylist(), encoder.encode_many([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, [int(i) for i in ids.split()], decoded) if with_ids else row)
+                    numbers = np.array(ids.split(), np.int32) if with_ids else None
+                    row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), numbers, decoded)
+                    rows.append(tuple([x for x, w in zip(row, wanted, strict=True) if w]))
+                    held += n
+                    if held > STEP:
+                        yield batch(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
+                    yield batch(rows)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
