@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import bpe, decontaminate, linededup, simhash, toxicity
+from tablescout.llm import bpe, decontaminate, linededup, neardup, toxicity
 from tablescout.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,11 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the smallest doc_id stays, one row of it.  Rows without an id stay."""
-    found = simhash.simhash_components(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.select(COLUMNS)
-    return whole.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(whole.where("doc_id is null"))
+    """Of each component of texts that link at a five-word Jaccard similarity of 0.8 or more, the smallest doc_id stays, one row of it.  Rows without an id stay."""
+    return neardup.one_of_each(docs, COLUMNS)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
+    ("near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_benchmark_items),
     ("bpe_encoding", to_tokens),
 ]
