@@ -1,21 +1,22 @@
 """Content-defined chunks of lines, deduplicated over the whole corpus.
 
-A rolling hash over the hashes of WINDOW lines ends a chunk after a line where
-it is divisible by DIVISOR, so boundaries depend on nearby lines alone and shift
-with them.  Chunks of two lines or more whose hash is repeated anywhere are
-grouped by their bytes; all but the first of a group go.  DataFrame functions
-only."""
+A chunk ends after a line where a rolling hash over the hashes of WINDOW lines
+is divisible by DIVISOR, but not before it has LEAST lines, so boundaries depend
+on nearby lines alone and shift with them.  Chunks of two lines or more whose
+hash is repeated anywhere are grouped by their bytes; all but the first of a
+group go.  DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 2
-DIVISOR = 4
+WINDOW = 1
+DIVISOR = 2
+LEAST = 2
 
 
-def _cut(text: Column, window: int, divisor: int) -> Column:
+def _cut(text: Column, window: int, divisor: int, least: int = LEAST) -> Column:
     """array<string>: chunks of lines, joined by newlines."""
     lines = F.split(text, "\n", -1)
 
@@ -25,7 +26,10 @@ def _cut(text: Column, window: int, divisor: int) -> Column:
             return F.aggregate(F.slice(h, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.lit(17).cast("long"), lambda a, x: F.xxhash64(a, x))
 
         n = F.size(h)
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
+        may = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.pmod(rolled(i), F.lit(divisor)) == 0, "1").otherwise("0")), "")
+        # least - 1 lines, then up to the next line that may end a chunk, which is marked; a last 1 ends the last search
+        marks = F.split(F.regexp_replace(F.concat(may, F.lit("1")), f"(.{{{least - 1}}}0*)1", "$1E"), "")
+        return F.transform(F.array(marks), lambda m: F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(m, i - 1) == "E")))[0]
 
     # bound step by step as lambda variables: an expression inside a lambda is computed for each element
     hashed = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.transform(x, lambda y: F.xxhash64(y)).alias("h")))
