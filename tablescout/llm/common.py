@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 
@@ -12,15 +15,20 @@ from pyspark.sql import functions as F
 
 #: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+
+
 _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share
-    (spark.checkpoint.dir).  Where that is unset, as in tests, a temporary
-    folder of this process.  Removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    (spark.checkpoint.dir).  Where that is unset, a session of one machine
+    (master local) takes a temporary folder; on a cluster it is an error.
+    Removed when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault("dir", Path(tempfile.mkdtemp(prefix="tablescout-")).as_uri())
     path = f"{base.rstrip('/')}/tablescout-{name}-{uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -69,6 +77,26 @@ def parts(frame: DataFrame, each_mb: int = 8) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(frame) // (each_mb << 20)), 1)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deals a scan of few tasks (a file of one row group) over the cluster; a
+    scan that already has a task for 8 MB of input, or for each core, is left alone."""
+    tasks = frame.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]
+    n = min(parts(frame), frame.sparkSession.sparkContext.defaultParallelism)
+    return frame.repartition(n) if tasks * 2 < n else frame
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans that run inside give Python workers so many rows at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node
     reachable.  Alternates large-star and small-star rounds (Kiveris et al.

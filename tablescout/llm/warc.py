@@ -20,11 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import scratch, stored
+from tablescout.llm.common import arrow_rows, scratch, spread, stored
 
 CHUNK = 64 << 10
 #: Payloads from this size on are written once.
 REVISIT = 1000
+#: Chunks that a worker gets at a time, 16 MB at most.
+BATCH = 256
+#: Digests of repeated payloads are sent to all executors up to so many bytes, a row counted as ROW; beyond, dealt with so many salts.
+BROADCAST, ROW, SALTS = 16 << 20, 128, 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "archive string, records long"
 CHUNKS = "archive string, record_no long, record_id string, page_id long, url string, record_type string, refers_to long, chunk_no long, last boolean, data binary, bytes_so_far long, sha1 string, declared_sha1 string, declared_bytes long"
@@ -41,17 +45,38 @@ def _open(path: str, write: bool = False):
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit: int = REVISIT) -> DataFrame:
-    """page_id, url, html (null: empty), sha1, bytes, refers_to (null: response).  Only digests are shuffled to find
-    equal payloads, and summed first."""
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
-    best = given.where(F.col("bytes") >= revisit).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("s2"), "best")
-    joined = given.join(best, (F.col("sha1") == F.col("s2")) & (F.col("bytes") >= revisit), "left")
-    return joined.select("page_id", "url", "html", "sha1", "bytes", F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
-
+    """page_id, url, html (null: empty), sha1, bytes, refers_to (null: response).
 
-def _members(page_id: int | None, url: str, html: str, sha1: str, size: int, refers_to: int | None) -> Iterator[bytes]:
-    """A record, a compressed member, in chunks."""
+    Payloads are equal if their SHA-256 and length are.  Only digests are
+    shuffled to find the repeated ones, and summed first; those are sent to all
+    executors if they measure up to BROADCAST bytes, so that no payload is
+    shuffled; beyond that, both sides are dealt by digest and salt."""
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    data = html.cast("binary")
+    page = F.col(id_col).cast("long").alias("page_id")
+    keyed = pages.select(page, F.sha2(data, 256).alias("k"), F.octet_length(html).cast("long").alias("n")).where(F.col("n") >= revisit)
+    best = keyed.groupBy("k", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("times")).where("times > 1").select("k", "best")
+    best = stored(best, "warc-repeated")
+    given = spread(pages).select(page, F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(data).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"), F.when(F.octet_length(html) >= revisit, F.sha2(data, 256)).alias("k"))
+    if best.count() * ROW <= BROADCAST:
+        joined = given.join(F.broadcast(best), "k", "left")
+    else:
+        salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = given.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"], "left")
+    other = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
+    return joined.select("page_id", "url", "html", "sha1", "bytes", F.when(other, F.col("best")).alias("refers_to"))
+
+
+def record_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of each payload, in order, made while rows are
+    scanned; a revisit is one row without bytes."""
+    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk))).cast("int")
+    numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    data = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.substring(F.col("html").cast("binary"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
+    return numbered.select("page_id", "url", "sha1", "bytes", "refers_to", "chunk_no", (F.col("chunk_no") == n - 1).alias("last"), data.alias("data"))
+
+
+def _head(page_id: int | None, url: str, sha1: str, size: int, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     length = len(_HTTP) + (size if refers_to is None else 0)
@@ -62,34 +87,34 @@ def _members(page_id: int | None, url: str, html: str, sha1: str, size: int, ref
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    yield packer.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + _HTTP)
-    if refers_to is None:
-        step = CHUNK // 4  # characters of up to four bytes
-        for i in range(0, len(html), step):
-            yield packer.compress(html[i : i + step].encode("utf-8", "surrogatepass"))
-    yield packer.compress(b"\r\n\r\n")
-    yield packer.flush()
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + _HTTP
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes an archive for each partition; returns the manifest (archive,
-    records).  Names are new in each attempt and only finished tasks are in the
-    manifest, so what a lost executor wrote is never read."""
+def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """Writes an archive for each partition, a compressed member a record;
+    returns the manifest (archive, records).  Workers get BATCH chunks at a
+    time and write them as they come.  Names are new in each attempt and only
+    finished tasks are in the manifest, so what a lost executor wrote is never read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, out, n = f"{folder}/{uuid4().hex}.warc.gz", None, 0
+        path, out, n, packer = f"{folder}/{uuid4().hex}.warc.gz", None, 0, None
         for b in batches:
             for k in range(b.num_rows):
+                page_id, url, sha1, size, refers_to, number, last, data = (c[k].as_py() for c in b.columns)
                 out = out or _open(path, write=True)
-                for piece in _members(*(b.column(c)[k].as_py() for c in range(6))):
-                    out.write(piece)
-                n += 1
+                if number == 0:
+                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out.write(packer.compress(_head(page_id, url, sha1, size, refers_to)))
+                out.write(packer.compress(data))
+                if last:
+                    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+                    n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["archive", "records"])
 
-    return stored(records.select("page_id", "url", "html", "sha1", "bytes", "refers_to").mapInArrow(run, MANIFEST), "warc-manifest")
+    with arrow_rows(records.sparkSession, BATCH):
+        return stored(record_chunks(records, chunk).mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 class _Member:
@@ -167,26 +192,28 @@ def read_chunks(path: str, chunk: int = CHUNK) -> Iterator[tuple]:
             number += 1
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of the archives, one task an archive; with_data False leaves `data` null and gives last chunks only."""
+def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The chunk table of the archives, one task an archive; a worker holds 16 chunks at most."""
     names = [c.split(" ")[0] for c in CHUNKS.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     kinds = [types[c.split(" ")[1]] for c in CHUNKS.split(", ")]
     files = max(1, manifest.count())
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
                 for r in read_chunks(path, chunk):
-                    if with_data or r[8]:
-                        rows.append(r if with_data else (*r[:9], None, *r[10:]))
-                        held += len(r[9]) if with_data else 100
+                    rows.append(r)
+                    held += len(r[9]) + 500
                     if held > 16 * CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield made(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield made(rows)
 
     return manifest.select("archive").repartition(files).mapInArrow(run, CHUNKS)
 
@@ -199,12 +226,13 @@ def archive_pages(pages: DataFrame, folder: str | None = None, **columns: Any) -
     A null payload is empty, a null url too.  Records of equal payloads of
     REVISIT bytes or more refer to the one of the largest page_id; rows that
     repeat that page_id are responses too, and so are all if every id is null.
+    The rows returned are the last chunks of the chunk table (`read_archives`).
     A response's digest is computed from the bytes read and must be the one its
     header declares; a revisit has no payload and takes both from its header.
     An empty table gives no rows.  Other columns of pages are not looked at."""
     spark = pages.sparkSession
     manifest = write_archives(plan_records(pages, **columns), folder or scratch(spark, "warc"))
-    last = read_archives(spark, manifest, with_data=False).where("last")
+    last = read_archives(spark, manifest).where("last")
     bad = (F.col("record_type") == "response") & ((F.col("sha1") != F.col("declared_sha1")) | (F.col("bytes_so_far") != F.col("declared_bytes")))
     digest = F.when(bad, F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id")))).otherwise(F.col("declared_sha1"))
     return last.select("page_id", F.col("declared_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
