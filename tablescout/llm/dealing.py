@@ -49,13 +49,13 @@ def _docs(table: pa.Table | pa.RecordBatch) -> list[Doc]:
 
 def ask_and_answer(
     docs: DataFrame,
-    ask: Callable[[list[Doc], int], dict[int, Any]],
+    ask: Callable[[list[Doc], int], Iterator[tuple[int, Any]]],
     answer: Callable[[list[Any]], list[Any]],
     apply: Callable[[list[Doc], dict[int, Any], int], pa.Table],
     schema: str,
     each_mb: int = 8,
 ) -> DataFrame:
-    """ask(docs, buckets) -> parcel for some or all buckets; answer(parcels of
+    """ask(docs, buckets) -> (bucket, parcel) for some or all buckets; answer(parcels of
     one bucket) -> an answer for each; apply(docs, {bucket: answer}, buckets)
     -> rows.  docs has doc_id long, text string."""
     n = parts(docs, each_mb)
@@ -70,8 +70,7 @@ def ask_and_answer(
             for k in np.unique(blocks).tolist():
                 held.setdefault(k, []).append(b.filter(pa.array(blocks == k)))
         for k in list(held):
-            parcels = ask(_docs(pa.Table.from_batches(held.pop(k))), n)
-            for bucket, parcel in parcels.items():
+            for bucket, parcel in ask(_docs(pa.Table.from_batches(held.pop(k))), n):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), pa.array([pack(parcel)], pa.binary())], ["bucket", "block", "parcel"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,13 @@
 """Language-model scores by deleted interpolation of n-gram estimates.
 
-P(w | v) mixes 1 / (V + 1), c(w) / N and c(v, w) / c(v), with weights by how
-often the context v was seen (a bucket for each power of two).  The weights are
-learned by expectation-maximisation: counts from one part of the training texts
-predict the tokens of the rest, which those counts don't hold.  Scores then use
-the counts of all training texts.  All counts cover the whole corpus; they are
-summed in buckets of n-grams (64-bit hashes) and answered to each block."""
+P(w | u, v) mixes 1 / (V + 1), c(w) / N, c(v, w) / c(v) and so on up to ORDER:
+from the longest context down, a share goes to each order, by how often its
+context was seen (a bucket for each power of two).  The shares are learned by
+expectation-maximisation: counts from one part of the training texts predict the
+tokens of the rest, which those counts don't hold.  Scores then use the counts
+of all training texts.  All counts cover the whole corpus; they are summed in
+buckets of n-grams and answered to each block.  Words are told apart by their
+bytes; longer n-grams by 64-bit hashes of their words' XXH64."""
 
 from __future__ import annotations
 
@@ -15,19 +17,23 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import stored
 from tablescout.llm.dealing import BASE, Doc, ask_and_answer, mix, pack, unpack
-from tablescout.llm.substrings import word_hashes
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-#: Hash of the end of a text, also the context of a text's first word.
-END = np.uint64(0xE4D0F7E87)
+#: Longest n-grams that are counted.
+ORDER = 2
 #: Tokens that are scored at once.
 STEP = 1 << 18
-BINS = 8  # of a factor of two, for the estimates that the weights are learned from
+#: Rounds of expectation-maximisation at most; they end when no share moves by TOLERANCE.
+ROUNDS, TOLERANCE = 30, 1e-3
+#: Context-frequency buckets: 0 for contexts never seen, then powers of two.
+BUCKETS = 64
 #: Tokens and distinct tokens of all training texts, and of those that don't tune.
 TOTALS = ["n_whole", "v_whole", "n_some", "v_some"]
 
@@ -37,118 +43,182 @@ def fold(doc_id: int | None, folds: int = FOLDS) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
-def tokens(docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all documents, each closed by END, and their numbers."""
+def closed(data: bytes) -> pa.Array:
+    """The tokens of a string in which each is closed by a space, the space included."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def tokens(docs: list[Doc]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all documents, each text's closed by an empty one, its end; and their numbers."""
     texts = [b" ".join(t.lower().split()) for _, t in docs]
-    joined = b" ".join([t for t in texts if t])
-    offsets = np.concatenate(([0], np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1, [len(joined) + 1]))
-    words = word_hashes(joined, offsets) if joined else np.zeros(0, np.uint64)
     n = np.array([t.count(b" ") + 2 if t else 1 for t in texts], np.int64)
-    out = np.full(int(n.sum()), END)
-    inside = np.ones(len(out), bool)
-    inside[np.cumsum(n) - 1] = False
-    out[inside] = words
-    return out, n
+    return closed(b"".join([t + b"  " if t else b" " for t in texts])), n
+
+
+def dealt_to(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; ascends with it."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 class _Block:
-    def __init__(self, docs: list[Doc]):
+    """Distinct n-grams of each order, sorted by bucket: `back` (of each token),
+    `counts` (in texts that train and don't tune; in those that tune), `bucket`;
+    `words` are those of order one, `keys` the hashes of the others."""
+
+    def __init__(self, docs: list[Doc], buckets: int, order: int):
         self.docs = docs
-        self.tok, self.n = tokens(docs)
+        given, self.n = tokens(docs)
         self.folds = np.array([fold(d) for d, _ in docs], np.int64)
         kind = np.where(self.folds == TUNING, 1, np.where(self.folds == HELD_OUT, 2, 0)).astype(np.uint8)
         kind = np.repeat(kind, self.n)
-        self.keys, self.back, self.counts = [], [], []
-        for hashes in (lambda: self.tok, self._pairs):
-            key, back = np.unique(hashes(), return_inverse=True)
-            back = back.astype(np.uint32)
-            self.keys.append(key)
-            self.back.append(back)
-            self.counts.append([np.bincount(back[kind == k], minlength=len(key)).astype(np.uint32) for k in (0, 1)])
         self.known = (int((kind < 2).sum()), int((kind == 0).sum()))
-        del self.tok
-
-    def _pairs(self) -> np.ndarray:
-        pair = np.empty_like(self.tok)
-        pair[0], pair[1:] = END, self.tok[:-1]
-        pair *= np.uint64(BASE)
-        pair += self.tok
-        for lo in range(0, len(pair), STEP):
-            pair[lo : lo + STEP] = mix(pair[lo : lo + STEP])
-        return pair
-
-    def slices(self, k: int, buckets: int) -> list[slice]:
-        """Where the keys of each bucket, a range of hashes, lie."""
-        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-        cuts = [0, *np.searchsorted(self.keys[k], edges).tolist(), len(self.keys[k])]
-        return [slice(x, y) for x, y in zip(cuts, cuts[1:], strict=False)]
+        self.back, self.counts, self.bucket, self.keys = [], [], [], [None]
+        encoded = given.dictionary_encode()
+        words, back = encoded.dictionary, encoded.indices.to_numpy()
+        words, back = self._sorted(words, back)
+        hashes = np.array([xxhash.xxh64_intdigest(w[:-1]) for w in words.to_pylist()], np.uint64)
+        bucket = dealt_to(hashes, buckets)
+        dealt = np.argsort(bucket, kind="stable")
+        self.words = words.take(pa.array(dealt))
+        place = np.empty(len(dealt), np.int64)
+        place[dealt] = np.arange(len(dealt))
+        self._count(place[back], bucket[dealt], kind)
+        word = hashes[back]
+        end = np.uint64(xxhash.xxh64_intdigest(b""))
+        first = np.cumsum(self.n) - self.n
+        before = word
+        for k in range(2, order + 1):
+            key = np.empty_like(word)
+            key[:1], key[1:] = end, before[:-1]
+            key *= np.uint64(BASE)
+            key += word
+            for lo in range(0, len(key), STEP):
+                key[lo : lo + STEP] = mix(key[lo : lo + STEP])
+            if k > 2:
+                key[first] = before[first]  # a first word has no longer context than the start
+            distinct, back = np.unique(key, return_inverse=True)
+            self.keys.append(distinct)
+            self._count(back, dealt_to(distinct, buckets), kind)
+            before = key
+
+    @staticmethod
+    def _sorted(words: pa.Array, back: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """In byte order: neighbours share beginnings, which compress."""
+        order = pc.sort_indices(words).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return words.take(pa.array(order)), place[back]
+
+    def _count(self, back: np.ndarray, bucket: np.ndarray, kind: np.ndarray) -> None:
+        self.back.append(back.astype(np.uint32))
+        self.bucket.append(bucket)
+        self.counts.append([np.bincount(back[kind == k], minlength=len(bucket)).astype(np.uint32) for k in (0, 1)])
+
+    def slices(self) -> Iterator[tuple[int, list[slice]]]:
+        """Each bucket that has an n-gram of the block, and where those of each order lie."""
+        present = np.unique(np.concatenate(self.bucket))
+        cuts = [(np.searchsorted(b, present).tolist(), np.searchsorted(b, present, side="right").tolist()) for b in self.bucket]
+        for i, b in enumerate(present.tolist()):
+            yield b, [slice(lo[i], hi[i]) for lo, hi in cuts]
 
 
 def _planes(x: np.ndarray) -> tuple[str, int, bytes]:
     """Bytes of equal weight side by side, which compress well."""
-    return x.dtype.str, len(x), x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.dtype.str, len(x), x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _unplaned(p: tuple[str, int, bytes]) -> np.ndarray:
     kind, n, data = p
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind)
-
-
-def _ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-    """Only buckets of which the block has a key are asked."""
-    block, out = _Block(docs), {}
-    at = [block.slices(k, buckets) for k in range(2)]
-    for b in range(buckets):
-        if all(s[b].start == s[b].stop for s in at):
-            continue
-        out[b] = []
-        for k in range(2):
-            keys = block.keys[k][at[k][b]]  # ascend: steps have fewer bytes
-            out[b].append((_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c[at[k][b]]) for c in block.counts[k])))
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind)
+
+
+def _ask(order: int):
+    def ask(docs: list[Doc], buckets: int) -> Iterator[tuple[int, Any]]:
+        """Only buckets of which the block has an n-gram are asked."""
+        if not docs:
+            return
+        block = _Block(docs, buckets, order)
+        for b, at in block.slices():
+            parcel = []
+            for k in range(order):
+                counts = [_planes(c[at[k]]) for c in block.counts[k]]
+                if k:
+                    keys = block.keys[k][at[k]]  # ascend: steps have fewer bytes
+                    parcel.append((_planes(np.diff(keys, prepend=np.uint64(0))), *counts))
+                else:
+                    parcel.append((b"".join(block.words[at[0]].to_pylist()), *counts))
+            yield b, parcel
+
+    return ask
+
+
+def _answer(order: int):
+    def answer(parcels: list[Any]) -> list[Any]:
+        """For each parcel the counts of its n-grams, and how many of the known words it is the first to ask."""
+        replies = [[] for _ in parcels]
+        for k in range(order):
+            if k:
+                keys = np.concatenate([np.cumsum(_unplaned(p[k][0])) for p in parcels])
+                _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            else:
+                back = closed(b"".join([p[0][0] for p in parcels])).dictionary_encode().indices.to_numpy()
+                first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1)) if len(back) else back
+            some, rest = (np.bincount(back, np.concatenate([_unplaned(p[k][c]) for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
+            whole = some + rest
+            stops = np.cumsum([p[k][1][1] for p in parcels])
+            if k == 0:
+                owner = np.searchsorted(stops, first, side="right")
+                for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (whole, some)), strict=True):
+                    r.append(new)
+            for r, mine in zip(replies, np.split(back, stops[:-1]), strict=True):
+                r.append((_planes(_narrow(some[mine])), _planes(_narrow(whole[mine]))))
+        return replies
+
+    return answer
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
+
+
+def _apply(order: int):
+    def apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
+        """One row a block: what scoring needs of each token, what tuning needs, and what the block adds to the corpus's totals."""
+        if not docs:
+            return pa.table({"parcel": pa.array([], pa.binary()), "tuning": pa.array([], pa.binary())} | {c: pa.array([], pa.int64()) for c in TOTALS})
+        block = _Block(docs, buckets, order)
+        words = np.sum([r[0] for r in replies.values()], axis=0).tolist()
+        found = [[np.zeros(len(b), np.int64) for b in block.bucket] for _ in range(2)]
+        for b, at in block.slices():
+            for k in range(order):
+                for kind in range(2):
+                    found[kind][k][at[k]] = _unplaned(replies[b][1 + k][kind])
+        some, whole = ([_narrow(x)[back] for x, back in zip(f, block.back, strict=True)] for f in found)
+        tuning = np.repeat(block.folds == TUNING, block.n)
+        contexts = [c[tuning] for c in _contexts(some, block.n)]
+        ids = [d for d, _ in docs]
+        parcel = (ids, block.folds, block.n, *(_planes(x) for x in whole))
+        totals = (block.known[0], words[0], block.known[1], words[1])
+        blobs = {"parcel": pa.array([pack(parcel)], pa.binary()), "tuning": pa.array([pack(([x[tuning] for x in some], contexts))], pa.binary())}
+        return pa.table(blobs | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
+
+    return apply
+
+
+def _contexts(counts: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+    """For each order from two on, how often each token's context was counted; a first word's is the end of a text."""
+    first = np.cumsum(n) - n
+    out = []
+    for c in counts[:-1]:
+        context = np.concatenate((c[:1], c[:-1]))
+        context[first] = counts[0][n[0] - 1]
+        out.append(context)
     return out
 
 
-def _answer(parcels: list[Any]) -> list[Any]:
-    """For each parcel the counts of its keys, and how many of the known words it is the first to ask."""
-    replies = [[] for _ in parcels]
-    parcels = [[(np.cumsum(_unplaned(k)), _unplaned(a), _unplaned(b)) for k, a, b in p] for p in parcels]
-    for k in range(2):
-        keys = np.concatenate([p[k][0] for p in parcels])
-        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        some, rest = (np.bincount(back, np.concatenate([p[k][c] for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
-        whole = some + rest
-        stops = np.cumsum([len(p[k][0]) for p in parcels])
-        if k == 0:
-            owner = np.searchsorted(stops, first, side="right")
-            for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (whole, some)), strict=True):
-                r.append(new)
-        for r, mine in zip(replies, np.split(back, stops[:-1]), strict=True):
-            r.append((_planes(some[mine]), _planes(whole[mine])))
-    return replies
-
-
-def _apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
-    """One parcel a block: what scoring needs of each token; and what the block adds to the corpus's totals."""
-    if not docs:
-        return pa.table({"parcel": pa.array([], pa.binary())} | {c: pa.array([], pa.int64()) for c in TOTALS})
-    block = _Block(docs)
-    words = np.sum([r[0] for r in replies.values()], axis=0).tolist()
-    whole, some = [], []
-    for k in range(2):
-        s, w = np.zeros(len(block.keys[k]), np.int64), np.zeros(len(block.keys[k]), np.int64)
-        at = block.slices(k, buckets)
-        for b, r in replies.items():
-            s[at[b]], w[at[b]] = _unplaned(r[1 + k][0]), _unplaned(r[1 + k][1])
-        small = lambda x: x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
-        whole.append(small(w)[block.back[k]])
-        some.append(small(s)[block.back[k]])
-    tuning = np.repeat(block.folds == TUNING, block.n)
-    end = some[0][block.n[0] - 1]  # of END, the context of first words
-    context = np.concatenate(([end], some[0][:-1]))
-    ids = [d for d, _ in docs]
-    parcel = (ids, block.folds, block.n, _planes(whole[0]), _planes(whole[1]), some[0][tuning], some[1][tuning], context[tuning])
-    totals = (block.known[0], words[0], block.known[1], words[1])
-    return pa.table({"parcel": pa.array([pack(parcel)], pa.binary())} | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
+# ------------------------------------------------------------ model
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -156,63 +226,100 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
 
 
-def _tuning_rows(n: int, v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0):
-                *_, word, pair, context = unpack(blob.as_py())
-                if not len(word):
-                    continue
-                with np.errstate(divide="ignore"):
-                    one = np.log2(word / max(n, 1) * (v + 1))
-                    two = np.log2(pair / np.maximum(context, 1) * (v + 1))
-                binned = lambda x: np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * BINS), -9999).astype(np.int64)
-                rows, n_rows = np.unique(np.stack([bucket_of(context), binned(one), binned(two)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, n_rows)], ["bucket", "one", "two", "n"])
+def components(shares: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(orders + 1, tokens): each order's part of each token's probability, the
+    uniform one first; and the buckets of the orders' contexts."""
+    size = len(counts[0])
+    buckets = [np.full(size, BUCKETS - 1), *(bucket_of(c) for c in contexts)]
+    out, rest = np.empty((len(counts) + 1, size)), np.ones(size)
+    for k in range(len(counts), 0, -1):
+        estimate = counts[k - 1] / (np.maximum(contexts[k - 2], 1) if k > 1 else max(n, 1))
+        share = shares[k - 1][buckets[k - 1]]
+        out[k] = rest * share * estimate
+        rest = rest * (1 - share)
+    out[0] = rest / (v + 1)
+    return out, buckets
+
+
+def first_shares(order: int) -> np.ndarray:
+    shares = np.full((order, BUCKETS), 0.5)
+    shares[0] = 0.9
+    shares[1:, 0] = 0  # a context that was never seen predicts nothing
+    return shares
+
+
+def new_shares(shares: np.ndarray, chosen: np.ndarray, reached: np.ndarray) -> np.ndarray:
+    """(orders, BUCKETS) from expected choices.  An order is never sure, so every
+    probability stays above zero.  A bucket that tuning never met takes the next
+    lower one's share."""
+    out = np.where(reached > 0, np.clip((chosen + 1e-4) / (reached + 2e-4), 1e-4, 1 - 1e-4), shares)
+    out[1:, 0] = 0
+    for k in range(1, len(out)):
+        for b in range(2, BUCKETS):
+            if reached[k, b] <= 0 and reached[k, 1:b].any():
+                out[k, b] = out[k, b - 1]
+    return out
 
-    return run
 
+def expected(shares: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens that chose each order, and that came down to it, by bucket."""
+    chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
+    for lo in range(0, len(counts[0]), STEP):
+        at = slice(lo, lo + STEP)
+        parts, buckets = components(shares, [c[at] for c in counts], [c[at] for c in contexts], n, v)
+        parts /= parts.sum(axis=0)
+        below = np.cumsum(parts, axis=0)
+        for k in range(len(shares)):
+            chosen[k] += np.bincount(buckets[k], parts[k + 1], BUCKETS)
+            reached[k] += np.bincount(buckets[k], below[k + 1], BUCKETS)
+    return chosen, reached
+
+
+def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Expectation-maximisation over all tuning tokens: each round sums the
+    expected choices of every block, a row for each order and bucket."""
+    shares = first_shares(order)
+
+    def step(shares: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
+            for b in batches:
+                for blob in b.column(0):
+                    a, r = expected(shares, *unpack(blob.as_py()), n, v)
+                    chosen, reached = chosen + a, reached + r
+            k, bucket = np.nonzero(reached)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(chosen[k, bucket]), pa.array(reached[k, bucket])], ["k", "bucket", "chosen", "reached"])
+
+        return run
 
-def learn_weights(rows: list[tuple[int, int, int, int]], rounds: int = 200, buckets: int = 64) -> np.ndarray:
-    """(buckets, 3) weights by expectation-maximisation; rows: bucket, estimates
-    in BINS-ths of a power of two above 1 / (V + 1), tokens.  A bucket that held-out tokens never met takes the nearest lower one's weights."""
-    data = np.array(rows, np.float64).reshape(-1, 4)
-    bucket, n = data[:, 0].astype(np.int64), data[:, 3]
-    p = np.stack([np.ones(len(data)), *(np.where(data[:, k] > -9999, 2 ** (data[:, k] / BINS), 0) for k in (1, 2))], axis=1)
-    weights = np.tile([0.1, 0.4, 0.5], (buckets, 1))
-    weights[0] = [0.2, 0.8, 0]
     for _ in range(rounds):
-        share = weights[bucket] * p
-        share *= (n / share.sum(axis=1))[:, None]
-        total = np.stack([np.bincount(bucket, share[:, k], buckets) for k in range(3)], axis=1)
-        # a smallest share of 1 / (V + 1) keeps every probability above zero
-        weights = np.where(total.sum(axis=1, keepdims=True) > 0, (total + 1e-4) / (total + 1e-4).sum(axis=1, keepdims=True), weights)
-    met = np.bincount(bucket, n, buckets) > 0
-    for b in range(2, buckets):
-        if not met[b] and met[1 : b].any():
-            weights[b] = weights[b - 1]
-    weights[0, :2] /= weights[0, :2].sum()
-    weights[0, 2] = 0
-    return weights
-
-
-def _scored(weights: np.ndarray, total: int, v: int):
+        rows = table.select("tuning").mapInArrow(step(shares), "k long, bucket long, chosen double, reached double").groupBy("k", "bucket").agg(F.sum("chosen").alias("chosen"), F.sum("reached").alias("reached")).collect()
+        chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
+        for r in rows:  # at most ORDER * BUCKETS
+            chosen[r.k, r.bucket], reached[r.k, r.bucket] = r.chosen, r.reached
+        new = new_shares(shares, chosen, reached)
+        moved, shares = float(np.abs(new - shares).max()), new
+        if moved < TOLERANCE:
+            break
+    return shares
+
+
+def _scored(shares: np.ndarray, total: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0):
-                ids, folds, n, word, pair, *_ = unpack(blob.as_py())
-                word, pair = _unplaned(word), _unplaned(pair)
+                ids, folds, n, *counts = unpack(blob.as_py())
+                counts = [_unplaned(c) for c in counts]
+                contexts, word = _contexts(counts, n), counts[0]
                 ends = np.cumsum(n)
-                closing = word[n[0] - 1]  # how often END was counted
                 known, base, score = np.empty(len(n), np.int64), np.empty(len(n)), np.empty(len(n))
                 lo = 0
                 while lo < len(n):  # some texts at a time
                     begin = int(ends[lo] - n[lo])
                     hi = max(lo + 1, int(np.searchsorted(ends, begin + STEP, side="right")))
-                    w, p = word[begin : ends[hi - 1]].astype(np.float64), pair[begin : ends[hi - 1]].astype(np.float64)
-                    context = np.concatenate(([closing], w[:-1])).astype(np.float64)
-                    lam = weights[bucket_of(context)]
-                    prob = lam[:, 0] / (v + 1) + lam[:, 1] * w / max(total, 1) + lam[:, 2] * p / np.maximum(context, 1)
+                    at = slice(begin, ends[hi - 1])
+                    prob = components(shares, [c[at] for c in counts], [c[at] for c in contexts], total, v)[0].sum(axis=0)
+                    w = word[at].astype(np.float64)
                     first = ends[lo:hi] - n[lo:hi] - begin
                     known[lo:hi] = np.add.reduceat((w > 0).astype(np.int64), first)
                     base[lo:hi] = np.add.reduceat(np.log10((w + 1) / (total + v + 1)), first)
@@ -226,7 +333,7 @@ def _scored(weights: np.ndarray, total: int, v: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a
     row for each row of docs.
 
@@ -237,10 +344,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids train.  Repeated rows count each time.  With nothing to train on,
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = ", ".join(["parcel binary", *(f"{c} long" for c in TOTALS)])
-    table = stored(ask_and_answer(given, _ask, _answer, _apply, schema, each_mb=3), "ngrams")
+    schema = ", ".join(["parcel binary", "tuning binary", *(f"{c} long" for c in TOTALS)])
+    table = stored(ask_and_answer(given, _ask(order), _answer(order), _apply(order), schema, each_mb=3), "ngrams")
     n, v, n_some, v_some = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS]).first()
-    parcels = table.select("parcel")
-    rows = parcels.mapInArrow(_tuning_rows(n_some, v_some), "bucket long, one long, two long, n long").groupBy("bucket", "one", "two").agg(F.sum("n").alias("n")).collect()  # bins, however many texts
-    weights = learn_weights([tuple(r) for r in sorted(rows)])
-    return parcels.mapInArrow(_scored(weights, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shares = learn_shares(table, order, n_some, v_some)
+    return table.select("parcel").mapInArrow(_scored(shares, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,6 +9,7 @@ one bucket, where sorted windows are compared as strings and counted."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import groupby
 from typing import Any
 
@@ -137,14 +138,13 @@ class _Block:
 
 
 def _ask(window: int, gram: int):
-    def ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-        block, out = _Block(docs, window, gram), {}
+    def ask(docs: list[Doc], buckets: int) -> Iterator[tuple[int, Any]]:
+        block = _Block(docs, window, gram)
         every = np.sort(block.first)
         text = dict(zip(every.tolist(), block.strings(every), strict=True))
         for bucket, numbers in block.by_bucket(buckets).items():
             who = block.first[numbers]
-            out[bucket] = (block.key[who], b"\n".join([text[i] for i in who.tolist()]), block.doc_of[block.row[who]], block.place[who])
-        return out
+            yield bucket, (block.key[who], b"\n".join([text[i] for i in who.tolist()]), block.doc_of[block.row[who]], block.place[who])
 
     return ask
 

@@ -13,6 +13,7 @@ hashes are always verified on the bytes."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -222,12 +223,11 @@ class _Block:
 
 
 def _ask(length: int, gram: int):
-    def ask(docs: list[Doc], buckets: int) -> dict[int, Any]:
-        block, out = _Block(docs, length, gram), {}
+    def ask(docs: list[Doc], buckets: int) -> Iterator[tuple[int, Any]]:
+        block = _Block(docs, length, gram)
         for bucket, numbers in block.by_bucket(buckets).items():
             who = block.first[numbers]
-            out[bucket] = (block.key[who], b"".join(block.strings(who)), block.n[who].astype(np.int32), block.anchor[who].astype(np.int32), np.minimum(block.times[numbers], 2).astype(np.int8))
-        return out
+            yield bucket, (block.key[who], b"".join(block.strings(who)), block.n[who].astype(np.int32), block.anchor[who].astype(np.int32), np.minimum(block.times[numbers], 2).astype(np.int8))
 
     return ask
 

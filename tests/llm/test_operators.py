@@ -3,7 +3,6 @@
 import hashlib
 import math
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -126,19 +125,6 @@ def test_simhash_forest_of_large_groups():
     assert all(find(i) == find(int(j)) for i in range(len(fps)) for j in np.flatnonzero(near[i])[:50])
 
 
-def test_scores_against_brute_force(spark):
-    docs = texts()
-    bags = [(i, [*(t or "").encode().lower().split(), None]) for i, t in docs]
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, ws in bags if not out(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    got = ngrams.score_texts(made(spark, docs)).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == sorted((str(i), out(i), len(ws), sum(c[w] > 0 for w in ws), n) for i, ws in bags)
-    want = sorted((str(i), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in bags)
-    assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(sorted((str(r.doc_id), r.base_score) for r in got), want))
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(math.isfinite(r.score) for r in got)
-
-
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 
