@@ -1,20 +1,21 @@
-"""BPE encoding and decoding, with tree concatenation for long unsplit text.
+"""BPE encoding and decoding by tree concatenation.
 
-Texts are cut at ASCII white space, which the tokenizer drops and no token
-spans; each distinct piece is encoded once and remembered.  A piece that the
-pre-tokenizer leaves whole over LEAF characters is encoded as a tree: leaves in
-parallel, then at each join the tokens within a window around it are encoded
-anew, and the window grows until its outer tokens agree with both neighbours.
-Agreement is exact: a sequence of tokens is a text's BPE encoding if each pair
-of neighbours, encoded alone, stays that pair."""
+A text is cut into leaves of LEAF characters wherever these end, all leaves are
+encoded at once, and halves are joined level by level: the text in a window
+around the cut is encoded anew, and the window grows until what it has at its
+ends is exactly what both halves have there.  Within a leaf, ASCII white space
+separates pieces, which the tokenizer drops and no token spans; equal pieces are
+encoded once and remembered.  An unbroken piece of over PIECE characters is a
+tree of its own, joined token by token: there a sequence of tokens is the BPE
+encoding if each pair of neighbours, encoded alone, stays that pair."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +24,52 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: Characters of a pre-token that are encoded at once.
-LEAF = 512
+#: Characters of a leaf of a text, and of an unbroken piece that is encoded at once.
+LEAF, PIECE = 2048, 512
 #: Pieces that are remembered; then it starts afresh.
 REMEMBERED = 400_000
 #: Words that are looked up together.
 STEP = 200_000
 
 
+_SPACES = " \t\n\v\f\r"
+
+
+def supported(spec: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that this module encodes: BPE
+    with word ends over byte-level pre-tokens that hold no white space, lower
+    case, NFC, special tokens as they stand, decoded by joining with spaces."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = cut.get("pretokenizers", [])
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    split = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "\\s" in str(steps[0]["pattern"]) and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    marks = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    return bool(plain and split and marks and kinds == ["NFC", "Replace", "Lowercase"] and spec.get("decoder") is None and spec.get("post_processor") is None)
+
+
+@dataclass
+class Half:
+    """A part of a text: pieces, their ids (None: not yet, a long unbroken
+    piece), and whether it starts and ends within a piece."""
+
+    pieces: list[bytes]
+    ids: list[tuple[int, ...] | None]
+    opens: bool
+    ends: bool
+
+
 class TreeBPE:
-    """Encodes and decodes exactly as the tokenizer in `path`, which has a BPE
-    model with an end-of-word suffix, drops white space and has no decoder."""
+    """Encodes and decodes exactly as the tokenizer in `path`; raises an error if that isn't `supported`."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, piece: int = PIECE):
         import json
 
-        self.leaf, self.tokenizer = leaf, Tokenizer.from_file(path)
+        self.leaf, self.piece, self.joins, self.tokenizer = leaf, piece, 0, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not supported(spec):
+            raise ValueError(f"{path}: not a tokenizer that tree concatenation is written for")
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.middle = Tokenizer(BPE(vocab=model["vocab"], merges=merges))  # text that goes on
@@ -56,7 +85,7 @@ class TreeBPE:
         self.ids: dict[bytes, tuple[int, ...]] = {}
         self.marks = {m.encode(): tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
 
-    # -- long pre-tokens
+    # -- unbroken pieces
 
     def _plain(self, texts: list[str], final: bool) -> list[list[str]]:
         return [e.tokens for e in (self.final if final else self.middle).encode_batch(texts, add_special_tokens=False)]
@@ -85,7 +114,7 @@ class TreeBPE:
 
     def tree(self, text: str) -> list[str]:
         """Tokens of one pre-token of any length."""
-        parts = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
+        parts = [text[i : i + self.piece] for i in range(0, len(text), self.piece)]
         level = self._plain(parts[:-1], False) + self._plain(parts[-1:], True)
         while len(level) > 1:
             pairs = [(level[k], level[k + 1] if k + 1 < len(level) else [], k + 2 >= len(level)) for k in range(0, len(level), 2)]
@@ -101,7 +130,7 @@ class TreeBPE:
             elif part:
                 part = self.tokenizer.normalizer.normalize_str(part)
                 for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
-                    out += self.tree(word) if len(word) > self.leaf else self._plain([word], True)[0]
+                    out += self.tree(word) if len(word) > self.piece else self._plain([word], True)[0]
         return out
 
     # -- texts
@@ -122,7 +151,7 @@ class TreeBPE:
                     plain[w] = (w[:-1].lower(), self.marks[w[-1:]])
                 else:
                     other.append(w)
-        cores = [c for c in {c for c, _ in plain.values()} if c not in known and len(c) <= self.leaf]
+        cores = [c for c in {c for c, _ in plain.values()} if c not in known and len(c) <= self.piece]
         for c, e in zip(cores, self.final.encode_batch_fast([c.decode() for c in cores], add_special_tokens=False), strict=True):
             known[c] = tuple([number[i] for i in e.ids])
         for w, (c, mark) in plain.items():
@@ -131,35 +160,89 @@ class TreeBPE:
             else:
                 other.append(w)
         text = [w.decode("utf-8", "surrogatepass") for w in other]
-        short = [k for k, t in enumerate(text) if len(t) <= self.leaf]
-        for k, e in zip(short, self.tokenizer.encode_batch_fast([text[k] for k in short], add_special_tokens=False), strict=True):
-            known[other[k]] = tuple([number[i] for i in e.ids])
-        for w, t in zip(other, text, strict=True):
-            if len(t) > self.leaf:
-                known[w] = tuple([number[self.tokenizer.token_to_id(x)] for x in self.long(t)])
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(text, add_special_tokens=False), strict=True):
+            known[w] = tuple([number[i] for i in e.ids])
 
     def encode_many(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, ids and tokens, joined by spaces (the decoded text)."""
-        step: list[list[bytes]] = []
-        held: set[bytes] = set()
+        step: list[list[Half]] = []
         size = 0
         for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split()
-            step.append(words)
-            held.update(words)
-            size += len(words)
+            leaves = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
+            halves = [Half(t.encode("utf-8", "surrogatepass").split(), [], t[0] not in _SPACES, t[-1] not in _SPACES) for t in leaves]
+            step.append(halves)
+            size += sum(len(h.pieces) for h in halves)
             if size > STEP:
-                yield from self._finish(step, held)
-                step, held, size = [], set(), 0
-        yield from self._finish(step, held)
-
-    def _finish(self, step: list[list[bytes]], held: set[bytes]) -> Iterator[tuple[int, str, str]]:
-        self._learn(held)
-        ids, digits, name = self.ids.__getitem__, self.digits.__getitem__, self.names.__getitem__
-        for words in step:
-            got = list(chain.from_iterable(map(ids, words)))
+                yield from self._finish(step)
+                step, size = [], 0
+        yield from self._finish(step)
+
+    def _finish(self, step: list[list[Half]]) -> Iterator[tuple[int, str, str]]:
+        longest = self.piece  # in bytes, so at most as many characters
+        self._learn({w for halves in step for h in halves for w in h.pieces if len(w) <= longest})
+        get = self.ids.get
+        for halves in step:
+            for h in halves:
+                h.ids = list(map(get, h.pieces))
+        while any(len(halves) > 1 for halves in step):
+            pairs = [(halves[k], halves[k + 1]) for halves in step for k in range(0, len(halves) - 1, 2)]
+            joined = iter(self.concatenated(pairs))
+            step = [[next(joined) if k + 1 < len(halves) else halves[k] for k in range(0, len(halves), 2)] for halves in step]
+        digits, name = self.digits.__getitem__, self.names.__getitem__
+        for halves in step:
+            got: list[int] = []
+            for h in halves:  # one, or none
+                for piece, ids in zip(h.pieces, h.ids, strict=True):
+                    got.extend(self._long_ids(piece) if ids is None else ids)
             yield len(got), " ".join(map(digits, got)), " ".join(map(name, got))
 
+    def _long_ids(self, piece: bytes) -> list[int]:
+        return [self.tokenizer.token_to_id(t) for t in self.long(piece.decode("utf-8", "surrogatepass"))]
+
+    def concatenated(self, pairs: list[tuple[Half, Half]]) -> list[Half]:
+        """Each pair as one half.  All windows that are still open are encoded together."""
+        out: list[Half | None] = [None] * len(pairs)
+        todo = []
+        for k, (a, b) in enumerate(pairs):
+            inside = a.ends and b.opens and bool(a.pieces) and bool(b.pieces)
+            if not a.pieces or not b.pieces:
+                out[k] = Half(a.pieces + b.pieces, a.ids + b.ids, a.opens, b.ends)
+            elif inside and (a.ids[-1] is None or b.ids[0] is None or len(a.pieces[-1]) + len(b.pieces[0]) > self.piece and b" " not in a.pieces[-1] and b" " not in b.pieces[0]):
+                out[k] = Half([*a.pieces[:-1], a.pieces[-1] + b.pieces[0], *b.pieces[1:]], [*a.ids[:-1], None, *b.ids[1:]], a.opens, b.ends)
+            elif not inside and (a.ids[-1] is None or b.ids[0] is None):
+                out[k] = Half(a.pieces + b.pieces, a.ids + b.ids, a.opens, b.ends)
+            else:
+                todo.append((k, inside, 1))
+        while todo:
+            windows = []
+            for k, inside, width in todo:
+                a, b = pairs[k]
+                left, right = self._edge(a.pieces[::-1], a.ids[::-1], width)[::-1], self._edge(b.pieces, b.ids, width)
+                windows.append((left, right, b" ".join(left) + (b"" if inside else b" ") + b" ".join(right)))
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for _, _, w in windows], add_special_tokens=False)
+            again = []
+            for (k, inside, width), (left, right, text), e in zip(todo, windows, encoded, strict=True):
+                (a, b), ids = pairs[k], tuple(e.ids)
+                i, j = len(left), len(right)
+                before, after = a.ids[len(a.ids) - i], b.ids[j - 1]
+                # the outermost pieces must come out as in the halves, unless a half or a long piece ends there
+                fine = (i < width or (i > 1 or not inside) and ids[: len(before)] == before) and (j < width or (j > 1 or not inside) and ids[len(ids) - len(after) :] == after)
+                if fine:
+                    self.joins += 1
+                    out[k] = Half([*a.pieces[: len(a.pieces) - i], text, *b.pieces[j:]], [*a.ids[: len(a.ids) - i], ids, *b.ids[j:]], a.opens, b.ends)
+                else:
+                    again.append((k, inside, width * 2))
+            todo = again
+        return out
+
+    @staticmethod
+    def _edge(pieces: list[bytes], ids: list, width: int) -> list[bytes]:
+        """Up to `width` pieces, as far as they are encoded."""
+        n = 0
+        while n < min(width, len(pieces)) and ids[n] is not None:
+            n += 1
+        return pieces[:n]
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, leaf: int) -> TreeBPE:

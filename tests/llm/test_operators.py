@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
@@ -132,10 +133,21 @@ def test_bpe_is_the_library(spark):
     r = random.Random(2)
     given = [t or "" for _, t in texts()] + ["<|startoftext|>hi<|endoftext|> x", "İ Σας ΣΑΣ", "a\x1cb \x85c d", "x'snow don't"]
     given += ["".join(r.choice(["the", "in", "tion", "a", "b", "'", "!!", "é", "9"]) for _ in range(r.randint(1, 400))) for _ in range(60)]
-    tree = bpe.TreeBPE(bpe.default_path(), 16)
-    for t, (n, ids, decoded) in zip(given, tree.encode_many(given)):
-        want = whole.encode(t, add_special_tokens=False).ids
-        assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), whole.decode(want, skip_special_tokens=False))
+    given += ["".join(r.choice(["<|endoftext|>", " ", "\n", "e", "\u0301", "it's", "\u3000", "x" * 40, "Ab", "12"]) for _ in range(r.randint(1, 300))) for _ in range(60)]
+    given += ["ab" * 9000 + " tail", "x " * 3000, "é" * 5000, " " * 5000, "word " * 10 + " " * 90 + "end"]
+    for leaf, piece in ((16, 16), (16, 512), (100, 8), (2048, 512)):
+        tree = bpe.TreeBPE(bpe.default_path(), leaf, piece)
+        for t, (n, ids, decoded) in zip(given, tree.encode_many(given), strict=True):
+            want = whole.encode(t, add_special_tokens=False).ids
+            assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), whole.decode(want, skip_special_tokens=False))
+        assert tree.joins > (10 if leaf < 2048 else 0)
+    tree = bpe.TreeBPE(bpe.default_path())  # documents as they come are joined
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if os.path.isdir("/root/testdata/sf0.001") else []
+    for row, (_, ids, _) in zip(rows, tree.encode_many([x.text for x in rows]), strict=True):
+        assert ids == " ".join(map(str, whole.encode(row.text, add_special_tokens=False).ids))
+    assert not rows or tree.joins > 100
+    with pytest.raises(ValueError, match="not a tokenizer"):
+        bpe.TreeBPE(bpe.default_path().replace("word_bpe_49k", "byte_bpe_50k"))
     got = bpe.encode(made(spark, texts())).collect()
     assert len(got) == len(texts()) and all(len(x.ids) == x.n_tokens for x in got)
 
