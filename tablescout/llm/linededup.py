@@ -11,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.llm.common import stored
+
 WINDOW = 1
 DIVISOR = 2
 LEAST = 2
+#: Tables of up to so many bytes are sent to all executors.
+BROADCAST = 16 << 20
 
 
 def _cut(text: Column, window: int, divisor: int, least: int = LEAST) -> Column:
@@ -39,7 +43,7 @@ def _cut(text: Column, window: int, divisor: int, least: int = LEAST) -> Column:
     )[0]
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, carry: list[str] | None = None) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text (what stays, chunks joined by newlines), n_lines, n_removed
     (chunks), n_removed_lines; a row for each row of docs.
 
@@ -47,34 +51,45 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     place in its text) stays.  Null texts stay null and have no lines; an empty
     text is one empty line.  A text whose chunks all go is empty.  Rows that
     repeat a doc_id and a text are one place and are treated alike; a null id
-    comes before all others.  Columns named in carry come along as they are;
-    others are not looked at."""
+    comes before all others.  An empty table gives no rows.  Columns named in
+    carry come along as they are; others are not looked at.
+
+    First only hashes are counted.  Bodies of repeated hashes are written and
+    meet by their bytes; the written tables let Spark split a hot body's rows.
+    Hashes, and places that go, are sent to all executors up to BROADCAST bytes
+    as measured; beyond, the joins shuffle."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried"))
     keyed = given.select("doc_id", F.xxhash64("text").alias("version"), "text", "carried")
-    cut = _cut(F.col("text"), window, divisor)
+    cut = _cut(F.col("text"), window, divisor, least)
     chunks = keyed.where("text is not null").select("doc_id", "version", F.posexplode(cut).alias("place", "body")).where(F.instr("body", "\n") > 0).withColumn("h", F.xxhash64("body"))
-    repeated = chunks.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = chunks.join(repeated, "h", "left_semi")
+    repeated = stored(chunks.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
+    again = stored(chunks.join(_sent(repeated, 16), "h", "left_semi"), "line-chunks")
     # by bytes: the first of each body
     at = F.struct(F.col("doc_id"), F.col("place"), F.col("version")).alias("at")
     first = again.select("h", "body", at).groupBy("h", "body").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "body", "first")
-    first = first.select(F.col("h").alias("h2"), F.col("body").alias("body2"), "first")
+    first = stored(first, "line-firsts").select(F.col("h").alias("h2"), F.col("body").alias("body2"), "first")
     same = (F.col("h") == F.col("h2")) & (F.col("body") == F.col("body2"))
     gone = again.join(first, same).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place")) & (F.col("version") == F.col("first.version")))).select("doc_id", "version", "place")
-    lost = gone.distinct().groupBy("doc_id", "version").agg(F.collect_list("place").alias("lost"))  # a document's own chunks
-    lost = lost.select(F.col("doc_id").alias("d2"), F.col("version").alias("v2"), "lost")
+    lost = stored(gone.groupBy("doc_id", "version").agg(F.collect_set("place").alias("lost")), "lines-lost")  # a document's own chunks
+    lost = _sent(lost.select(F.col("doc_id").alias("d2"), F.col("version").alias("v2"), "lost"), 32, F.size("lost") * 4)
     joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("version") == F.col("v2")), "left")
-    lost_or_none = F.coalesce("lost", F.array().cast("array<int>"))
-    joined = joined.select("doc_id", "text", "carried", lost_or_none.alias("lost"), F.when(F.col("lost").isNotNull(), cut).alias("pieces"), F.size(F.split("text", "\n", -1)).alias("all_lines"))
-    kept = F.transform(F.array(F.struct("pieces", "lost")), lambda b: F.filter(b["pieces"], lambda x, k: ~F.array_contains(b["lost"], k)))[0]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("all_lines")).cast("long")
-    some = F.size("lost") > 0
-    gone_lines = F.when(some, F.aggregate(F.transform(F.array(F.struct("pieces", "lost")), lambda b: F.transform(F.filter(b["pieces"], lambda x, k: F.array_contains(b["lost"], k)), lambda x: F.size(F.split(x, "\n", -1))))[0], F.lit(0), lambda a, x: a + x)).otherwise(0)
+    some = F.col("lost").isNotNull()
+    joined = joined.select("doc_id", "text", "carried", "lost", F.when(some, cut).alias("pieces"), F.size(F.split("text", "\n", -1)).alias("all_lines"))
+    # bound as a lambda variable, so computed once a text; linear in its chunks
+    bound = F.transform(F.array(F.struct("pieces", "lost")), lambda b: F.struct(b["pieces"].alias("pieces"), b["lost"].alias("lost"), F.array_except(F.sequence(F.lit(0), F.size(b["pieces"]) - 1), b["lost"]).alias("stay")))
+    kept = F.transform(bound, lambda b: F.array_join(F.transform(b["stay"], lambda k: F.get(b["pieces"], k)), "\n"))[0]
+    gone_lines = F.transform(bound, lambda b: F.aggregate(F.transform(b["lost"], lambda k: F.size(F.split(F.get(b["pieces"], k), "\n", -1))), F.lit(0), lambda a, x: a + x))[0]
     return joined.select(
         "doc_id",
-        F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"),
-        n_lines.alias("n_lines"),
-        F.size("lost").cast("long").alias("n_removed"),
-        gone_lines.cast("long").alias("n_removed_lines"),
+        F.when(some, kept).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("all_lines")).cast("long").alias("n_lines"),
+        F.when(some, F.size("lost")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(some, gone_lines).otherwise(0).cast("long").alias("n_removed_lines"),
         *[F.col("carried").getField(c).alias(c) for c in carry or []],
     )
+
+
+def _sent(table: DataFrame, row: int, more: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if its rows measure up to BROADCAST bytes."""
+    size = table.agg(F.sum(F.lit(row) + (F.lit(0) if more is None else more))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST else table

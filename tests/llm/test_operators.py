@@ -171,20 +171,6 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in decontaminate.without_items(made(spark, docs), table).collect()} == {d for d, _ in docs if d not in hit}
 
 
-def test_line_chunks(spark):
-    r = random.Random(4)
-    shared = [f"shared line {k}" for k in range(40)]
-    docs = [(i, "\n".join([f"own {i} {k}" for k in range(r.randint(0, 5))] + shared + [f"tail {i}"])) for i in range(12)] + [(20, None), (21, ""), (None, "a\nb"), (3, "x")]
-    got = {(x.doc_id, x.text): x for x in linededup.drop_repeated_chunks(made(spark, docs), carry=["a"]).collect()}
-    by = {x.doc_id: x for x in got.values() if x.doc_id != 3}
-    assert by[20].text is None and by[21].text == "" and by[None].text == "a\nb" and len(got) == len(docs) and by[0].a == "y"
-    for i, t in docs:
-        if i not in (None, 3) and t:
-            x = by[i]
-            assert x.n_lines == t.count("\n") + 1 and f"tail {i}" in x.text
-            assert (x.text == t and x.n_removed == 0) if i == 0 else x.n_removed_lines > 15
-
-
 def test_top_k_against_brute_force(spark):
     r = np.random.default_rng(0)
     x = np.vstack([r.normal(size=(150, 8)) * 0.3, r.normal(size=(250, 8)) * 0.01 + r.normal(size=8)])
