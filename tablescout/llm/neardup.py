@@ -1,17 +1,18 @@
-"""Near duplicates by the Jaccard similarity of five-word shingles, exact.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles.
 
-Two texts link if their sets of shingles have a similarity of 0.8 or more.  In
-any common order of shingles such sets share one among the first fifth (rounded
-down, plus one) of each, so every linked pair meets under one of these keys.
-Shingles that a sample finds often come last in the order, which keeps keys
-rare.  Sizes and the parities of 128 parts bound a pair's difference from below;
-what passes is verified on the whole sets (64-bit hashes of shingles).  A key of
-many texts tests each against a few first, and then only pairs that verified
-links don't connect yet."""
+Three differing bits of 64 (`simhash`) find copies with hardly an edit; texts of
+a similarity of 0.8 differ in about 15 of 100 bits.  So fingerprints here are
+wide, cut into many blocks: as wide a block as the number of texts asks for, so
+that strangers rarely share one, and as many as it takes for a pair of the least
+similarity to share one with a probability of RECALL.  Texts that share a block
+are compared by Hamming distance and verified by the exact Jaccard similarity of
+their whole sets (64-bit hashes of shingles).  A block of many texts tests each
+against a few first, and then only pairs that verified links don't connect yet."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import components, parts, plan_bytes, stored
+from tablescout.llm.common import components, parts, stored
 from tablescout.llm.dealing import mix
 
-SHINGLE = 5
-#: Bytes of input (as stored) that are looked at for frequent shingles, and how many of these are kept.
-SAMPLE, FREQUENT = 24 << 20, 1 << 17
-#: Keys of more texts than this are thinned in all rounds but the last: each text meets so many leaders.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Probability that a pair of the least similarity shares a block; similar pairs share more.
+RECALL = 0.99
+#: Bits of a block at least.
+NARROW = 16
+#: Bits that are compared in a block, and how many may differ: five deviations above what the least similarity gives.
+COMPARED = 128
+#: Shingles whose bits are counted at once.
+STEP = 1 << 12
+#: Blocks of more texts than this are thinned in all rounds but the last: each text meets so many leaders.
 LARGE, LEADERS, ROUNDS = 32, 8, 3
+#: Rows of one block that a task holds before all but the leaders are let go (not in the last round).
+HELD = 1 << 18
+
+
+def differing(similarity: float) -> float:
+    """Share of bits in which two sets of equal size and this Jaccard similarity differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def layout(texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(blocks, bits of each)."""
+    bits = min(40, max(NARROW, ceil(log2(texts + 1))))
+    shared = (1 - differing(similarity)) ** bits
+    return ceil(log(1 - recall) / log(1 - shared)), bits
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,56 +67,38 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts has most often, sorted, and their counts.  Any list gives the same links."""
-    rate = max(1, plan_bytes(docs) // SAMPLE)
+def wide_fingerprint(s: np.ndarray, bits: int) -> np.ndarray:
+    """bits (rounded up to 64) zeros and ones: one if set in over half of the shingles' hashes."""
+    seeds = mix(np.arange(1, -(-bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ones = np.zeros(len(seeds) * 64, np.int64)
+    for lo in range(0, len(s), STEP):
+        hashes = mix(s[lo : lo + STEP, None] ^ seeds)
+        each = np.unpackbits(hashes.view(np.uint8), axis=1)
+        for k in range(0, len(each), 255):
+            ones += np.add.reduce(each[k : k + 255], axis=0, dtype=np.uint8)
+    return (2 * ones > len(s)).astype(np.uint8)
+
+
+def block_keys(fingerprint: np.ndarray, blocks: int, bits: int) -> np.ndarray:
+    """The number and the bits of each block as one long."""
+    values = fingerprint[: blocks * bits].reshape(blocks, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    return (np.arange(blocks, dtype=np.int64) << 40) | values
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], ["s"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "version"), F.lit(rate)) == 0).select("text")
-    counted = stored(some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
-    total, least = 0, None
-    for r in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
-        total += r.c
-        if total > FREQUENT:
-            break
-        least = r.n
-    rows = counted.where(F.col("n") >= least).toArrow() if least else None
-    if rows is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    s, n = rows.column("s").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set under which it meets others: its first by (count, hash)."""
-    n = len(s)
-    if n and len(often):
-        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        rank = np.where(often[at] == s, counts[at], 0)
-        if rank.any():
-            s = s[np.lexsort((s, rank))]
-    return s[: n - (4 * n + 4) // 5 + 1] if n else s
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, version, other, node (a hash of the set), size, p0, p1, keys."""
-    often, counts = frequent(docs)
+
+def features(docs: DataFrame, blocks: int, bits: int, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, version, other, node (a hash of the set), size, p0, p1 (the first bits), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, bits, keys = [], [], [], []
+            node, size, first, keys = [], [], [], []
             for t in b.column(3):
-                s = shingle_set(t.as_py())
+                s = shingle_set(t.as_py(), shingle)
+                f = wide_fingerprint(s, max(blocks * bits, COMPARED))
                 node.append(_node(s))
                 size.append(len(s))
-                bits.append(np.packbits(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1).view(np.int64))
-                keys.append(prefix(s, often, counts).view(np.int64))
-            both = np.array(bits).reshape(-1, 2)
+                first.append(np.packbits(f[:COMPARED]).view(np.int64))
+                keys.append(block_keys(f, blocks, bits) if len(s) else np.zeros(0, np.int64))
+            both = np.array(first).reshape(-1, 2)
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             cols = [*b.columns[:3], pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), listed]
@@ -104,16 +107,18 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "version", "other", "text").mapInArrow(run, "doc_id long, version long, other long, node long, size int, p0 long, p1 long, keys array<long>")
 
 
-def _possible(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows could link: 9 times the difference is at most the sum of sizes."""
+def _possible(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows could link: by size and Hamming distance."""
     _, node, size, p0, p1, root = c
     a, b = size[i].astype(np.int64), size[j].astype(np.int64)
     apart = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in (p0, p1))
-    return (root[i] != root[j]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * apart <= a + b)
+    p = differing(similarity)
+    most = COMPARED * p + 5 * (COMPARED * p * (1 - p)) ** 0.5
+    return (root[i] != root[j]) & (np.minimum(a, b) + 1e-9 >= similarity * np.maximum(a, b)) & (apart <= most)
 
 
-def _candidates(c: tuple[np.ndarray, ...], turn: int) -> tuple[np.ndarray, list[int]]:
-    """Pairs of nodes to verify, from whole groups of rows sorted by key; keys that were thinned."""
+def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tuple[np.ndarray, list[int]]:
+    """Pairs of nodes to verify, from rows sorted by block; blocks that were thinned.  A large block's first rows are its leaders."""
     key, node = c[0], c[1]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     sizes = np.diff(starts)
@@ -121,30 +126,27 @@ def _candidates(c: tuple[np.ndarray, ...], turn: int) -> tuple[np.ndarray, list[
     out, thinned = [], []
     for d in range(1, min(LARGE, int(sizes.max(initial=0)))):
         i = np.flatnonzero((key[:-d] == key[d:]) & small[d:])
-        i = i[_possible(c, i, i + d)]
+        i = i[_possible(c, i, i + d, similarity)]
         out.append(np.stack([node[i], node[i + d]], 1))
     for g in np.flatnonzero(sizes > LARGE).tolist():
         rows = np.arange(starts[g], starts[g + 1])
-        rows = rows[np.unique(node[rows], return_index=True)[1]]
-        if turn < ROUNDS - 1 and len(rows) > LARGE:
-            order = np.argsort(mix(node[rows].view(np.uint64) ^ np.uint64(turn + 1)))
-            firsts, others = rows[order[:LEADERS]], rows
+        firsts = rows if last else rows[:LEADERS]
+        if not last:
             thinned.append(int(key[starts[g]]))
-        else:
-            firsts, others = rows, rows
-        for k, i in enumerate(firsts.tolist()):
-            j = others if firsts is not others else others[k + 1 :]
-            j = j[_possible(c, np.full(len(j), i), j)]
+        for i in firsts.tolist():
+            j = rows[i - starts[g] + 1 :]
+            j = j[_possible(c, np.full(len(j), i), j, similarity)]
             out.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
     return np.unique(np.sort(pairs, axis=1), axis=0), thinned
 
 
-def _meet(keyed: DataFrame, n: int, turn: int) -> DataFrame:
-    """(a, b, thinned): candidate pairs; or a key in a, thinned."""
+def _meet(keyed: DataFrame, n: int, turn: int, similarity: float) -> DataFrame:
+    """(a, b, thinned): candidate pairs; or a block in a, thinned."""
+    final = turn == ROUNDS - 1
 
     def rows(c: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        pairs, thinned = _candidates(tuple(np.concatenate(x) for x in zip(*c, strict=True)), turn)
+        pairs, thinned = _candidates(tuple(np.concatenate(x) for x in zip(*c, strict=True)), final, similarity)
         a = np.concatenate((pairs[:, 0], np.array(thinned, np.int64)))
         b = np.concatenate((pairs[:, 1], np.zeros(len(thinned), np.int64)))
         if len(a):
@@ -153,69 +155,84 @@ def _meet(keyed: DataFrame, n: int, turn: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            c = tuple(x.to_numpy() for x in b.columns)
+            c = tuple(x.to_numpy() for x in b.columns[:6])
             last = int(np.searchsorted(c[0], c[0][-1])) if len(c[0]) else 0  # the last key may go on
             if last or (held and len(c[0]) and held[-1][0][-1] != c[0][-1]):
                 yield from rows([*held, tuple(x[:last] for x in c)])
                 held = []
             held.append(tuple(x[last:] for x in c))
+            if not final and sum(len(h[0]) for h in held) > HELD:
+                yield from rows(held)
+                first = tuple(np.concatenate(x)[:LEADERS] for x in zip(*held, strict=True))
+                held = [first]
         if held:
             yield from rows(held)
 
-    dealt = keyed.select("key", "node", "size", "p0", "p1", "root").repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long, thinned boolean").distinct()
+    dealt = keyed.withColumn("turn", F.xxhash64("node", F.lit(turn))).select("key", "node", "size", "p0", "p1", "root", "turn")
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(run, "a long, b long, thinned boolean").distinct()
 
 
-def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more."""
+def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least this similarity.  at: node, doc_id, version of one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                held.append(9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t)))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                held.append(both + 1e-9 >= similarity * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    at = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at")).select("node", "at.*")
-    at = stored(at, "neardup-nodes")
-    texts = docs.select("doc_id", "version", "text").join(at, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
+    wanted = at.join(nodes, "node", "left_semi")
+    texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
     known = stored(texts.mapInArrow(sets, "node long, s binary"), "neardup-sets")
     joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+def one_of_each(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Of each component of linked texts, the first row by (doc_id, text's hash,
-    hash of its other columns).  Texts without words are alike.  Rows without an
-    id stay and link nothing."""
-    spark = docs.sparkSession
+    hash of its other columns).
+
+    A pair of exactly `similarity` is found with probability `recall`, and the
+    more similar, the surer; no pair below it links.  Texts without words are
+    alike, null ones too.  Rows without an id stay and link nothing.  Of equal
+    rows one stays; rows of one doc_id and different texts are texts of their
+    own.  An empty table gives no rows.  Other columns than `columns` (which
+    must hold doc_id and text) are dropped."""
     other = F.xxhash64(*[c for c in columns if c not in ("doc_id", "text")], F.lit(0)).alias("other")
     whole = docs.select(*columns, F.xxhash64("text").alias("version"), other)
     known = whole.where("doc_id is not null")
-    found = stored(features(known), "neardup")
-    n = parts(found)
-    roots = links = None
-    thinned = None
+    blocks, bits = layout(known.count(), similarity, recall)
+    found = stored(features(known, blocks, bits, shingle), "neardup")
+    # equal sets are one node from here on
+    nodes = stored(found.dropDuplicates(["node"]), "neardup-nodes")
+    at = nodes.select("node", "doc_id", "version")
+    n = parts(nodes)
+    roots = links = thinned = None
     for turn in range(ROUNDS):
-        keyed = found.select("node", "size", "p0", "p1", F.explode("keys").alias("key"))
-        if thinned is not None:
-            keyed = keyed.join(thinned, "key", "left_semi")
-        keyed = keyed.withColumn("root", F.col("node")) if roots is None else keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        met = stored(_meet(keyed, n, turn), "neardup-pairs")
-        new = stored(_verified(met.where("not thinned").select("a", "b"), found, known), "neardup-links")
+        keyed = nodes.select("node", "size", "p0", "p1", F.explode("keys").alias("key"))
+        if thinned is None:
+            keyed = keyed.withColumn("root", F.col("node"))
+        else:
+            keyed = keyed.join(thinned, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            split = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            keyed = keyed.join(split, "key", "left_semi")  # what links connect already has nothing to find
+        met = stored(_meet(keyed, n, turn, similarity), "neardup-pairs")
+        new = stored(_verified(met.where("not thinned").select("a", "b"), at, known, shingle, similarity), "neardup-links")
         links = new if links is None else links.unionByName(new)
         roots = components(links, "neardup-roots")
         thinned = met.where("thinned").select(F.col("a").alias("key"))
         if thinned.limit(1).count() == 0:
             break
-    at = F.struct("doc_id", "version", "other").alias("at")
-    place = found.select("node", at).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"), "at").agg(F.count("*").alias("copies"))
+    place_of = F.struct("doc_id", "version", "other").alias("at")
+    place = found.select("node", place_of).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"), "at").agg(F.count("*").alias("copies"))
     first = stored(place.groupBy("root").agg(F.min(F.struct("at", "copies")).alias("m")).select("m.at.*", "m.copies"), "neardup-first")
     kept = known.join(first, ["doc_id", "version", "other"])
     alone = kept.where("copies = 1").select(columns).unionByName(kept.where("copies > 1").select(columns).dropDuplicates(columns))

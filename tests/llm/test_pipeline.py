@@ -50,19 +50,44 @@ def survivors(docs):
     return sorted(i for i in root if find(i) == i)
 
 
+def linked_pairs(docs):
+    known = [(i, shingles(t)) for i, t in docs if i is not None]
+    return [(i, j) for k, (i, a) in enumerate(known) for j, b in known[:k] if 10 * len(a & b) >= 8 * len(a | b)]
+
+
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    """Nothing below the similarity links, so what brute force keeps stays; hardly a pair is missed."""
     docs = near_copies()
     got = corpus_pipeline.drop_near_duplicates(spark, table(spark, docs), "").collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == survivors(docs) and sum(r.doc_id is None for r in got) == 2
+    ids, want = {r.doc_id for r in got if r.doc_id is not None}, set(survivors(docs))
+    assert want <= ids and len(ids) <= 1.02 * len(want) and sum(r.doc_id is None for r in got) == 2
     assert {(r.doc_id, r.text) for r in got} <= set(docs) and all(r.n_chars == len(r.text or "") for r in got)
-    # few leaders, thinned keys and no list of frequent shingles: the same
+    # few leaders, thinned blocks, few rows held: the same
     monkeypatch.setattr(neardup, "LARGE", 2)
     monkeypatch.setattr(neardup, "LEADERS", 1)
-    monkeypatch.setattr(neardup, "FREQUENT", 0)
+    monkeypatch.setattr(neardup, "HELD", 10)
     again = corpus_pipeline.drop_near_duplicates(spark, table(spark, docs), "").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_blocks_find_pairs_as_often_as_said():
+    """Pairs of 0.8 and more share a block with the stated probability, strangers hardly ever."""
+    blocks, bits = neardup.layout(100_000)
+    docs = [(i, t) for i, t in near_copies(3) if i is not None and len(shingles(t)) > 3]
+    keys = {i: set(neardup.block_keys(neardup.wide_fingerprint(neardup.shingle_set(t), blocks * bits), blocks, bits).tolist()) for i, t in docs}
+    pairs = [p for p in linked_pairs(docs) if p[0] != p[1]]
+    assert len(pairs) > 200 and sum(bool(keys[i] & keys[j]) for i, j in pairs) >= 0.985 * len(pairs)
+    sets = {i: shingles(t) for i, t in docs}
+    far = [(i, j) for i in list(keys)[::7] for j in list(keys)[::11] if i != j and not sets[i] & sets[j]]
+    assert sum(bool(keys[i] & keys[j]) for i, j in far) <= 0.01 * len(far)
+
+
+def test_rows_of_one_id_and_different_texts_stay(spark):
+    docs = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (2, "o p q r s t u")]
+    got = corpus_pipeline.drop_near_duplicates(spark, table(spark, docs), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u")]
+
+
 def test_repeated_passages_go_from_later_texts(spark):
     """Passages of 2 to 6 lines over 50 words, planted in two texts each, against brute force."""
     r = random.Random(11)
