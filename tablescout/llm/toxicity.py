@@ -1,14 +1,15 @@
 """Toxicity by a subsequence string-kernel support vector machine.
 
-The kernel of two words sums, over all subsequences of three characters that
+The kernel of two units sums, over all subsequences of three characters that
 they share, the decayed weights with which each holds them: gaps cost, but do
 not forbid, so inserted characters and spaced-out insults stay close to the
-plain ones.  Words (with joined runs of single letters, accents, case and
-look-alike digits folded) are the units; a sentence is as toxic as its worst
-unit, a text as its worst sentence.  Labels are of texts, so which unit of a
-toxic text is to blame is learned too: first the unit most associated with the
-label, then the unit of highest margin.  Nystroem landmarks stand for the
-kernel's feature space; the machine is linear there, trained by Newton steps."""
+plain ones.  Units are words (with joined runs of single letters; accents, case
+and look-alike digits folded); letters beyond a-z share a table of codes by
+their number.  A text is as toxic as its worst unit.  Labels are of texts, so
+which unit of a toxic text is to blame is learned too: first the units most
+associated with the label, then the unit of highest margin.  Nystroem landmarks
+stand for the kernel's feature space; the machine is linear there, trained by
+Newton steps."""
 
 from __future__ import annotations
 
@@ -19,20 +20,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescout.llm.common import stored
+
 DECAY = 0.6
 #: Characters that a subsequence may span.
 SPAN = 6
 #: Characters of a unit that are looked at together; longer ones in overlapping windows.
 UNIT = 24
 LANDMARKS = 192
-#: At most so many labelled texts of each class are learned from, chosen by a hash of the id.
-SAMPLE = 4000
+#: At most so many labelled texts of each class are learned from, chosen by a
+#: hash of the id, as long as their distinct units take up to SAMPLE_BYTES a class.
+SAMPLE, SAMPLE_BYTES = 4000, 48 << 20
+#: Of the units of those texts: how many of the most blamed landmarks are chosen
+#: from; how many units of other texts are negatives: drawn by a fixed seed, most
+#: frequent, and of the highest margins, added in each round.
+POOL, DRAWN, COMMON, HARD = 12 * LANDMARKS, 40 * LANDMARKS, 10 * LANDMARKS, 20 * LANDMARKS
 THRESHOLD = 0.3
 #: Units whose subsequences are laid out as a table together, when kernels are computed.
-TABLE = 256
+TABLE = 64
 #: Units whose margins are computed together.
 TOGETHER = 4000
 #: Words that are remembered by a worker; then those in use stay.
@@ -42,7 +50,7 @@ STEP = 200_000
 #: Look-alikes.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_*~|/\\"
-LETTERS = 28  # 0: edge of the unit, 1..26: letters, 27: any other
+LETTERS = 48  # 0: edge of the unit, 1..26: letters, 27..47: others, by their number
 SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
 
 
@@ -68,7 +76,7 @@ def codes(units: list[str]) -> np.ndarray:
     out = np.full((len(units), UNIT + 2), -1, np.int32)
     size = np.fromiter(map(len, units), np.int64, len(units))
     flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64) - 96
-    flat = np.where((flat >= 1) & (flat <= 26), flat, 27)
+    flat = np.where((flat >= 1) & (flat <= 26), flat, 27 + flat % (LETTERS - 27))
     row = np.repeat(np.arange(len(units)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1] = flat
     out[:, 0] = 0
@@ -198,7 +206,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     ranked = sorted(blame, key=lambda u: (-blame[u], u))
     # landmarks: the most blamed units that are unlike each other, then frequent clean ones
     chosen: list[str] = []
-    pool = ranked[: 12 * landmarks]
+    pool = ranked[:POOL]
     if not pool:
         return flat
     like = kernel(pool, pool)
@@ -211,13 +219,11 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # Nystroem map: kernel with landmarks times root
-    table = np.zeros((len(chosen), LETTERS**3))
-    r, s, w = subsequences(chosen)
-    table[r, s] = w
+    landmark, held, weight_of = subsequences(chosen)
     rng = np.random.default_rng(seed)
     clean_units = sorted(clean)
-    some = [clean_units[i] for i in rng.permutation(len(clean_units))[: 40 * LANDMARKS]]
-    negatives = some + [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: 10 * LANDMARKS]]
+    some = [clean_units[i] for i in rng.permutation(len(clean_units))[:DRAWN]]
+    negatives = some + [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
 
     def witnesses(margin) -> list[str]:
         out: list[str] = []
@@ -237,11 +243,12 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         sign = np.concatenate([np.ones(len(names) + len(stretched)), -np.ones(len(negatives))])
         weight = np.concatenate([np.array([counts[u] for u in names], float), np.full(len(stretched), 0.2), np.ones(len(negatives))])
         v = svm(x, sign, weight)
-        model = Model(table.T @ (root @ v[:-1]), float(v[-1]), 1.0, 0.0, chosen)
+        share_of = (root @ v[:-1])[landmark]
+        model = Model(np.bincount(held, weight_of * share_of, LETTERS**3), float(v[-1]), 1.0, 0.0, chosen)
         every = sorted(set(toxic) | set(clean))
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         witness = witnesses(margin.__getitem__)
-        hard = sorted(clean, key=lambda u: (-margin[u], u))[: 20 * LANDMARKS]
+        hard = sorted(clean, key=lambda u: (-margin[u], u))[:HARD]
         negatives = sorted(set(negatives) | set(hard))
     worst = np.array([max((margin[u] for u in bag), default=model.bias) for bag in bags])
     a, b = 1.0, 0.0  # logistic curve on the worst margin, by gradient steps on balanced-free counts
@@ -311,21 +318,30 @@ class Scorer:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
-    """Up to `sample` labelled texts of each class for which keep(doc_id) holds, least hash of the id first; a fixed bound."""
+    """Distinct units and label of up to `sample` labelled texts of each class
+    for which keep(doc_id) holds, least hash of the id first, and of SAMPLE_BYTES
+    a class at most; a fixed bound.  An id with both labels is toxic; equal rows
+    count once; null ids and other labels than 0 and 1 are left out."""
     ids = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull())
     ids = ids.groupBy("i").agg(F.max("y").alias("y")).where(keep(F.col("i")))
+    first = [F.xxhash64("i"), F.col("i")]
     chosen = None
     for y in (0, 1):
-        part = ids.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(sample)
+        part = ids.where(F.col("y") == y).orderBy(*first).limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i")  # at most 2 * sample rows
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i")  # at most 2 * sample ids
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [" ".join(sorted(set(units_of(t)))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), b.column(2)], ["i", "bag", "y"])
 
-    got = rows.select("i", "text", "y").mapInArrow(shrink, "i long, bag string, y int").collect()
+    bags = stored(rows.select("i", "text", "y").mapInArrow(shrink, "i long, bag string, y int"), "toxicity-sample").distinct()
+    got = []
+    for y in (0, 1):
+        part = bags.where(F.col("y") == y).orderBy(*first, "bag").limit(sample)
+        so_far = F.sum(F.octet_length("bag")).over(Window.orderBy(*first, "bag").rowsBetween(Window.unboundedPreceding, 0))  # of at most `sample` rows
+        got += part.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).collect()
     got.sort(key=lambda r: (r.i, r.bag))
     return [r.bag for r in got], [r.y for r in got]
 
@@ -354,16 +370,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows outside the held-out fold."""
+    """Learns from labelled rows outside the held-out fold (`sampled`).  Without
+    any, or with one class only, all texts get the same score, the share of
+    toxic ones.  Null and empty labelled texts count as texts without units."""
     return train(*sampled(docs, labels, lambda i: ~held_out(i), sample))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted (see `score`) by a machine learned from
+    the labelled rows (see `fit`).  Empty tables on either side are fine."""
     return score(docs, fit(docs, labels, sample))
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below threshold."""
+    """The rows of docs, all columns as they are, whose text scores below
+    threshold.  Null and empty texts have no evidence and so stay, unless the
+    model without evidence rejects all; repeated rows are treated alike."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
