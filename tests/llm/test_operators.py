@@ -171,34 +171,6 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in decontaminate.without_items(made(spark, docs), table).collect()} == {d for d, _ in docs if d not in hit}
 
 
-def test_top_k_against_brute_force(spark):
-    r = np.random.default_rng(0)
-    x = np.vstack([r.normal(size=(150, 8)) * 0.3, r.normal(size=(250, 8)) * 0.01 + r.normal(size=8)])
-    x[7] = x[8]
-    rows = [(i, [float(v) for v in row], "s") for i, row in enumerate(x)] + [(1000, None, "s"), (1100, [1.0, None], "s"), (1200, [float("nan")] * 8, "s"), (None, [1.0] * 8, "s")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = topk.top_k(table, every=10, block=100, query_block=16).collect()
-    y = np.floor(1024 * x).astype(np.int64)
-    want = []
-    for q in range(0, 400, 10):
-        s = y @ y[q]
-        order = [i for i in sorted(range(400), key=lambda i: (-s[i], i)) if i != q][:10]
-        want += [(q, k + 1, i, int(s[i])) for k, i in enumerate(order)]
-    assert sorted(tuple(g) for g in got) == want
-    assert topk.top_k(table.limit(0)).count() == 0
-
-
-def test_top_k_prunes():
-    r = np.random.default_rng(1)
-    centers = r.normal(size=(30, 16)) * 100
-    x = np.vstack([c + r.normal(size=(100, 16)) for c in centers])
-    search, seen = topk.DualSearch(x[::50].copy(), np.arange(0, 3000, 50), 5), []
-    leaf = search._leaf
-    search._leaf = lambda a, b, *z: (seen.append((a.high - a.low) * (b.high - b.low)), leaf(a, b, *z))
-    search.add(x, np.arange(3000))
-    assert sum(seen) < 0.5 * 60 * 3000
-
-
 def test_toxicity(spark):
     r = random.Random(6)
     clean = ["river", "lamp", "stone", "green", "paper", "window", "music", "letter", "garden", "silver"]
