@@ -109,8 +109,24 @@ def sort_suffixes(text: Text, start: np.ndarray, size: np.ndarray, group: np.nda
 # ------------------------------------------------------------ buckets
 
 
+def equal_strings(data: np.ndarray, start: np.ndarray, length: int, h: np.ndarray) -> np.ndarray:
+    """Which of the strings data[start : start + length] equal another, by hash;
+    strings that differ from the first of their hash are hashed anew."""
+    while True:
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(order) else np.zeros(0, bool)
+        first = np.empty(len(order), np.int64)
+        first[order] = order[new][np.cumsum(new) - 1]
+        again = np.flatnonzero(first != np.arange(len(first)))
+        wrong = [k for k in again.tolist() if not np.array_equal(data[start[k] : start[k] + length], data[start[first[k]] : start[first[k]] + length])]
+        if not wrong:
+            return np.union1d(again, first[again])
+        h = h.copy()
+        h[wrong] = [xxhash.xxh64_intdigest(data[start[k] : start[k] + length].tobytes(), 1) for k in wrong]
+
+
 def shared_spans(pieces: list[bytes], anchors: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For different pieces, aligned at their anchors within their groups:
+    """For pieces, equal ones too, aligned at their anchors within their groups:
     from where to where each is covered by strings that another has too (0, 0: none)."""
     n = len(pieces)
     size = np.fromiter(map(len, pieces), np.int64, n)
@@ -147,13 +163,9 @@ def shared_spans(pieces: list[bytes], anchors: np.ndarray, group: np.ndarray, le
         x = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
         start = at[which] - x
         h = mix(ahead.hashes(start, length)) ^ mix(group[which].astype(np.uint64) * np.uint64(512) + x.astype(np.uint64))
-        order = np.argsort(h, kind="stable")
-        same = np.flatnonzero(h[order][1:] == h[order][:-1])
-        one, two = order[same], order[same + 1]
-        sure = np.fromiter((np.array_equal(data[p : p + length], data[q : q + length]) for p, q in zip(start[one].tolist(), start[two].tolist(), strict=True)), bool, len(one))
-        for k in (one[sure], two[sure]):
-            np.maximum.at(best_l, which[k], x[k])
-            np.maximum.at(best_r, which[k], length - x[k])
+        k = equal_strings(data, start, length, h)
+        np.maximum.at(best_l, which[k], x[k])
+        np.maximum.at(best_r, which[k], length - x[k])
     some = (best_l + best_r) >= length
     return np.where(some, anchors - best_l, 0), np.where(some, anchors + best_r, 0)
 
@@ -247,34 +259,27 @@ def _answer(length: int):
         several = np.flatnonzero(counts[back] > 1)
         several = several[np.argsort(back[several], kind="stable")]
         low, high = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        held: list[tuple[int, bytes, list[int]]] = []
+        held: list[tuple[int, bytes, int]] = []
         held_bytes = 0
 
         def settle() -> None:
             nonlocal held_bytes
             if held:
-                first = np.array([e[2][0] for e in held])
-                a, b = shared_spans([e[1] for e in held], anchor[first], np.array([e[0] for e in held]), length)
-                for (_, _, entries), x, y in zip(held, a.tolist(), b.tolist(), strict=True):
-                    if y and not high[entries[0]]:
-                        low[entries], high[entries] = x, y
+                which = np.array([k for _, _, k in held])
+                a, b = shared_spans([p for _, p, _ in held], anchor[which], np.array([g for g, _, _ in held]), length)
+                low[which], high[which] = a, b
             held.clear()
             held_bytes = 0
 
         cuts = np.flatnonzero(np.diff(back[several])) + 1
         for g, entries in enumerate(np.split(several, cuts) if len(several) else []):
-            whole: dict[bytes, list[int]] = {}
-            for k in entries.tolist():
-                whole.setdefault(parcels[who[k]][1][begin[k] : begin[k] + size[k]], []).append(k)
-            for piece, ks in whole.items():
-                if len(ks) > 1 or times[ks[0]] > 1:
-                    low[ks], high[ks] = 0, len(piece)
-            if len(whole) > 1:
-                held += [(g, piece, ks) for piece, ks in whole.items()]
-                held_bytes += sum(map(len, whole))
-                if held_bytes > SORTED:
-                    settle()
+            held += [(g, parcels[who[k]][1][begin[k] : begin[k] + size[k]], k) for k in entries.tolist()]
+            held_bytes += int(size[entries].sum())
+            if held_bytes > SORTED:
+                settle()
         settle()
+        twice = times > 1
+        low[twice], high[twice] = 0, size[twice]
         out = []
         for w in range(len(parcels)):
             mine = np.flatnonzero((who == w) & (high > 0))

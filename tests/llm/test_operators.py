@@ -84,6 +84,10 @@ def test_suffix_sort_and_spans():
         got = suffixes.sort_suffixes(text, start, size, group)
         raw = data.tobytes()
         assert [(g, raw[s : s + n]) for g, s, n in zip(group[got], start[got], size[got])] == sorted((g, raw[s : s + n]) for g, s, n in zip(group, start, size))
+    data = np.frombuffer(b"abcabdabcabeabd", np.uint8)  # one hash for all: told apart by their bytes
+    assert suffixes.equal_strings(data, np.array([0, 3, 6, 9, 12]), 3, np.zeros(5, np.uint64)).tolist() == [0, 1, 2, 4]
+    pieces = [b"....anchor....", b"....anchor....", b"x...anchor...x"]
+    assert [x.tolist() for x in suffixes.shared_spans(pieces, np.full(3, 4), np.zeros(3, np.int64), 12)] == [[0, 0, 1], [14, 14, 13]]
     for _ in range(40):  # many pieces of one anchor
         pieces = list({bytes(r.choice(b"ab") for _ in range(6)) + b"XY" + bytes(r.choice(b"ab") for _ in range(6)) for _ in range(r.randint(2, 30))})
         low, high = suffixes.shared_spans(pieces, np.full(len(pieces), 6), np.zeros(len(pieces), np.int64), 8)
