@@ -3,7 +3,8 @@
 Several operators need, for each of a text's many small strings, what the whole
 corpus says about it.  One row a string would multiply the text; instead:
 
-1. documents are dealt into blocks by a hash of their id (one shuffle of text);
+1. documents are dealt into blocks by a hash of their id (one shuffle of text),
+   a block to a task;
 2. each block packs what it asks, one compressed parcel for each bucket; equal
    strings of a block travel once, so a string of very many documents reaches
    its bucket at most once a block;
@@ -11,13 +12,22 @@ corpus says about it.  One row a string would multiply the text; instead:
 4. each block reads its documents again, asks the same way (its order is fixed)
    and applies the answers.
 
-The text's shuffle is used for 2 and 4, parcels are compressed, and no task
-holds more than a block, or a bucket's parcels."""
+The text's shuffle is used for 2 and 4, parcels are compressed, and a task holds
+one block (its documents whole, so one very long document is a block of its
+size), or one bucket's parcels.
+
+Blocks times buckets parcels would grow as the square of the input.  From WIDE
+blocks on, parcels travel in envelopes by way of relays: a block sends one to
+each of about the root of n groups of buckets; the relay of a group of blocks
+and a group of buckets opens those and makes one for each bucket.  Answers come
+back the same way.  Rows then number about n to the power 1.5, at the price of
+a second shuffle of parcels."""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from math import ceil
 from typing import Any
 
 import numpy as np
@@ -47,6 +57,37 @@ def _docs(table: pa.Table | pa.RecordBatch) -> list[Doc]:
     return rows
 
 
+#: From so many blocks on, parcels go by relays.
+WIDE = 4096
+#: Bytes of parcels that are handed over together.
+TOGETHER = 1 << 20
+
+
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of ints and a blob, some at a time."""
+    types = [*[pa.int32()] * (len(names) - 1), pa.binary()]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 64
+        if size > TOGETHER:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
+    """{first column: [(second, blob)]} of a task, each list in the order of its second column."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for to, by, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out.setdefault(to, []).append((by, blob))
+    for rows in out.values():
+        rows.sort(key=lambda r: r[0])
+    return out
+
+
 def ask_and_answer(
     docs: DataFrame,
     ask: Callable[[list[Doc], int], Iterator[tuple[int, Any]]],
@@ -54,44 +95,83 @@ def ask_and_answer(
     apply: Callable[[list[Doc], dict[int, Any], int], pa.Table],
     schema: str,
     each_mb: int = 8,
+    wide: int | None = None,
 ) -> DataFrame:
     """ask(docs, buckets) -> (bucket, parcel) for some or all buckets; answer(parcels of
     one bucket) -> an answer for each; apply(docs, {bucket: answer}, buckets)
     -> rows.  docs has doc_id long, text string."""
     n = parts(docs, each_mb)
     block = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int").alias("block")
-    dealt = docs.select(block, "doc_id", "text").repartition(n, "block")
+    dealt = docs.select(block, "doc_id", "text").repartitionById(n, F.col("block"))
     names = [f.split(" ")[0] for f in schema.split(", ")]
+    relayed = n >= (WIDE if wide is None else wide)
+    root = max(1, ceil(n**0.5))  # buckets, and blocks, of a group
+    groups = -(-n // root)
+    sent, letters = ["to", "by", "blob"], "to int, by int, blob binary"
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
-        for b in batches:
-            blocks = b.column(0).to_numpy()
-            for k in np.unique(blocks).tolist():
-                held.setdefault(k, []).append(b.filter(pa.array(blocks == k)))
-        for k in list(held):
-            for bucket, parcel in ask(_docs(pa.Table.from_batches(held.pop(k))), n):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), pa.array([pack(parcel)], pa.binary())], ["bucket", "block", "parcel"])
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        k = table.column("block")[0].as_py()
+        parcels = ask(_docs(table), n)
+        if not relayed:
+            yield from _batches(((bucket, k, pack(parcel)) for bucket, parcel in parcels), sent)
+            return
+        envelopes: dict[int, list] = {}
+        for bucket, parcel in parcels:
+            envelopes.setdefault(bucket // root, []).append((bucket, parcel))
+        yield from _batches(((to * groups + k // root, k, pack(parcels)) for to, parcels in envelopes.items()), sent)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for bucket, k, parcel in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append((k, parcel))
-        for bucket in list(held):
-            got = sorted(held.pop(bucket))
-            replies = answer([unpack(p) for _, p in got])
-            for (k, _), reply in zip(got, replies, strict=True):
-                if reply is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(reply)], pa.binary())], ["block", "bucket", "reply"])
+        def rows() -> Iterator[tuple]:
+            held = _gathered(batches)
+            for bucket in list(held):
+                got = [(k, unpack(blob)) for k, blob in held.pop(bucket)]
+                if relayed:
+                    got = sorted((one for _, several in got for one in several), key=lambda r: r[0])
+                replies = zip([k for k, _ in got], answer([p for _, p in got]), strict=True)
+                if not relayed:
+                    yield from ((k, bucket, pack(reply)) for k, reply in replies if reply is not None)
+                    continue
+                envelopes: dict[int, list] = {}
+                for k, reply in replies:
+                    if reply is not None:
+                        envelopes.setdefault(k // root, []).append((k, reply))
+                yield from ((bucket // root * groups + g, bucket, pack(several)) for g, several in envelopes.items())
+
+        yield from _batches(rows(), sent)
+
+    def relay(group: Callable[[int], int]) -> Callable:
+        """Opens envelopes and makes one for each receiver; group(relay) is what the receiver sorts them by."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                for hop, got in _gathered(batches).items():
+                    receivers: dict[int, list] = {}
+                    for by, blob in got:
+                        for to, thing in unpack(blob):
+                            receivers.setdefault(to, []).append((by, thing))
+                    yield from ((to, group(hop), pack(things)) for to, things in receivers.items())
+
+            yield from _batches(rows(), sent)
+
+        return run
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
-        replies = dict(zip(right.column("bucket").to_pylist(), map(unpack, right.column("reply").to_pylist()), strict=True))
+        got = [(by, unpack(blob)) for by, blob in zip(right.column("by").to_pylist(), right.column("blob").to_pylist(), strict=True)]
+        replies = dict(one for _, several in got for one in several) if relayed else dict(got)
         return apply(_docs(left), replies, n).select(names)
 
-    parcels = dealt.mapInArrow(asked, "bucket int, block int, parcel binary").repartition(n, "bucket")
-    replies = parcels.mapInArrow(answered, "block int, bucket int, reply binary").repartition(n, "block")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(applied, schema)
+    parcels = dealt.mapInArrow(asked, letters)
+    if relayed:
+        parcels = parcels.repartitionById(groups * groups, F.col("to")).mapInArrow(relay(lambda hop: hop % groups), letters)
+    replies = parcels.repartitionById(n, F.col("to")).mapInArrow(answered, letters)
+    if relayed:
+        replies = replies.repartitionById(groups * groups, F.col("to")).mapInArrow(relay(lambda hop: hop // groups), letters)
+    replies = replies.repartitionById(n, F.col("to"))
+    return dealt.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(applied, schema)
 
 
 def least_positions(grams: np.ndarray, span: int) -> np.ndarray:
