@@ -61,10 +61,13 @@ def cells(data: DataFrame, name: Column) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Deals a scan of fewer tasks than cores over all of them (small files);
-    a scan that already fills the cluster is left alone."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() * 2 < cores else frame
+    """Deals a scan of few bytes, which gets fewer tasks than cores, over all of
+    them; by the optimizer's estimate, so nothing runs for it."""
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size // each * 2 < cores else frame
 
 
 @dataclass(frozen=True)

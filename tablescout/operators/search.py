@@ -11,6 +11,8 @@ from tablescout.operators.words import content_index, content_tokens, count_word
 
 #: Up to this many characters a query's words go to all executors; beyond, the join shuffles.
 BROADCAST_CHARS = 1 << 20
+#: Places in the collection that are ranked together.
+SLICE = 1 << 16
 
 
 def query_words(spark: SparkSession, query: str) -> DataFrame:
@@ -27,8 +29,14 @@ def scores(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rank_datasets(scored: DataFrame) -> DataFrame:
-    """Adds rank: score descending, ties in collection order.  One row a dataset, so one task sorts the catalog."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ord")).cast("long"))
+    """Adds rank: score descending, ties in collection order.  Datasets of one
+    score are ranked SLICE at a time; only the slices' sizes are summed in one task."""
+    sliced = scored.withColumn("slice", F.floor(F.col("ord") / SLICE))
+    sizes = sliced.groupBy("score", "slice").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score"), "slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("score", "slice", above.alias("above"))
+    place = F.row_number().over(Window.partitionBy("score", "slice").orderBy("ord"))
+    return sliced.withColumn("place", place).join(sizes, ["score", "slice"]).withColumn("rank", (F.col("above") + F.col("place")).cast("long")).drop("slice", "place", "above")
 
 
 def keyword_search(collection: Collection, query: str, in_metadata: bool = False, k: int = 10, top: bool = True, index: DataFrame | None = None) -> DataFrame:
@@ -61,11 +69,12 @@ def keyword_search(collection: Collection, query: str, in_metadata: bool = False
     found = found.withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
     used = F.col("has_metadata") if in_metadata else F.lit(False)
     found = found.withColumn("used_metadata", used).withColumn("metadata", F.col("raw_metadata") if in_metadata else F.lit(None).cast("string"))
+    found = rank_datasets(found)
     if want_top:
         found = found.join(top_word_lists(content, k), "dataset_name", "left")
     else:
         found = found.withColumn("top_words", F.lit(None).cast("array<struct<word:string,cnt:bigint>>"))
-    return rank_datasets(found).select("dataset_name", "ord", "score", "rank", "used_metadata", "metadata", "top_words")
+    return found.select("dataset_name", "ord", "score", "rank", "used_metadata", "metadata", "top_words")
 
 
 #: What the operators that only report say.  `vector` has the wording of `cause_and_consequences`.

@@ -6,7 +6,7 @@ quoting.  Only the first argument counts."""
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablescout.operators.collection import Collection
 from tablescout.operators.results import UNKNOWN, display_lines, no_result_message
 from tablescout.operators.search import REPORTS, keyword_search, report
+from tablescout.sources.scratch import stored
 
 log = logging.getLogger(__name__)
 SEARCH = "semantic"
@@ -71,10 +72,11 @@ class DiscoveryEngine:
     def _report(name: str):
         return lambda collection, argument, in_metadata: report(collection, name, argument)
 
-    def run(self, query: str, in_metadata: bool = False) -> list[OperationResult]:
+    def run(self, query: str, in_metadata: bool = False) -> Iterator[OperationResult]:
+        """Results one by one, so that an operation that fails loses none before it."""
         operations = parse_query(query)
         log.info("Operations: %s", [o.raw for o in operations])
-        return [self._one(o, operations, in_metadata) for o in operations]
+        return (self._one(o, operations, in_metadata) for o in operations)
 
     def _one(self, op: Operation, operations: list[Operation], in_metadata: bool) -> OperationResult:
         spark = self.collection.catalog.sparkSession
@@ -91,10 +93,14 @@ class DiscoveryEngine:
         return OperationResult(op, True, frame, frame.select("message") if "message" in frame.columns else None)
 
     def show(self, query: str, in_metadata: bool = False, repeat: bool = False) -> None:
-        """Prints what `run` finds; one row a dataset comes to the driver."""
+        """Prints what `run` finds, operation by operation.  A search is written
+        once and printed from there; one row a dataset comes to the driver."""
         for r in self.run(query, in_metadata):
+            messages = r.messages
             if r.known and r.operation.name == SEARCH:
-                for line in display_lines(r.frame, r.operation.arg, repeat).orderBy("line_no").collect():
+                found = stored(r.frame, "results")
+                for line in display_lines(found, r.operation.arg, repeat).orderBy("line_no").collect():
                     print(line.line)
-            for m in r.messages.collect() if r.messages is not None else []:
+                messages = no_result_message(found, r.operation.arg)
+            for m in messages.collect() if messages is not None else []:
                 print(m.message)

@@ -4,48 +4,180 @@ Paths go through Hadoop's file systems, so any store Spark reads will do."""
 
 from __future__ import annotations
 
+import csv
 import json
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions.text import csv_missing
-from tablescout.operators.collection import Dataset
+from tablescout.operators.collection import Collection, Dataset, cells
 
+META = "_metadata.json"
 
-def _exists(spark: SparkSession, path: str) -> bool:
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The path and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    """Files of a folder, not of its subfolders."""
+    p, fs = _hadoop(spark, folder)
+    if not fs.exists(p):
+        return set()
+    return {s.getPath().getName() for s in fs.listStatus(p) if s.isFile()}
+
+
+def _lines(spark: SparkSession, path: str) -> Iterator[str]:
+    p, fs = _hadoop(spark, path)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        while (line := reader.readLine()) is not None:
+            yield line + "\n"
+    finally:
+        reader.close()
+
+
+def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a CSV: its first record, read without a job.  An empty file has none."""
+    first = next(csv.reader(_lines(spark, path)), [])
+    return tuple(name.removeprefix("﻿") for name in first)
 
 
-def read_metadata(spark: SparkSession, path: str) -> Any:
-    """One JSON value; other keys than title and description are kept."""
-    return json.loads(spark.read.text(path, wholetext=True).first().value)
+def read_metadata(spark: SparkSession, paths: Iterable[str]) -> dict[str, Any]:
+    """File name -> its JSON value; all files in one scan.  Other keys than title and description are kept."""
+    paths = list(paths)
+    if not paths:
+        return {}
+    rows = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
+    found = {r.name: json.loads(r.value) for r in rows.collect()}
+    by_name = {p.rsplit("/", 1)[-1]: p for p in paths}
+    for name, path in by_name.items():  # names that the scan gives in another spelling, as %20
+        if name not in found:
+            found[name] = json.loads("".join(_lines(spark, path)))
+    return found
 
 
-def load_dataset(spark: SparkSession, folder: str, name: str, include_metadata: bool = True) -> Dataset:
+def breaks_in_quotes(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a line holds an odd number of quotes, so that a quoted cell may go on in the next."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return spark.read.text(paths).where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def read_csv(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool | None = None) -> DataFrame:
+    """CSVs of one header as one frame: all columns as strings, missing-value
+    literals as null, and `_file`.  multiline: whether quoted cells hold line
+    breaks, which keeps a file in one task; None: found out by a scan."""
+    if multiline is None:
+        multiline = breaks_in_quotes(spark, paths)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] or [T.StructField("c0", T.StringType())])
+    raw = spark.read.schema(schema).csv(paths, header=True, multiLine=multiline, escape='"', enforceSchema=True)
+    file = F.col("_metadata.file_path").alias("_file")
+    return raw.select(*[csv_missing(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(header))], file)
+
+
+def _unique(header: tuple[str, ...]) -> list[str]:
+    """Column names; repeated ones are numbered, empty ones called by their place."""
+    seen: dict[str, int] = defaultdict(int)
+    out = []
+    for i, name in enumerate(header):
+        name = name or f"Unnamed: {i}"
+        out.append(name if not seen[name] else f"{name}.{seen[name]}")
+        seen[name] += 1
+    return out
+
+
+def load_dataset(spark: SparkSession, folder: str, name: str, include_metadata: bool = True, multiline: bool | None = None) -> Dataset:
     """All columns as strings, missing-value literals as null.  Raises
     FileNotFoundError for a missing CSV first, then for missing metadata unless
     include_metadata is False, which gives none even if there is a file."""
-    data_path, meta_path = f"{folder}/{name}.csv", f"{folder}/{name}_metadata.json"
-    if not _exists(spark, data_path):
-        raise FileNotFoundError(f"Dataset file {data_path} not found.")
-    data = spark.read.csv(data_path, header=True, multiLine=True, escape='"')
-    quoted = {c: F.col(f"`{c.replace('`', '``')}`") for c in data.columns}
-    data = data.select(*[csv_missing(column).alias(c) for c, column in quoted.items()])
-    metadata = None
-    if include_metadata:
-        if not _exists(spark, meta_path):
-            raise FileNotFoundError(f"Metadata file {meta_path} not found.")
-        metadata = read_metadata(spark, meta_path)
-    return Dataset(name, data, metadata)
-
-
-def load_folder(spark: SparkSession, folder: str, include_metadata: bool = True) -> dict[str, Dataset]:
+    return _load(spark, folder, [name], _names(spark, folder), include_metadata, multiline)[name]
+
+
+def load_folder(spark: SparkSession, folder: str, include_metadata: bool = True, multiline: bool | None = None) -> dict[str, Dataset]:
     """Datasets of a folder, not of its subfolders, in name order: files that
     end in .csv (this case) and not in _metadata.csv."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isFile()]
-    names = sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv") and not f.endswith("_metadata.csv"))
-    return {n: load_dataset(spark, folder, n, include_metadata) for n in names}
+    files = _listed(spark, folder)
+    return _load(spark, folder, _datasets(files), files, include_metadata, multiline)
+
+
+def _listed(spark: SparkSession, folder: str) -> set[str]:
+    p, fs = _hadoop(spark, folder)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"Folder {folder} not found.")
+    return _names(spark, folder)
+
+
+def _datasets(files: set[str]) -> list[str]:
+    return sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv") and not f.endswith("_metadata.csv"))
+
+
+def _metadata(spark: SparkSession, folder: str, names: list[str], files: set[str], include_metadata: bool) -> dict[str, Any]:
+    """Name -> metadata or None; raises for what is missing, in the order of names."""
+    for name in names:
+        if f"{name}.csv" not in files:
+            raise FileNotFoundError(f"Dataset file {folder}/{name}.csv not found.")
+        if include_metadata and f"{name}{META}" not in files:
+            raise FileNotFoundError(f"Metadata file {folder}/{name}{META} not found.")
+    read = read_metadata(spark, [f"{folder}/{n}{META}" for n in names]) if include_metadata else {}
+    return {n: read.get(f"{n}{META}") for n in names}
+
+
+def _load(spark: SparkSession, folder: str, names: list[str], files: set[str], include_metadata: bool, multiline: bool | None) -> dict[str, Dataset]:
+    metadata = _metadata(spark, folder, names, files, include_metadata)
+    paths = [f"{folder}/{n}.csv" for n in names]
+    if multiline is None and paths:
+        multiline = breaks_in_quotes(spark, paths)
+    out = {}
+    for name, path in zip(names, paths, strict=True):
+        header = read_header(spark, path)
+        data = read_csv(spark, [path], header, multiline).drop("_file").toDF(*_unique(header))
+        out[name] = Dataset(name, data, metadata[name])
+    return out
+
+
+def load_collection(spark: SparkSession, folder: str, include_metadata: bool = True, multiline: bool | None = None) -> Collection:
+    """A folder of many datasets as a collection, in name order: files of one
+    header are one scan, metadata files are another, whatever their number."""
+    files = _listed(spark, folder)
+    names = _datasets(files)
+    metadata = _metadata(spark, folder, names, files, include_metadata)
+    catalog = [Dataset(n, spark.range(0), metadata[n]) for n in names]
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for n in names:
+        groups[read_header(spark, f"{folder}/{n}.csv")].append(n)
+    made = Collection.of(spark, catalog)
+    if multiline is None and names:
+        multiline = breaks_in_quotes(spark, [f"{folder}/{n}.csv" for n in names])
+    text = made.cells
+    for header, members in groups.items():
+        if header:
+            data = read_csv(spark, [f"{folder}/{n}.csv" for n in members], header, multiline)
+            file = F.url_decode(F.replace(F.element_at(F.split("_file", "/"), -1), F.lit("+"), F.lit("%2B")))
+            data = data.withColumn("_file", F.struct(F.regexp_replace(file, r"\.csv$", "").alias("name")))  # a struct is not searched
+            text = text.unionByName(cells(data, F.col("_file.name")))
+    return Collection(made.catalog, text)
+
+
+def save_dataset(folder: str, name: str, data: DataFrame, metadata: Mapping[str, Any] | None = None) -> None:
+    """Writes one CSV (one task writes it) and, if there is any, its metadata, as `load_dataset` reads them."""
+    spark = data.sparkSession
+    apart, fs = _hadoop(spark, f"{folder}/.{name}.writing")
+    data.coalesce(1).write.mode("overwrite").csv(f"{folder}/.{name}.writing", header=True, escape='"', emptyValue="", nullValue="", quoteAll=False)
+    part = next(s.getPath() for s in fs.listStatus(apart) if s.getPath().getName().startswith("part-"))
+    to, _ = _hadoop(spark, f"{folder}/{name}.csv")
+    fs.delete(to, False)
+    fs.rename(part, to)
+    fs.delete(apart, True)
+    if metadata is not None:
+        stream = fs.create(_hadoop(spark, f"{folder}/{name}{META}")[0], True)
+        try:
+            stream.write(bytearray(json.dumps(metadata, ensure_ascii=False).encode()))
+        finally:
+            stream.close()

@@ -6,17 +6,20 @@ catalog entry with title `lang source` and its text as description."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.functions.text import content_normalize, csv_missing, has_no_digit, long_enough, normalize, tokens
+from tablescout.functions.text import content_normalize, has_no_digit, long_enough, normalize, tokens
 from tablescout.operators.collection import Collection, Dataset, spread
 from tablescout.operators.results import display_lines, no_result_message, positive_count
 from tablescout.operators.search import keyword_search, report
 from tablescout.operators.words import content_index, content_tokens, count_words, metadata_tokens, top_words
 from tablescout.plans.query import DiscoveryEngine, parse_frame
+from tablescout.sources.files import load_collection, load_dataset, load_folder, save_dataset
+from tablescout.sources.scratch import scratch, stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
 TEXT = {
@@ -25,7 +28,6 @@ TEXT = {
 }
 QUERY = "the der that"
 OPERATIONS = ["semantic:the,vector:erosion,foo:x", "", "semantic", "semantic:", "semantic:a:b", "semantic:a, semantic:b", "Semantic:a", "query_by_example:x,cause_and_consequences:climate change"]
-WORDS = ["nan", "ab", "abc", "x1y", "data", "nano", "été", "é", "٣abc", "a", "data"]
 MESSAGES = "semantic:the,foo:x,semantic:der that,vector:erosion"
 
 
@@ -70,12 +72,15 @@ def _unfiltered(spark, sf):
     return count_words(docs.select(F.col("source").alias("dataset_name"), F.explode(tokens(normalize(F.col("text")))).alias("word")))
 
 
-def _words(spark):
-    return spark.createDataFrame([(w,) for w in WORDS], "word string")
+def _filtered(keep):
+    """Words of all documents that one of the content filters keeps."""
 
+    def run(spark, sf):
+        docs = spread(read(spark, sf, "documents").select("text"))
+        words = docs.select(F.explode(tokens(content_normalize(F.col("text")))).alias("word"))
+        return words.where(keep(F.col("word"))).groupBy("word").agg(F.count("*").alias("cnt"))
 
-def _filtered(keep):
-    return lambda spark, sf: _words(spark).where(keep(F.col("word"))).groupBy("word").agg(F.count("*").alias("cnt"))
+    return run
 
 
 def _metadata_counts(spark, sf):
@@ -126,13 +131,70 @@ def _metadata_examples(spark, sf):
     return parsed.select("dataset_name", "m.title", F.char_length("m.description").cast("long").alias("description_chars"))
 
 
-CSV_CELLS = ["True", "None", "NULL", "3.5", "2020-01-01", "snake_case", "ouréaux", "n/a", "quoted, cell", "nan", "", "House prices"]
+CSV_CELLS = ["True", "None", "NULL", "3.5", "2020-01-01", "snake_case", "ouréaux", "n/a", "quoted, cell", "nan", "House prices", "line one\nline two", 'say "this"']
+CSV_TABLES = ["region", "nation", "supplier", "events"]
+TITLES = {"cells": "Odd cells", "region": "Regions of the world", "nation": "Nations by region", "supplier": "Supplier names", "events": "Event stream 2024"}
+
+
+def _described(name: str) -> dict[str, str]:
+    return {"title": TITLES[name], "description": f"Table {name} of the test data"}
+
+
+def _folder(spark: SparkSession, sf: str, without: tuple[str, ...] = ()) -> str:
+    """Tables as CSV files with metadata beside them, in a scratch folder."""
+    folder = scratch(spark, "folder")
+    save_dataset(folder, "cells", spark.createDataFrame([(c, i) for i, c in enumerate(CSV_CELLS)], "cell string, n int"), _described("cells"))
+    for t in CSV_TABLES:
+        save_dataset(folder, t, read(spark, sf, t).select(*TEXT[t]), None if t in without else _described(t))
+    return folder
+
+
+def _csv_source(spark, sf):
+    """Word counts of a folder of files."""
+    return content_index(load_collection(spark, _folder(spark, sf)))
+
+
+def _csv_search(in_metadata: bool, query: str):
+    def run(spark, sf):
+        collection = Collection.of(spark, load_folder(spark, _folder(spark, sf)).values())
+        return keyword_search(collection, query, in_metadata, top=False).select("dataset_name", "score", "rank", "used_metadata", "metadata")
+
+    return run
+
+
+def _csv_metadata(spark, sf):
+    """Metadata files as they are read, and files without them."""
+    folder = _folder(spark, sf, without=("events",))
+    rows = []
+    for required in (True, False):
+        for name in ["cells", *CSV_TABLES, "missing"]:
+            try:
+                meta = load_dataset(spark, folder, name, required).metadata
+                rows.append((required, name, (meta or {}).get("title"), (meta or {}).get("description"), None))
+            except FileNotFoundError as e:
+                rows.append((required, name, None, None, str(e).replace(folder, "folder")))
+    return spark.createDataFrame(rows, "required boolean, dataset_name string, title string, description string, error string")
+
+
+def _empty_argument(spark, sf):
+    (r,) = DiscoveryEngine(sources(spark, sf)).run("semantic:")
+    return r.frame.select("dataset_name", "score", "rank").crossJoin(F.broadcast(r.messages))  # one message
+
 
+def _no_argument(spark, sf):
+    out = None
+    for r in DiscoveryEngine(tables(spark, sf)).run("vector,cause_and_consequences,query_by_example"):
+        part = r.messages.select(F.lit(r.operation.op_idx).cast("long").alias("op_idx"), "message")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _shown(repeat: bool):
+    def run(spark, sf):
+        query = "furniture urgent click"
+        return display_lines(stored(keyword_search(tables(spark, sf), query), "results"), query, repeat)
 
-def _csv_cells(spark, sf):
-    """Cells as a CSV gives them; files themselves are in the tests."""
-    given = spark.createDataFrame([(c,) for c in CSV_CELLS], "cell string").select(F.lit("a").alias("dataset_name"), csv_missing(F.col("cell")).alias("cell"))
-    return count_words(content_tokens(given))
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -160,8 +222,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_metadata_fallback": lambda s, d: keyword_search(meta(s, d, True), "en of the", True).select("dataset_name", "score", "rank", "used_metadata"),
         "search_results_frame": _results_frame,
         "positive_count": lambda s, d: positive_count(keyword_search(tables(s, d), "furniture urgent click", top=False)),
-        "display_lines": lambda s, d: display_lines(keyword_search(tables(s, d), "furniture urgent click"), "furniture urgent click"),
-        "display_lines_repeated": lambda s, d: display_lines(keyword_search(tables(s, d), "furniture urgent click"), "furniture urgent click", repeat=True),
+        "display_lines": _shown(False),
+        "display_lines_repeated": _shown(True),
         "no_result_message": lambda s, d: no_result_message(keyword_search(sources(s, d), "zzzz", top=False), "zzzz"),
         "parse_operations": _parse,
         "dispatch_operations": _dispatch,
@@ -171,7 +233,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "multi_operation": _multi,
         "operation_messages": _messages,
         "metadata_examples": _metadata_examples,
-        "csv_source": _csv_cells,
+        "csv_source": _csv_source,
+        "csv_search_content": _csv_search(False, "furniture click algeria asia"),
+        "csv_search_metadata": _csv_search(True, "region of 2024 of"),
+        "csv_metadata": _csv_metadata,
+        "empty_argument": _empty_argument,
+        "reports_without_argument": _no_argument,
     }
 
 
@@ -245,9 +312,45 @@ def _parsed() -> str:
     return f"SELECT CAST(q_id AS BIGINT) AS q_id, CAST(op_idx AS BIGINT) AS op_idx, raw_operation, string_split(raw_operation, ':')[1] AS op_name, string_split(raw_operation, ':')[2] AS arg, CAST(len(string_split(raw_operation, ':')) - 1 AS BIGINT) AS n_args FROM ({ops})"
 
 
+#: Cells of the files: missing-value literals are no cells, a boolean is its text.
+CSV_TEXT = " UNION ALL ".join([f"SELECT '{t}' AS dataset_name, {c} AS cell FROM {t}" for t in CSV_TABLES for c in TEXT[t]] + ["SELECT 'cells', '" + c.replace("'", "''") + "'" for c in CSV_CELLS if c not in ("None", "NULL", "n/a", "nan")])
 KNOWN = "('semantic', 'vector', 'cause_and_consequences', 'query_by_example')"
 
 
+def _kept(rule: str) -> str:
+    return f"SELECT word, count(*) AS cnt FROM ({_tok(SOURCES, _norm('lower(cell)'), "word <> '' AND " + rule)}) GROUP BY 1"
+
+
+def _csv_names() -> list[str]:
+    return sorted(["cells", *CSV_TABLES])
+
+
+def _csv_catalog() -> str:
+    rows = ", ".join(f"""('{n}', {i}, '{json.dumps(_described(n))}')""" for i, n in enumerate(_csv_names()))
+    return f"SELECT * FROM (VALUES {rows}) AS v(dataset_name, ord, metadata)"
+
+
+def _csv_described() -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS dataset_name, '{_described(n)['title']} {_described(n)['description']}' AS cell" for n in _csv_names())
+
+
+def _csv_errors() -> str:
+    rows = []
+    for required in ("true", "false"):
+        for n in ["cells", *CSV_TABLES, "missing"]:
+            error = f"'Dataset file folder/{n}.csv not found.'" if n == "missing" else f"'Metadata file folder/{n}_metadata.json not found.'" if n == "events" and required == "true" else "NULL"
+            known = required == "true" and error == "NULL"
+            rows.append(f"({required}, '{n}', " + (f"'{_described(n)['title']}', '{_described(n)['description']}'" if known else "NULL, NULL") + f", {error})")
+    return f"SELECT required, dataset_name, CAST(title AS VARCHAR) AS title, CAST(description AS VARCHAR) AS description, CAST(error AS VARCHAR) AS error FROM (VALUES {', '.join(rows)}) AS v(required, dataset_name, title, description, error)"
+
+
+def _unargued() -> str:
+    given = "[''vector'', ''cause_and_consequences'', ''query_by_example'']"
+    said = ["cause and consequences", "cause and consequences", "query by example"]
+    rows = ", ".join(f"({i}, 'Performing {x} search for: ''{given}'' in dataset of size: {len(TABLES)}')" for i, x in enumerate(said))
+    return f"SELECT CAST(op_idx AS BIGINT) AS op_idx, message FROM (VALUES {rows}) AS v(op_idx, message)"
+
+
 def oracle_sql() -> dict[str, str]:
     fallback = f"{_tok(META + ' WHERE doc_id % 2 = 0', _norm('cell'))} UNION ALL {_content('SELECT CAST(doc_id AS VARCHAR) AS dataset_name, text AS cell FROM documents WHERE doc_id % 2 <> 0')}"
     cause = "Performing cause and consequences search for: ''erosion'' in dataset of size: "
@@ -260,9 +363,9 @@ def oracle_sql() -> dict[str, str]:
         "metadata_word_counts": f"SELECT word, count(*) AS cnt, count(DISTINCT dataset_name) AS n_datasets FROM ({_tok(META, _norm('cell'))}) GROUP BY 1",
         "content_word_counts": _counts(_content(SOURCES)),
         "content_word_counts_tables": _counts(_content(ALL_TABLES)),
-        "filter_short_words": f"SELECT word, count(*) AS cnt FROM {_literal(WORDS, 'word')} WHERE length(word) > 2 GROUP BY 1",
-        "filter_digit_words": f"SELECT word, count(*) AS cnt FROM {_literal(WORDS, 'word')} WHERE NOT regexp_matches(word, '\\p{{Nd}}') GROUP BY 1",
-        "filter_nan_words": f"SELECT word, count(*) AS cnt FROM {_literal(WORDS, 'word')} WHERE word <> 'nan' GROUP BY 1",
+        "filter_short_words": _kept("length(word) > 2"),
+        "filter_digit_words": _kept("NOT regexp_matches(word, '\\p{Nd}')"),
+        "filter_nan_words": _kept("word <> 'nan'"),
         "top_words_sources": _top(SOURCES),
         "top_words_tables": _top(ALL_TABLES),
         "search_content_one": _found(SOURCE_CATALOG, _content(SOURCES), "the"),
@@ -287,5 +390,10 @@ def oracle_sql() -> dict[str, str]:
         "multi_operation": f"SELECT CAST(0 AS BIGINT) AS op_idx, dataset_name, score FROM ({_scored(SOURCE_CATALOG, _content(SOURCES), ['the'])}) UNION ALL SELECT 2, dataset_name, score FROM ({_scored(SOURCE_CATALOG, _content(SOURCES), ['der', 'that'])})",
         "operation_messages": f"SELECT CAST(op_idx AS BIGINT) AS op_idx, message FROM (VALUES (0, 'No results found for search query: ''zzzz'''), (1, '{cause}' || {n_sources}), (2, 'Unknown operation: foo'), (3, 'Performing query by example search for: ''a'' in dataset of size: ' || {n_sources}), (4, 'Unknown operation: '), (5, 'Performing cause and consequences search for: ''b'' in dataset of size: ' || {n_sources})) AS v(op_idx, message)",
         "metadata_examples": "SELECT CAST(doc_id AS VARCHAR) AS dataset_name, lang || ' ' || source AS title, length(text) AS description_chars FROM documents",
-        "csv_source": "SELECT * FROM (VALUES ('a', 'true', CAST(1 AS BIGINT)), ('a', 'snake_case', 1), ('a', 'ouréaux', 1), ('a', 'quoted', 1), ('a', 'cell', 1), ('a', 'house', 1), ('a', 'prices', 1)) AS v(dataset_name, word, cnt)",
+        "csv_source": _counts(_content(CSV_TEXT)),
+        "csv_search_content": f"SELECT dataset_name, score, rank, false AS used_metadata, CAST(NULL AS VARCHAR) AS metadata FROM ({_scored(_csv_catalog(), _content(CSV_TEXT), 'furniture click algeria asia'.split())})",
+        "csv_search_metadata": f"SELECT s.dataset_name, score, rank, true AS used_metadata, m.metadata FROM ({_scored(_csv_catalog(), _tok(_csv_described(), _norm('cell')), 'region of 2024 of'.split())}) s JOIN ({_csv_catalog()}) m ON s.dataset_name = m.dataset_name",
+        "csv_metadata": _csv_errors(),
+        "empty_argument": f"SELECT dataset_name, score, rank, 'No results found for search query: \'\'\'\'' AS message FROM ({_scored(SOURCE_CATALOG, _content(SOURCES), [''])})",
+        "reports_without_argument": _unargued(),
     }

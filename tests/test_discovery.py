@@ -115,13 +115,15 @@ def test_parse():
 
 def test_engine(three, capsys):
     engine = DiscoveryEngine(three)
-    out = engine.run("semantic:relevant,foo:x,vector:erosion,Semantic:a,query_by_example:y,cause_and_consequences")
+    out = list(engine.run("semantic:relevant,foo:x,vector:erosion,Semantic:a,query_by_example:y,cause_and_consequences"))
     assert [r.known for r in out] == [True, False, True, False, True, True]
     said = [[m.message for m in r.messages.collect()] for r in out]
     assert said == [[], ["Unknown operation: foo"], ["Performing cause and consequences search for: 'erosion' in dataset of size: 3"], ["Unknown operation: Semantic"], ["Performing query by example search for: 'y' in dataset of size: 3"], said[5]]
     assert "semantic:relevant" in said[5][0]
+    several = engine.run("vector:a,semantic,vector:b")  # what comes before an error is not lost
+    assert next(several).operation.name == "vector"
     with pytest.raises(ValueError, match="argument"):
-        engine.run("semantic")
+        next(several)
     engine.show("semantic:information,semantic:", True)
     assert "No results found for search query: ''" in capsys.readouterr().out
 
