@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share
-    (spark.checkpoint.dir).  Where that is unset, a session of one machine
-    (master local) takes a temporary folder; on a cluster it is an error.
-    Removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault("dir", Path(tempfile.mkdtemp(prefix="tablescout-")).as_uri())
-    path = f"{base.rstrip('/')}/tablescout-{name}-{uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended before; the folder is the cluster's to clear then
-        return
-
+from tablescout.sources.scratch import remove, scratch, stored
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Frees a scratch table that no plan reads any more."""
-    _remove(spark, path)
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a written table: cuts its lineage, survives lost executors."""
-    spark = frame.sparkSession
-    path = scratch(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["WORD", "arrow_rows", "components", "parts", "plan_bytes", "remove", "scratch", "sent", "spread", "stored"]
 
+#: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
+WORD = r"[^\x20\x09-\x0D]+"
 
 #: Estimates from here on mean that the optimizer knows nothing (rows that come from the driver or an RDD).
 UNKNOWN = 1 << 54
@@ -85,6 +44,16 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(n) if tasks * 2 < n else frame
 
 
+#: Tables of up to so many bytes are sent to all executors.
+BROADCAST = 16 << 20
+
+
+def sent(table: DataFrame, row: int, more: Column | None = None, most: int | None = None) -> DataFrame:
+    """A written table, to be broadcast if its rows, of `row` bytes and `more`, measure up to `most` (BROADCAST)."""
+    size = table.agg(F.sum(F.lit(row) + (F.lit(0) if more is None else more))).first()[0] or 0
+    return F.broadcast(table) if size <= (BROADCAST if most is None else most) else table
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plans that run inside give Python workers so many rows at a time at most."""

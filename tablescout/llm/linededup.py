@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import stored
+from tablescout.llm.common import sent, stored
 
 WINDOW = 1
 DIVISOR = 2
@@ -63,7 +63,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = _cut(F.col("text"), window, divisor, least)
     chunks = keyed.where("text is not null").select("doc_id", "version", F.posexplode(cut).alias("place", "body")).where(F.instr("body", "\n") > 0).withColumn("h", F.xxhash64("body"))
     repeated = stored(chunks.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
-    again = stored(chunks.join(_sent(repeated, 16), "h", "left_semi"), "line-chunks")
+    again = stored(chunks.join(sent(repeated, 16, most=BROADCAST), "h", "left_semi"), "line-chunks")
     # by bytes: the first of each body
     at = F.struct(F.col("doc_id"), F.col("place"), F.col("version")).alias("at")
     first = again.select("h", "body", at).groupBy("h", "body").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "body", "first")
@@ -71,7 +71,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = (F.col("h") == F.col("h2")) & (F.col("body") == F.col("body2"))
     gone = again.join(first, same).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place")) & (F.col("version") == F.col("first.version")))).select("doc_id", "version", "place")
     lost = stored(gone.groupBy("doc_id", "version").agg(F.collect_set("place").alias("lost")), "lines-lost")  # a document's own chunks
-    lost = _sent(lost.select(F.col("doc_id").alias("d2"), F.col("version").alias("v2"), "lost"), 32, F.size("lost") * 4)
+    lost = sent(lost.select(F.col("doc_id").alias("d2"), F.col("version").alias("v2"), "lost"), 32, F.size("lost") * 4, BROADCAST)
     joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("version") == F.col("v2")), "left")
     some = F.col("lost").isNotNull()
     joined = joined.select("doc_id", "text", "carried", "lost", F.when(some, cut).alias("pieces"), F.size(F.split("text", "\n", -1)).alias("all_lines"))
@@ -87,9 +87,3 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.when(some, gone_lines).otherwise(0).cast("long").alias("n_removed_lines"),
         *[F.col("carried").getField(c).alias(c) for c in carry or []],
     )
-
-
-def _sent(table: DataFrame, row: int, more: Column | None = None) -> DataFrame:
-    """A written table, to be broadcast if its rows measure up to BROADCAST bytes."""
-    size = table.agg(F.sum(F.lit(row) + (F.lit(0) if more is None else more))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST else table

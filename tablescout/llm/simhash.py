@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import components, parts, stored
+from tablescout.llm.common import components, parts, sent, stored
 
 DISTANCE = 3
 BLOCKS = 6
@@ -155,6 +155,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").limit(1).count() > 0
     if repeated:
         roots = components(block_links(reps, distance).unionByName(ids), "simhash-links")
-    named = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    # written, so that it is sent to all executors if small, or else Spark can split a hot fingerprint's rows
+    named = stored(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-names")
+    named = sent(named, 24)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(named, "fp", "left").select("doc_id", hexed, "component_id")

@@ -1,9 +1,15 @@
 """Stages of the pipeline against brute force."""
 
+import hashlib
 import random
 
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tablescout.llm import linededup, neardup
+from tablescout.llm import bpe, linededup, neardup, toxicity
+
+from .test_lines import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +112,77 @@ def test_repeated_passages_go_from_later_texts(spark):
         assert len(gone) == got[i].n_removed_lines
         lost += len(gone)
     assert lost > 0.25 * lines  # chunks that lie wholly in a passage; boundaries of two lines lost 106 of 1,200 lines
+
+
+def corpus(seed=5):
+    """Documents with toxic words, repeated passages, near copies and benchmark items, nulls and empty texts."""
+    r = random.Random(seed)
+    vocabulary = [a + b for a in ("riv", "lam", "sto", "gre", "pap", "win", "mus", "let") for b in ("er", "pine", "ned", "ith", "oula", "ky")]
+    word = lambda: r.choice(vocabulary) + str(r.randint(0, 300))
+    line = lambda n=9: " ".join(word() for _ in range(n))
+    passage, item = [line(12) for _ in range(8)], line(20)
+    docs, labels = [], []
+    for i in range(240):
+        lines = [line() for _ in range(r.randint(4, 9))]
+        if i % 6 == 0:
+            lines[1] += " " + r.choice(["scoundrel", "nitwit"])
+        if i % 5 == 1:
+            lines += passage
+        if i % 8 == 3:
+            lines.append(item)
+        docs.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 6 == 0)))
+    copies = [(1000 + k, docs[7 + k][1].replace("\n", " \n", 1)) for k in range(20)]
+    return docs + copies + [(2000, None), (2001, ""), (None, "no id here"), docs[2]], labels, [(1, item), (2, None)]
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    home = tmp_path_factory.mktemp("sf")
+    docs, labels, items = corpus()
+    table(spark, docs).write.parquet(f"{home}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
+    return str(home)
+
+
+def test_stages_and_run(spark, sf_dir):
+    """Each stage on what the one before kept, against brute force; run() gives the last one's rows."""
+    docs, labels, items = corpus()
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert [n.split("_")[0] for n in names] == ["toxicity", "line", "simhash", "benchmark", "bpe"]
+    frame, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, sf_dir)
+        rows = out.collect()
+        if name != names[-1]:
+            assert out.columns == corpus_pipeline.COLUMNS and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows if name == "line_dedup")
+            got = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        if name == "toxicity":
+            model = toxicity.fit(table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+            scorer = toxicity.Scorer(model)
+            want = [d for d in docs if model.scores(scorer.worst([d[1]]))[0] < toxicity.THRESHOLD]
+            assert sum(i is not None and i < 240 and i % 6 == 0 for i, _ in want) <= 2 and sum(i is not None and i < 240 and i % 6 > 0 for i, _ in want) >= 198
+        elif name == "line_dedup":
+            want = [x[:2] for x in brute(kept, linededup.WINDOW, linededup.DIVISOR, linededup.LEAST)]
+            assert want != kept
+        elif name.startswith("simhash"):
+            ids = set(survivors(kept))
+            assert ids == {i for i, _ in got if i is not None} and len(got) < len(kept)
+            assert {g for g in got} <= set(kept) and sum(i is None for i, _ in got) == sum(i is None for i, _ in kept)
+            want = got
+        elif name.startswith("benchmark"):
+            grams = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(len(w) - 4)}
+            wanted = grams(items[0][1])
+            want = [d for d in kept if len(wanted & grams(d[1])) < 0.8 * len(wanted)]
+            assert len(want) < len(kept)
+        else:
+            whole = Tokenizer.from_file(bpe.default_path())
+            ids = {(r.doc_id, " ".join(map(str, r.ids))) for r in rows}
+            assert ids == {(i, " ".join(map(str, whole.encode(t or "", add_special_tokens=False).ids))) for i, t in kept}
+            assert all(r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in rows)
+            break
+        assert got == sorted(want, key=str)
+        frame, kept = table(spark, got), got
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.ids_sha256) for r in whole) == sorted((str(r.doc_id), r.ids_sha256) for r in rows)
