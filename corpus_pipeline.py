@@ -17,42 +17,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the string-kernel machine, learned from labelled rows, rejects go."""
+    """Texts that the string-kernel machine, learned from labelled rows, rejects
+    go.  Null and empty texts have no evidence and stay; repeated rows are
+    treated alike; without labels nothing goes."""
     docs = docs.select(COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines stay at their first place only; n_chars follows the text."""
+    """Repeated chunks of lines stay at their first place only; n_chars follows
+    the text.  A row for each row; null texts stay null, texts whose chunks all
+    go are empty."""
     kept = linededup.drop_repeated_chunks(docs, carry=["lang", "source"])
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that link at a five-word Jaccard similarity of 0.8 or more, the smallest doc_id stays, one row of it.  Rows without an id stay."""
+    """Of each component of texts that SimHash finds and that have a five-word
+    Jaccard similarity of 0.8 or more, the smallest doc_id stays, one row of it.
+    Texts without words (null, empty) are alike.  Rows without an id stay; rows
+    of one id and different texts are texts of their own."""
     return neardup.one_of_each(docs, COLUMNS)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.  Null and empty texts contain
+    none and stay; repeated rows are treated alike."""
     return decontaminate.without_items(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids; a row for each row, null texts as empty ones."""
     return bpe.encode(docs, with_decoded=False)
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
+    ("simhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_benchmark_items),
     ("bpe_encoding", to_tokens),
 ]
 
-#: Kernel machines, SimHash and BPE merges are beyond SQL; tests hold the stages against brute force.
+#: Kernel machines, SimHash and BPE merges are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
