@@ -5,7 +5,9 @@ they share, the decayed weights with which each holds them: gaps cost, but do
 not forbid, so inserted characters and spaced-out insults stay close to the
 plain ones.  Units are words (with joined runs of single letters; accents, case
 and look-alike digits folded); letters beyond a-z share a table of codes by
-their number.  A text is as toxic as its worst unit.  Labels are of texts, so
+their number.  Pairs of neighbouring words of a sentence are units too, where labelled
+texts blame the pair and neither word; then every pair of words like theirs is
+scored.  A text is as toxic as its worst unit.  Labels are of texts, so
 which unit of a toxic text is to blame is learned too: first the units most
 associated with the label, then the unit of highest margin.  Nystroem landmarks
 stand for the kernel's feature space; the machine is linear there, trained by
@@ -16,7 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,10 @@ STEP = 200_000
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_*~|/\\"
 LETTERS = 48  # 0: edge of the unit, 1..26: letters, 27..47: others, by their number
+#: Between the words of a pair; counts as an edge.
+BETWEEN = "+"
+#: Pairs at most that labelled texts may blame, most blamed first; how like a word of one a word must be.
+PAIRS, ALIKE = 500, 0.5
 SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
 
 
@@ -76,7 +82,7 @@ def codes(units: list[str]) -> np.ndarray:
     out = np.full((len(units), UNIT + 2), -1, np.int32)
     size = np.fromiter(map(len, units), np.int64, len(units))
     flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64) - 96
-    flat = np.where((flat >= 1) & (flat <= 26), flat, 27 + flat % (LETTERS - 27))
+    flat = np.where((flat >= 1) & (flat <= 26), flat, np.where(flat == ord(BETWEEN) - 96, 0, 27 + flat % (LETTERS - 27)))
     row = np.repeat(np.arange(len(units)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1] = flat
     out[:, 0] = 0
@@ -145,6 +151,20 @@ def units_of(text: str | None) -> list[str]:
     return [p for u in out for p in windows(u)]
 
 
+def pairs_of(text: str | None) -> list[str]:
+    """Neighbouring folded words of a sentence, both of two letters or more."""
+    out, before = [], ""
+    for w in (text or "").split():
+        u = fold(w)
+        if len(u) > 1 and before:
+            out.append(before + BETWEEN + u)
+        if u:
+            before = u if len(u) > 1 else ""
+        if w[-1] in ".!?":
+            before = ""
+    return out
+
+
 @dataclass
 class Model:
     """margin(unit) = weights[subsequences] . kernel weights + bias; score by a logistic curve."""
@@ -154,6 +174,7 @@ class Model:
     slope: float
     shift: float
     landmarks: list[str]
+    pairs: list[str] = field(default_factory=list)
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), self.bias)
@@ -181,28 +202,44 @@ def svm(x: np.ndarray, sign: np.ndarray, weight: np.ndarray, decay: float = 0.01
     return v
 
 
-def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 7) -> Model:
-    """Learns from labelled texts.  Without toxic or without other texts, every score is the share of toxic ones."""
+def counted(bags: list[list[str]], labels: list[int]) -> tuple[Counter, Counter, int, int]:
+    """Texts that hold each unit, toxic and others; and their numbers."""
+    toxic, clean = Counter(), Counter()
+    for bag, label in zip(bags, labels, strict=True):
+        (toxic if label else clean).update(bag)
+    return toxic, clean, sum(labels), len(labels) - sum(labels)
+
+
+def evidence(c1: int, c0: int, n1: int, n0: int) -> float:
+    """Log-likelihood ratio of a unit's texts for being toxic more often than others."""
+    e1, e0 = (c1 + c0) * n1 / (n1 + n0), (c1 + c0) * n0 / (n1 + n0)
+    return (c1 * np.log(c1 / e1) + (c0 * np.log(c0 / e0) if c0 else 0.0)) if c1 > e1 else 0.0
+
+
+def certain(units: int) -> float:
+    """So much evidence that chance gives to hardly any of so many units."""
+    return float(np.log(units + 1) + 4)
+
+
+def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 7, pairs: tuple[str, ...] = ()) -> Model:
+    """Learns from labelled texts, and the pairs that they blame; if there are
+    any, texts hold theirs as words.  Without toxic or without other texts,
+    every score is the share of toxic ones."""
     y = np.array(labels)
     same: dict[str, str] = {}  # equal units of different texts are held once
-    bags = [[same.setdefault(u, u) for u in sorted(set(units_of(t)))] for t in texts]
+    known = set(pairs)
+    bags = []
+    for t in texts:
+        words = (t or "").split()
+        mine = {p for w in words if w in known for p in windows(w)}
+        bags.append([same.setdefault(u, u) for u in sorted({*units_of(" ".join([w for w in words if w not in known]) if known else t), *mine})])
     share = float(np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3))
     flat = Model(np.zeros(LETTERS**3), -1.0, 0.0, float(np.log(share / (1 - share))), [])
     if not len(y) or y.min() == y.max():
         return flat
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (toxic if label else clean).update(bag)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-
-    def evidence(u: str) -> float:
-        """Log-likelihood ratio of a unit's texts for being toxic more often than others."""
-        c1, c0 = toxic[u], clean[u]
-        e1, e0 = (c1 + c0) * n1 / (n1 + n0), (c1 + c0) * n0 / (n1 + n0)
-        return (c1 * np.log(c1 / e1) + (c0 * np.log(c0 / e0) if c0 else 0.0)) if c1 > e1 else 0.0
-
-    blame = {u: evidence(u) for u in toxic}
-    sure = np.log(len(toxic) + len(clean) + 1) + 4  # so much evidence that chance gives to hardly any unit
+    toxic, clean, n1, n0 = counted(bags, labels)
+    blame = {u: evidence(toxic[u], clean[u], n1, n0) for u in toxic}
+    sure = certain(len(toxic) + len(clean))
     ranked = sorted(blame, key=lambda u: (-blame[u], u))
     # landmarks: the most blamed units that are unlike each other, then frequent clean ones
     chosen: list[str] = []
@@ -244,7 +281,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         weight = np.concatenate([np.array([counts[u] for u in names], float), np.full(len(stretched), 0.2), np.ones(len(negatives))])
         v = svm(x, sign, weight)
         share_of = (root @ v[:-1])[landmark]
-        model = Model(np.bincount(held, weight_of * share_of, LETTERS**3), float(v[-1]), 1.0, 0.0, chosen)
+        model = Model(np.bincount(held, weight_of * share_of, LETTERS**3), float(v[-1]), 1.0, 0.0, chosen, list(pairs))
         every = sorted(set(toxic) | set(clean))
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         witness = witnesses(margin.__getitem__)
@@ -265,6 +302,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
+        self.firsts, self.seconds = (sorted({p.split(BETWEEN)[k] for p in model.pairs}) for k in (0, 1))
+        self.sides: dict[str, int] = {}  # of words alike: 1 if one may start a pair, 2 if end it
+        self.pairs: dict[str, float] = {}
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -275,6 +315,39 @@ class Scorer:
         margin = dict(zip(distinct, self.model.margins(distinct).tolist(), strict=True))
         for w, u in zip(new, folded, strict=True):
             self.known[w] = SINGLE if len(u) == 1 else max((margin[p] for p in windows(u)), default=None) if u else None
+        if self.model.pairs and new:
+            self._sides(new, folded)
+
+    def _sides(self, new: list[str], folded: list[str]) -> None:
+        if len(self.sides) > REMEMBERED:
+            self.sides = {w: k for w, k in self.sides.items() if w in self.known}
+            self.pairs = {}
+        words = sorted({u for u in folded if 1 < len(u) <= UNIT})
+        kind = np.zeros(len(words), np.int64)
+        for bit, others in ((1, self.firsts), (2, self.seconds)):
+            others = [u for u in others if len(u) <= UNIT]
+            if words and others:
+                kind |= bit * (kernel(words, others).max(axis=1) >= ALIKE)
+        side = dict(zip(words, kind.tolist(), strict=True))
+        for w, u in zip(new, folded, strict=True):
+            if side.get(u):
+                self.sides[w] = side[u]
+
+    def _paired(self, words: list[str]) -> float:
+        """The highest margin of neighbours that may be a pair."""
+        best, before = -1e9, None
+        for w in words:
+            m = self.known[w]
+            if before is not None and self.sides.get(w, 0) & 2:
+                p = fold(before) + BETWEEN + fold(w)
+                if p not in self.pairs:
+                    self.pairs[p] = float(self.model.margins(windows(p)).max())
+                best = max(best, self.pairs[p])
+            if m is not None:
+                before = w if self.sides.get(w, 0) & 1 else None
+            if w[-1] in ".!?":
+                before = None
+        return best
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         out, step, held, size = [], [], set(), 0
@@ -300,6 +373,8 @@ class Scorer:
                 runs = [u for u in self._runs(words)]
                 if runs:
                     best = max(best, float(self.model.margins(runs).max()))
+            if self.sides:
+                best = max(best, self._paired(words))
             out.append(max(best, -1e3) if best != SINGLE else base)
         return out
 
@@ -317,8 +392,8 @@ class Scorer:
         return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
-    """Distinct units and label of up to `sample` labelled texts of each class
+def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], tuple[str, ...]]:
+    """Distinct units and label, and the pairs that they blame, of up to `sample` labelled texts of each class
     for which keep(doc_id) holds, least hash of the id first, and of SAMPLE_BYTES
     a class at most; a fixed bound.  An id with both labels is toxic; equal rows
     count once; null ids and other labels than 0 and 1 are left out."""
@@ -333,17 +408,46 @@ def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_c
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [" ".join(sorted(set(units_of(t)))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), b.column(2)], ["i", "bag", "y"])
+            texts = b.column(1).to_pylist()
+            bags, pairs = ([" ".join(sorted(set(of(t)))) for t in texts] for of in (units_of, pairs_of))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), pa.array(pairs, pa.string()), b.column(2)], ["i", "bag", "pairs", "y"])
 
-    bags = stored(rows.select("i", "text", "y").mapInArrow(shrink, "i long, bag string, y int"), "toxicity-sample").distinct()
-    got = []
+    bags = stored(rows.select("i", "text", "y").mapInArrow(shrink, "i long, bag string, pairs string, y int"), "toxicity-sample").distinct()
+    kept = None
     for y in (0, 1):
-        part = bags.where(F.col("y") == y).orderBy(*first, "bag").limit(sample)
-        so_far = F.sum(F.octet_length("bag")).over(Window.orderBy(*first, "bag").rowsBetween(Window.unboundedPreceding, 0))  # of at most `sample` rows
-        got += part.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).collect()
+        part = bags.where(F.col("y") == y).orderBy(*first, "bag", "pairs").limit(sample)
+        so_far = F.sum(F.octet_length("bag")).over(Window.orderBy(*first, "bag", "pairs").rowsBetween(Window.unboundedPreceding, 0))  # of at most `sample` rows
+        part = part.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
+        kept = part if kept is None else kept.unionByName(part)
+    kept = stored(kept, "toxicity-texts")
+    got = kept.select("i", "bag", "y", F.lit("").alias("mine")).collect()
+    pairs = blamed_pairs(kept, *counted([r.bag.split() for r in got], [r.y for r in got]))
+    if pairs:
+        mine = F.array_join(F.array_intersect(F.split("pairs", " "), F.array(*map(F.lit, pairs))), " ").alias("mine")
+        got = kept.select("i", "bag", "y", mine).collect()
     got.sort(key=lambda r: (r.i, r.bag))
-    return [r.bag for r in got], [r.y for r in got]
+    return [f"{r.bag} {r.mine}" for r in got], [r.y for r in got], tuple(pairs)
+
+
+def blamed_pairs(texts: DataFrame, toxic: Counter, clean: Counter, n1: int, n0: int) -> list[str]:
+    """Up to PAIRS pairs that toxic texts hold more often than chance lets them,
+    of words that are not blamed themselves; counted where the texts are."""
+    if not n1 or not n0:
+        return []
+    sure = certain(len(toxic) + len(clean))
+    alone = [u for u in toxic if evidence(toxic[u], clean[u], n1, n0) > sure]
+    each = texts.select("y", F.explode(F.split("pairs", " ")).alias("pair")).where("pair <> ''")
+    total = texts.agg(F.sum(F.size(F.split("pairs", " ")))).first()[0] or 0
+    c1, c0 = F.sum("y"), F.sum(1 - F.col("y"))
+    counts = each.groupBy("pair").agg(c1.cast("double").alias("c1"), c0.cast("double").alias("c0")).where("c1 >= 3")
+    e1, e0 = (F.col("c1") + F.col("c0")) * (n1 / (n1 + n0)), (F.col("c1") + F.col("c0")) * (n0 / (n1 + n0))
+    proof = F.col("c1") * F.log(F.col("c1") / e1) + F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / e0)).otherwise(0.0)
+    sides = F.split("pair", "[+]")
+    words = texts.sparkSession.createDataFrame([(u,) for u in alone], "u string")  # of the sample, so bounded
+    found = counts.where((F.col("c1") > e1) & (proof > certain(total)) & (F.col("c0") * n1 * 20 < F.col("c1") * n0)).select("pair", proof.alias("proof"), sides[0].alias("a"), sides[1].alias("b"))
+    for side in ("a", "b"):
+        found = found.join(F.broadcast(words), F.col(side) == F.col("u"), "left_anti")
+    return [r.pair for r in found.orderBy(F.desc("proof"), "pair").limit(PAIRS).collect()]
 
 
 def held_out(doc_id, folds: int = 4, fold_: int = 2):
@@ -373,7 +477,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows outside the held-out fold (`sampled`).  Without
     any, or with one class only, all texts get the same score, the share of
     toxic ones.  Null and empty labelled texts count as texts without units."""
-    return train(*sampled(docs, labels, lambda i: ~held_out(i), sample))
+    texts, y, pairs = sampled(docs, labels, lambda i: ~held_out(i), sample)
+    return train(texts, y, pairs=pairs)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -94,8 +94,31 @@ def test_sample_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1), (4, 1), (5, 7)], "doc_id long, toxic int")
     import pyspark.sql.functions as F
 
-    bags, y = tox.sampled(made(spark, docs), labels, lambda i: F.lit(True), sample=4)
+    bags, y, _ = tox.sampled(made(spark, docs), labels, lambda i: F.lit(True), sample=4)
     assert Counter(y)[0] <= 4 and Counter(y)[1] <= 4 and len(bags) == len(y) > 2
     monkeypatch.setattr(tox, "SAMPLE_BYTES", 15)
-    bags, y = tox.sampled(made(spark, docs), labels, lambda i: F.lit(True), sample=4)
-    assert all(sum(len(b) for b, v in zip(bags, y) if v == k) <= 15 for k in (0, 1))
+    bags, y, _ = tox.sampled(made(spark, docs), labels, lambda i: F.lit(True), sample=4)
+    assert all(sum(len(b.rstrip()) for b, v in zip(bags, y) if v == k) <= 15 for k in (0, 1))
+
+
+def test_pairs_of_harmless_words(spark):
+    """Neither word is toxic alone; next to each other in a sentence they are, inserted letters or not."""
+    r = random.Random(2)
+    clean = ["river", "lamp", "stone", "green", "window", "music", "letter", "garden", "silver", "walnut", "brain"]
+    docs, labels = [], []
+    for i in range(800):
+        words = [r.choice(clean) for _ in range(40)]
+        words = [w for k, w in enumerate(words) if not (k and words[k - 1] == "walnut" and w == "brain")]
+        text = " ".join(words).replace("walnut brain", "walnut. brain")
+        if i % 5 == 0:
+            at = r.randint(0, 20)
+            text = " ".join([*text.split()[:at], "walnut brain", *text.split()[at:]])
+        docs.append((i, text))
+        labels.append((i, int(i % 5 == 0)))
+    docs += [(5000, "river walnxut brain lamp"), (5001, "river walnut. brain lamp"), (5002, "walnut river brain")]
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert tox.fit(made(spark, docs), frame).pairs == ["walnut+brain"]
+    got = {x.doc_id: x for x in tox.toxicity(made(spark, docs), frame).collect()}
+    held = [x for x in got.values() if x.held_out and x.doc_id < 5000]
+    assert sum(x.predicted == (x.doc_id % 5 == 0) for x in held) >= 0.97 * len(held)
+    assert [got[i].predicted for i in (5000, 5001, 5002)] == [1, 0, 0]
