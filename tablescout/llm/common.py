@@ -10,11 +10,29 @@ from pyspark.sql import functions as F
 
 from tablescout.sources.scratch import remove, scratch, stored
 
-__all__ = ["WORD", "arrow_rows", "components", "parts", "plan_bytes", "remove", "scratch", "sent", "spread", "stored"]
+__all__ = ["WORD", "Tables", "arrow_rows", "components", "parts", "plan_bytes", "remove", "scratch", "sent", "spread", "stored"]
 
 #: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
+class Tables:
+    """Scratch tables of one operator, to be cleared when its last one no longer needs them."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, frame: DataFrame, name: str) -> DataFrame:
+        spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
+        self.paths.append((spark, path))
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            remove(spark, path)
+        self.paths = []
+
+
 #: Estimates from here on mean that the optimizer knows nothing (rows that come from the driver or an RDD).
 UNKNOWN = 1 << 54
 
@@ -66,11 +84,12 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def components(links: DataFrame, name: str = "links") -> DataFrame:
+def components(links: DataFrame, name: str = "links", tables: Tables | None = None) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node
     reachable.  Alternates large-star and small-star rounds (Kiveris et al.
     2014), each written to scratch; neighbours are never gathered, only their
     minimum, so a node of very many links is summed before it is shuffled."""
+    stored = (tables or Tables()).stored
     edges = stored(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), name)
     sign = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
     if not sign[0]:

@@ -7,7 +7,8 @@ that strangers rarely share one, and as many as it takes for a pair of the least
 similarity to share one with a probability of RECALL.  Texts that share a block
 are compared by Hamming distance and verified by the exact Jaccard similarity of
 their whole sets (64-bit hashes of shingles).  A block of many texts tests each
-against a few first, and then only pairs that verified links don't connect yet."""
+against its leaders first, and then only pairs that verified links don't connect
+yet."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import components, parts, stored
+from tablescout.llm.common import Tables, components, parts, sent, stored
 from tablescout.llm.dealing import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -32,8 +33,8 @@ NARROW = 16
 COMPARED = 128
 #: Shingles whose bits are counted at once.
 STEP = 1 << 12
-#: Blocks of more texts than this are thinned in all rounds but the last: each text meets so many leaders.
-LARGE, LEADERS, ROUNDS = 32, 8, 3
+#: In the first of two rounds, texts of blocks of more than this are compared with so many leaders and go with the nearest.
+LARGE, LEADERS = 8, 2
 #: Rows of one block that a task holds before all but the leaders are let go (not in the last round).
 HELD = 1 << 18
 
@@ -107,18 +108,22 @@ def features(docs: DataFrame, blocks: int, bits: int, shingle: int = SHINGLE) ->
     return docs.select("doc_id", "version", "other", "text").mapInArrow(run, "doc_id long, version long, other long, node long, size int, p0 long, p1 long, keys array<long>")
 
 
+def _apart(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distance of the compared bits."""
+    return sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in c[3:5])
+
+
 def _possible(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of rows could link: by size and Hamming distance."""
-    _, node, size, p0, p1, root = c
+    size, root = c[2], c[5]
     a, b = size[i].astype(np.int64), size[j].astype(np.int64)
-    apart = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in (p0, p1))
     p = differing(similarity)
     most = COMPARED * p + 5 * (COMPARED * p * (1 - p)) ** 0.5
-    return (root[i] != root[j]) & (np.minimum(a, b) + 1e-9 >= similarity * np.maximum(a, b)) & (apart <= most)
+    return (root[i] != root[j]) & (np.minimum(a, b) + 1e-9 >= similarity * np.maximum(a, b)) & (_apart(c, i, j) <= most)
 
 
-def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tuple[np.ndarray, list[int]]:
-    """Pairs of nodes to verify, from rows sorted by block; blocks that were thinned.  A large block's first rows are its leaders."""
+def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes to verify, from rows sorted by block; rows of blocks that were thinned.  A large block's first rows are its leaders."""
     key, node = c[0], c[1]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     sizes = np.diff(starts)
@@ -130,49 +135,63 @@ def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tup
         out.append(np.stack([node[i], node[i + d]], 1))
     for g in np.flatnonzero(sizes > LARGE).tolist():
         rows = np.arange(starts[g], starts[g + 1])
-        firsts = rows if last else rows[:LEADERS]
         if not last:
-            thinned.append(int(key[starts[g]]))
-        for i in firsts.tolist():
+            thinned.append(rows)
+            fine = np.stack([_possible(c, np.full(len(rows), i), rows, similarity) for i in rows[:LEADERS].tolist()])
+            near = np.where(fine, np.stack([_apart(c, np.full(len(rows), i), rows) for i in rows[:LEADERS].tolist()]), COMPARED + 1)
+            which = near.argmin(axis=0)
+            some = fine.any(axis=0)
+            out.append(np.stack([node[rows[which[some]]], node[rows[some]]], 1))
+            continue
+        for i in rows.tolist():
             j = rows[i - starts[g] + 1 :]
             j = j[_possible(c, np.full(len(j), i), j, similarity)]
             out.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
-    return np.unique(np.sort(pairs, axis=1), axis=0), thinned
+    return np.unique(np.sort(pairs, axis=1), axis=0), np.concatenate([np.zeros(0, np.int64), *thinned])
+
+
+MET = "thinned boolean, a long, b long, size int, p0 long, p1 long"
 
 
-def _meet(keyed: DataFrame, n: int, turn: int, similarity: float) -> DataFrame:
-    """(a, b, thinned): candidate pairs; or a block in a, thinned."""
-    final = turn == ROUNDS - 1
+def _meet(keyed: DataFrame, n: int, last: bool, similarity: float) -> DataFrame:
+    """MET: candidate pairs (a, b); or, thinned, a block in a and a node of it in b."""
 
-    def rows(c: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        pairs, thinned = _candidates(tuple(np.concatenate(x) for x in zip(*c, strict=True)), final, similarity)
-        a = np.concatenate((pairs[:, 0], np.array(thinned, np.int64)))
-        b = np.concatenate((pairs[:, 1], np.zeros(len(thinned), np.int64)))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(pairs))], ["a", "b", "thinned"])
+    def rows(c: list[tuple[np.ndarray, ...]], fresh: int = 0) -> Iterator[pa.RecordBatch]:
+        """fresh: how many rows of the first block are here for the second time."""
+        c = tuple(np.concatenate(x) for x in zip(*c, strict=True))
+        pairs, thinned = _candidates(c, last, similarity)
+        thinned = thinned[thinned >= fresh]
+        m, t = len(pairs), len(thinned)
+        if m + t:
+            none = np.zeros(m, np.int64)
+            cols = [np.arange(m + t) >= m, np.concatenate((pairs[:, 0], c[0][thinned])), np.concatenate((pairs[:, 1], c[1][thinned])), np.concatenate((none.astype(np.int32), c[2][thinned])), np.concatenate((none, c[3][thinned])), np.concatenate((none, c[4][thinned]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["thinned", "a", "b", "size", "p0", "p1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        fresh = 0
         for b in batches:
             c = tuple(x.to_numpy() for x in b.columns[:6])
-            last = int(np.searchsorted(c[0], c[0][-1])) if len(c[0]) else 0  # the last key may go on
-            if last or (held and len(c[0]) and held[-1][0][-1] != c[0][-1]):
-                yield from rows([*held, tuple(x[:last] for x in c)])
-                held = []
-            held.append(tuple(x[last:] for x in c))
-            if not final and sum(len(h[0]) for h in held) > HELD:
-                yield from rows(held)
-                first = tuple(np.concatenate(x)[:LEADERS] for x in zip(*held, strict=True))
-                held = [first]
+            if not len(c[0]):
+                continue
+            at = int(np.searchsorted(c[0], c[0][-1]))  # the last key may go on
+            if at or (held and held[-1][0][-1] != c[0][-1]):
+                yield from rows([*held, tuple(x[:at] for x in c)], fresh)
+                held, fresh = [], 0
+            held.append(tuple(x[at:] for x in c))
+            if not last and sum(len(h[0]) for h in held) > HELD:
+                yield from rows(held, fresh)
+                held = [tuple(np.concatenate(x)[:LEADERS] for x in zip(*held, strict=True))]
+                fresh = LEADERS
         if held:
-            yield from rows(held)
+            yield from rows(held, fresh)
 
-    dealt = keyed.withColumn("turn", F.xxhash64("node", F.lit(turn))).select("key", "node", "size", "p0", "p1", "root", "turn")
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(run, "a long, b long, thinned boolean").distinct()
+    dealt = keyed.select("key", "node", "size", "p0", "p1", "root", F.xxhash64("node").alias("turn"))
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(run, MET)
 
 
-def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least this similarity.  at: node, doc_id, version of one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +208,9 @@ def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, si
             yield b.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = at.join(nodes, "node", "left_semi")
-    texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
-    known = stored(texts.mapInArrow(sets, "node long, s binary"), "neardup-sets")
+    wanted = sent(tables.stored(at.join(nodes, "node", "left_semi"), "neardup-wanted"), 32)
+    texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).select("node", "text")
+    known = tables.stored(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
     joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -210,30 +229,31 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, sim
     whole = docs.select(*columns, F.xxhash64("text").alias("version"), other)
     known = whole.where("doc_id is not null")
     blocks, bits = layout(known.count(), similarity, recall)
-    found = stored(features(known, blocks, bits, shingle), "neardup")
+    tables = Tables()
+    found = tables.stored(features(known, blocks, bits, shingle), "neardup")
     # equal sets are one node from here on
-    nodes = stored(found.dropDuplicates(["node"]), "neardup-nodes")
+    nodes = tables.stored(found.dropDuplicates(["node"]), "neardup-nodes")
     at = nodes.select("node", "doc_id", "version")
     n = parts(nodes)
-    roots = links = thinned = None
-    for turn in range(ROUNDS):
-        keyed = nodes.select("node", "size", "p0", "p1", F.explode("keys").alias("key"))
-        if thinned is None:
-            keyed = keyed.withColumn("root", F.col("node"))
-        else:
-            keyed = keyed.join(thinned, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            split = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            keyed = keyed.join(split, "key", "left_semi")  # what links connect already has nothing to find
-        met = stored(_meet(keyed, n, turn, similarity), "neardup-pairs")
-        new = stored(_verified(met.where("not thinned").select("a", "b"), at, known, shingle, similarity), "neardup-links")
+    keyed = nodes.select("node", "size", "p0", "p1", F.explode("keys").alias("key")).withColumn("root", F.col("node"))
+    roots = links = None
+    for last in (False, True):
+        met = tables.stored(_meet(keyed, n, last, similarity), "neardup-pairs")
+        pairs = tables.stored(met.where("not thinned").select("a", "b").distinct(), "neardup-candidates")
+        new = tables.stored(_verified(pairs, at, known, shingle, similarity, tables), "neardup-links")
         links = new if links is None else links.unionByName(new)
-        roots = components(links, "neardup-roots")
-        thinned = met.where("thinned").select(F.col("a").alias("key"))
-        if thinned.limit(1).count() == 0:
+        roots = components(links, "neardup-roots", tables)
+        left = met.where("thinned").select(F.col("a").alias("key"), F.col("b").alias("node"), "size", "p0", "p1")
+        left = left.join(sent(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # blocks whose texts are connected already have nothing to find
+        split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        keyed = tables.stored(left.join(sent(tables.stored(split, "neardup-blocks"), 16), "key", "left_semi"), "neardup-left")
+        if last or keyed.limit(1).count() == 0:
             break
     place_of = F.struct("doc_id", "version", "other").alias("at")
-    place = found.select("node", place_of).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"), "at").agg(F.count("*").alias("copies"))
+    place = found.select("node", place_of).join(sent(roots, 16), "node", "left").groupBy(F.coalesce("root", "node").alias("root"), "at").agg(F.count("*").alias("copies"))
     first = stored(place.groupBy("root").agg(F.min(F.struct("at", "copies")).alias("m")).select("m.at.*", "m.copies"), "neardup-first")
-    kept = known.join(first, ["doc_id", "version", "other"])
+    tables.clear()
+    kept = known.join(sent(first, 40), ["doc_id", "version", "other"])
     alone = kept.where("copies = 1").select(columns).unionByName(kept.where("copies > 1").select(columns).dropDuplicates(columns))
     return alone.unionByName(whole.where("doc_id is null").select(columns))

@@ -70,7 +70,6 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.text) for r in got} <= set(docs) and all(r.n_chars == len(r.text or "") for r in got)
     # few leaders, thinned blocks, few rows held: the same
     monkeypatch.setattr(neardup, "LARGE", 2)
-    monkeypatch.setattr(neardup, "LEADERS", 1)
     monkeypatch.setattr(neardup, "HELD", 10)
     again = corpus_pipeline.drop_near_duplicates(spark, table(spark, docs), "").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
