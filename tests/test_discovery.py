@@ -13,8 +13,9 @@ from tablescout.operators.results import display_lines, no_result_message, posit
 from tablescout.operators.search import keyword_search
 from tablescout.operators.words import content_index
 from tablescout.plans.query import DiscoveryEngine, parse_query
-from tablescout.sources.files import load_dataset, load_folder
+from tablescout.sources.files import load_collection, load_dataset, load_folder, save_dataset
 
+#: The demonstration rows whose rankings, counts and top words are known by hand; other sentences would have other results.
 ROWS = {
     "dataset1": ("This is an example data set with some relevant information.", "Additional info in dataset 1.", "Example Dataset 1", "This is a description of example dataset 1."),
     "dataset2": ("Another dataset that might be relevant to the search query.", "It contains relevant data and information.", "Relevant Dataset", "This dataset is relevant to the query."),
@@ -146,6 +147,42 @@ def test_files(spark, tmp_path):
         load_dataset(spark, str(tmp_path), "zzz")
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    """Files of one header share a scan; names, quotes, line breaks, missing values and repeated columns as in single loads."""
+    for i in range(12):
+        (tmp_path / f"part {i}+x.csv").write_text(f'name,name,flag\nalpha{"" if i % 2 else " beta"},"say ""gamma""",True\nNULL,,n/a\n')
+    (tmp_path / "other.csv").write_text('\ufefftext\n"two\nlines"\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text("name,name,flag\n")
+    folder = tmp_path.as_uri()
+    one = Collection.of(spark, load_folder(spark, folder, include_metadata=False).values())
+    many = load_collection(spark, folder, include_metadata=False)
+    counts = lambda c: sorted((r.dataset_name, r.word, r.cnt) for r in content_index(c).collect())
+    assert counts(many) == counts(one) and len({n for n, _, _ in counts(many)}) == 13 and ("part 0+x", "beta", 1) in counts(many)
+    assert many.catalog.orderBy("ord").collect() == one.catalog.orderBy("ord").collect()
+    assert load_dataset(spark, folder, "part 0+x", False).data.columns == ["name", "name.1", "flag"]
+    with pytest.raises(FileNotFoundError, match="Folder"):
+        load_collection(spark, folder + "/none")
+
+
+def test_saved_datasets_load_again(spark, tmp_path):
+    rows = [('a "b", c', "true"), (None, "line\nbreak"), ("été", "x")]
+    save_dataset(tmp_path.as_uri(), "t", spark.createDataFrame(rows, "p string, q string"), {"title": "Été", "description": "d", "more": [1]})
+    got = load_dataset(spark, tmp_path.as_uri(), "t")
+    assert sorted(map(str, map(tuple, got.data.collect()))) == sorted(map(str, rows)) and got.metadata == {"title": "Été", "description": "d", "more": [1]}
+
+
+def test_ranks_by_slices(spark, monkeypatch):
+    from tablescout.operators import search
+
+    scored = spark.createDataFrame([(f"d{i}", i, i * 7 % 5) for i in range(60)], "dataset_name string, ord long, score long")
+    want = [r.dataset_name for r in scored.orderBy(F.desc("score"), "ord").collect()]
+    for size in (1 << 16, 7):
+        monkeypatch.setattr(search, "SLICE", size)
+        got = search.rank_datasets(scored).orderBy("rank").collect()
+        assert [r.dataset_name for r in got] == want and [r["rank"] for r in got] == list(range(1, 61))
+
+
 def test_dataset_is_immutable(spark):
     d = Dataset("a", spark.range(1))
     e = d.with_metadata({"title": "t"})
