@@ -104,7 +104,7 @@ def load_folder(spark: SparkSession, folder: str, include_metadata: bool = True,
     """Datasets of a folder, not of its subfolders, in name order: files that
     end in .csv (this case) and not in _metadata.csv."""
     files = _listed(spark, folder)
-    return _load(spark, folder, _datasets(files), files, include_metadata, multiline)
+    return _load(spark, folder, dataset_names(files), files, include_metadata, multiline)
 
 
 def _listed(spark: SparkSession, folder: str) -> set[str]:
@@ -114,7 +114,8 @@ def _listed(spark: SparkSession, folder: str) -> set[str]:
     return _names(spark, folder)
 
 
-def _datasets(files: set[str]) -> list[str]:
+def dataset_names(files: Iterable[str]) -> list[str]:
+    """Of files that end in .csv (this case) and not in _metadata.csv, sorted."""
     return sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv") and not f.endswith("_metadata.csv"))
 
 
@@ -146,7 +147,7 @@ def load_collection(spark: SparkSession, folder: str, include_metadata: bool = T
     """A folder of many datasets as a collection, in name order: files of one
     header are one scan, metadata files are another, whatever their number."""
     files = _listed(spark, folder)
-    names = _datasets(files)
+    names = dataset_names(files)
     metadata = _metadata(spark, folder, names, files, include_metadata)
     catalog = [Dataset(n, spark.range(0), metadata[n]) for n in names]
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)

@@ -7,6 +7,7 @@ catalog entry with title `lang source` and its text as description."""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tablescout.operators.results import display_lines, no_result_message, posit
 from tablescout.operators.search import keyword_search, report
 from tablescout.operators.words import content_index, content_tokens, count_words, metadata_tokens, top_words
 from tablescout.plans.query import DiscoveryEngine, parse_frame
-from tablescout.sources.files import load_collection, load_dataset, load_folder, save_dataset
+from tablescout.sources.files import dataset_names, load_collection, load_dataset, load_folder, save_dataset
 from tablescout.sources.scratch import scratch, stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
@@ -189,6 +190,28 @@ def _no_argument(spark, sf):
     return out
 
 
+FILES = ["a.csv", "b_metadata.csv", "c_metadata.json", "d.CSV", "e.csv.gz", "_metadata.csv", "f.g.csv", ".csv", "housecsv", "x metadata.csv"]
+
+
+def _file_names(spark, sf):
+    return spark.createDataFrame([(n,) for n in dataset_names(FILES)], "dataset_name string")
+
+
+def _dataset_objects(spark, sf):
+    """What holds of datasets as objects: identity, replacing data and metadata, how they print."""
+    d = Dataset("nation", read(spark, sf, "nation").select("n_name"), _described("nation"))
+    e, f, other = d.with_metadata(None), d.with_data(read(spark, sf, "region").select("r_name")), Dataset("nation", d.data)
+    facts = {
+        "an id is a random uuid": re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", d.id) is not None,
+        "ids differ": d.id != other.id,
+        "new metadata keeps the id": d.id == e.id and e.metadata is None,
+        "new data keeps the id": d.id == f.id and f.data.columns == ["r_name"],
+        "the original stays": d.metadata == _described("nation") and d.data.columns == ["n_name"],
+        "id and name are printed": d.id in repr(d) and "nation" in repr(d),
+    }
+    return spark.createDataFrame(list(facts.items()), "fact string, holds boolean")
+
+
 def _shown(repeat: bool):
     def run(spark, sf):
         query = "furniture urgent click"
@@ -237,6 +260,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_search_content": _csv_search(False, "furniture click algeria asia"),
         "csv_search_metadata": _csv_search(True, "region of 2024 of"),
         "csv_metadata": _csv_metadata,
+        "csv_file_names": _file_names,
+        "dataset_objects": _dataset_objects,
         "empty_argument": _empty_argument,
         "reports_without_argument": _no_argument,
     }
@@ -394,6 +419,8 @@ def oracle_sql() -> dict[str, str]:
         "csv_search_content": f"SELECT dataset_name, score, rank, false AS used_metadata, CAST(NULL AS VARCHAR) AS metadata FROM ({_scored(_csv_catalog(), _content(CSV_TEXT), 'furniture click algeria asia'.split())})",
         "csv_search_metadata": f"SELECT s.dataset_name, score, rank, true AS used_metadata, m.metadata FROM ({_scored(_csv_catalog(), _tok(_csv_described(), _norm('cell')), 'region of 2024 of'.split())}) s JOIN ({_csv_catalog()}) m ON s.dataset_name = m.dataset_name",
         "csv_metadata": _csv_errors(),
+        "csv_file_names": f"SELECT left(f, length(f) - 4) AS dataset_name FROM {_literal(FILES, 'f')} WHERE suffix(f, '.csv') AND NOT suffix(f, '_metadata.csv')",
+        "dataset_objects": "SELECT * FROM (VALUES ('an id is a random uuid', true), ('ids differ', true), ('new metadata keeps the id', true), ('new data keeps the id', true), ('the original stays', true), ('id and name are printed', true)) AS v(fact, holds)",
         "empty_argument": f"SELECT dataset_name, score, rank, 'No results found for search query: \'\'\'\'' AS message FROM ({_scored(SOURCE_CATALOG, _content(SOURCES), [''])})",
         "reports_without_argument": _unargued(),
     }
