@@ -3,8 +3,8 @@
 Several operators need, for each of a text's many small strings, what the whole
 corpus says about it.  One row a string would multiply the text; instead:
 
-1. documents are dealt into blocks by a hash of their id (one shuffle of text),
-   a block to a task;
+1. documents are dealt into blocks by a hash of their id, a block to a task:
+   one shuffle of text, compressed by what each task sends to each block;
 2. each block packs what it asks, one compressed parcel for each bucket; equal
    strings of a block travel once, so a string of very many documents reaches
    its bucket at most once a block;
@@ -42,21 +42,56 @@ from tablescout.llm.common import parts
 Doc = tuple[int | None, bytes]
 
 
-def pack(thing: Any) -> bytes:
-    return zstandard.compress(pickle.dumps(thing, protocol=5), 1)
+def pack(thing: Any, level: int = 1) -> bytes:
+    return zstandard.compress(pickle.dumps(thing, protocol=5), level)
 
 
 def unpack(blob: bytes) -> Any:
     return pickle.loads(zstandard.decompress(blob))
 
 
-def _docs(table: pa.Table | pa.RecordBatch) -> list[Doc]:
+def _docs(blobs: pa.ChunkedArray | pa.Array) -> list[Doc]:
     """In an order that doesn't depend on how rows arrive: by id (nulls first), then text."""
-    rows = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)]
+    rows: list[Doc] = []
+    for blob in blobs:
+        table = pa.ipc.open_stream(zstandard.decompress(blob.as_py())).read_all()
+        rows += [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     return rows
 
 
+#: Bytes of documents that a task deals out together.
+PACKED = 32 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, text) -> (block, blob): documents of one block, compressed together."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size = 0
+
+    def rows() -> Iterator[tuple[int, bytes]]:
+        for k in list(held):
+            table = pa.Table.from_batches(held.pop(k))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table.combine_chunks())
+            yield k, zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+    for b in batches:
+        blocks = b.column(0).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        dealt, blocks = b.select(["doc_id", "text"]).take(pa.array(order)), blocks[order]
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                held.setdefault(int(blocks[lo]), []).append(dealt.slice(lo, hi - lo))
+        size += b.nbytes
+        if size > PACKED:
+            yield from _batches(rows(), ["block", "blob"])
+            size = 0
+    yield from _batches(rows(), ["block", "blob"])
+
+
 #: From so many blocks on, parcels go by relays.
 WIDE = 4096
 #: Bytes of parcels that are handed over together.
@@ -102,7 +137,7 @@ def ask_and_answer(
     -> rows.  docs has doc_id long, text string."""
     n = parts(docs, each_mb)
     block = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int").alias("block")
-    dealt = docs.select(block, "doc_id", "text").repartitionById(n, F.col("block"))
+    dealt = docs.select(block, "doc_id", "text").mapInArrow(_packed, "block int, blob binary").repartitionById(n, F.col("block"))
     names = [f.split(" ")[0] for f in schema.split(", ")]
     relayed = n >= (WIDE if wide is None else wide)
     root = max(1, ceil(n**0.5))  # buckets, and blocks, of a group
@@ -115,7 +150,7 @@ def ask_and_answer(
             return
         table = pa.Table.from_batches(held)
         k = table.column("block")[0].as_py()
-        parcels = ask(_docs(table), n)
+        parcels = ask(_docs(table.column("blob")), n)
         if not relayed:
             yield from _batches(((bucket, k, pack(parcel)) for bucket, parcel in parcels), sent)
             return
@@ -162,7 +197,7 @@ def ask_and_answer(
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         got = [(by, unpack(blob)) for by, blob in zip(right.column("by").to_pylist(), right.column("blob").to_pylist(), strict=True)]
         replies = dict(one for _, several in got for one in several) if relayed else dict(got)
-        return apply(_docs(left), replies, n).select(names)
+        return apply(_docs(left.column("blob")), replies, n).select(names)
 
     parcels = dealt.mapInArrow(asked, letters)
     if relayed:

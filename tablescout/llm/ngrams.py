@@ -7,7 +7,8 @@ expectation-maximisation: counts from one part of the training texts predict the
 tokens of the rest, which those counts don't hold.  Scores then use the counts
 of all training texts.  All counts cover the whole corpus; they are summed in
 buckets of n-grams and answered to each block.  Words are told apart by their
-bytes; longer n-grams by 64-bit hashes of their words' XXH64."""
+bytes; longer n-grams by hashes of their words' XXH64, as wide as the corpus
+asks for: one of its n-grams meets another's hash once in 2**SPARE times."""
 
 from __future__ import annotations
 
@@ -22,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import stored
+from tablescout.llm.common import plan_bytes, stored
 from tablescout.llm.dealing import BASE, Doc, ask_and_answer, mix, pack, unpack
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Longest n-grams that are counted.
-ORDER = 2
+ORDER = 3
+#: Bits of an n-gram's hash beyond those that number the corpus's bytes; at least LEAST_BITS, at most 64.
+SPARE, LEAST_BITS = 20, 40
 #: Tokens that are scored at once.
 STEP = 1 << 18
 #: Rounds of expectation-maximisation at most; they end when no share moves by TOLERANCE.
@@ -67,7 +70,7 @@ class _Block:
     `counts` (in texts that train and don't tune; in those that tune), `bucket`;
     `words` are those of order one, `keys` the hashes of the others."""
 
-    def __init__(self, docs: list[Doc], buckets: int, order: int):
+    def __init__(self, docs: list[Doc], buckets: int, order: int, bits: int = 64):
         self.docs = docs
         given, self.n = tokens(docs)
         self.folds = np.array([fold(d) for d, _ in docs], np.int64)
@@ -98,9 +101,9 @@ class _Block:
                 key[lo : lo + STEP] = mix(key[lo : lo + STEP])
             if k > 2:
                 key[first] = before[first]  # a first word has no longer context than the start
-            distinct, back = np.unique(key, return_inverse=True)
+            distinct, back = np.unique(key >> np.uint64(64 - bits), return_inverse=True)
             self.keys.append(distinct)
-            self._count(back, dealt_to(distinct, buckets), kind)
+            self._count(back, dealt_to(distinct << np.uint64(64 - bits), buckets), kind)
             before = key
 
     @staticmethod
@@ -134,12 +137,12 @@ def _unplaned(p: tuple[str, int, bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind)
 
 
-def _ask(order: int):
+def _ask(order: int, bits: int = 64):
     def ask(docs: list[Doc], buckets: int) -> Iterator[tuple[int, Any]]:
         """Only buckets of which the block has an n-gram are asked."""
         if not docs:
             return
-        block = _Block(docs, buckets, order)
+        block = _Block(docs, buckets, order, bits)
         for b, at in block.slices():
             parcel = []
             for k in range(order):
@@ -166,14 +169,14 @@ def _answer(order: int):
                 back = closed(b"".join([p[0][0] for p in parcels])).dictionary_encode().indices.to_numpy()
                 first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1)) if len(back) else back
             some, rest = (np.bincount(back, np.concatenate([_unplaned(p[k][c]) for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
-            whole = some + rest
+            whole = some + rest  # sent as what tunes, which is rare, and the whole
             stops = np.cumsum([p[k][1][1] for p in parcels])
             if k == 0:
                 owner = np.searchsorted(stops, first, side="right")
                 for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (whole, some)), strict=True):
                     r.append(new)
             for r, mine in zip(replies, np.split(back, stops[:-1]), strict=True):
-                r.append((_planes(_narrow(some[mine])), _planes(_narrow(whole[mine]))))
+                r.append((_planes(_narrow(rest[mine])), _planes(_narrow(whole[mine]))))
         return replies
 
     return answer
@@ -183,25 +186,27 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
 
 
-def _apply(order: int):
+def _apply(order: int, bits: int = 64):
     def apply(docs: list[Doc], replies: dict[int, Any], buckets: int) -> pa.Table:
         """One row a block: what scoring needs of each token, what tuning needs, and what the block adds to the corpus's totals."""
         if not docs:
             return pa.table({"parcel": pa.array([], pa.binary()), "tuning": pa.array([], pa.binary())} | {c: pa.array([], pa.int64()) for c in TOTALS})
-        block = _Block(docs, buckets, order)
+        block = _Block(docs, buckets, order, bits)
         words = np.sum([r[0] for r in replies.values()], axis=0).tolist()
         found = [[np.zeros(len(b), np.int64) for b in block.bucket] for _ in range(2)]
         for b, at in block.slices():
             for k in range(order):
                 for kind in range(2):
                     found[kind][k][at[k]] = _unplaned(replies[b][1 + k][kind])
+        for rest, all_ in zip(*found, strict=True):
+            np.subtract(all_, rest, out=rest)  # the counts of texts that don't tune
         some, whole = ([_narrow(x)[back] for x, back in zip(f, block.back, strict=True)] for f in found)
         tuning = np.repeat(block.folds == TUNING, block.n)
         contexts = [c[tuning] for c in _contexts(some, block.n)]
         ids = [d for d, _ in docs]
         parcel = (ids, block.folds, block.n, *(_planes(x) for x in whole))
         totals = (block.known[0], words[0], block.known[1], words[1])
-        blobs = {"parcel": pa.array([pack(parcel)], pa.binary()), "tuning": pa.array([pack(([x[tuning] for x in some], contexts))], pa.binary())}
+        blobs = {"parcel": pa.array([pack(parcel, 3)], pa.binary()), "tuning": pa.array([pack([[_planes(x) for x in xs] for xs in ([x[tuning] for x in some], contexts)], 3)], pa.binary())}
         return pa.table(blobs | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
 
     return apply
@@ -285,7 +290,7 @@ def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROU
             chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
             for b in batches:
                 for blob in b.column(0):
-                    a, r = expected(shares, *unpack(blob.as_py()), n, v)
+                    a, r = expected(shares, *([_unplaned(x) for x in xs] for xs in unpack(blob.as_py())), n, v)
                     chosen, reached = chosen + a, reached + r
             k, bucket = np.nonzero(reached)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(chosen[k, bucket]), pa.array(reached[k, bucket])], ["k", "bucket", "chosen", "reached"])
@@ -345,7 +350,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = ", ".join(["parcel binary", "tuning binary", *(f"{c} long" for c in TOTALS)])
-    table = stored(ask_and_answer(given, _ask(order), _answer(order), _apply(order), schema, each_mb=3), "ngrams")
+    bits = min(64, max(LEAST_BITS, SPARE + (4 * plan_bytes(given)).bit_length()))  # texts take up to four times their stored bytes
+    table = stored(ask_and_answer(given, _ask(order, bits), _answer(order), _apply(order, bits), schema, each_mb=3), "ngrams")
     n, v, n_some, v_some = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS]).first()
     shares = learn_shares(table, order, n_some, v_some)
     return table.select("parcel").mapInArrow(_scored(shares, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
