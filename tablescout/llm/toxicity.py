@@ -56,7 +56,7 @@ LETTERS = 48  # 0: edge of the unit, 1..26: letters, 27..47: others, by their nu
 #: Between the words of a pair; counts as an edge.
 BETWEEN = "+"
 #: Pairs at most that labelled texts may blame, most blamed first; how like a word of one a word must be.
-PAIRS, ALIKE = 500, 0.5
+PAIRS, ALIKE = 50, 0.5
 SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
 
 
@@ -152,16 +152,17 @@ def units_of(text: str | None) -> list[str]:
 
 
 def pairs_of(text: str | None) -> list[str]:
-    """Neighbouring folded words of a sentence, both of two letters or more."""
-    out, before = [], ""
+    """Neighbouring folded words of a sentence, both of two letters or more,
+    each followed by BETWEEN and the word that stands before them, if any."""
+    out, before, earlier = [], "", ""
     for w in (text or "").split():
         u = fold(w)
         if len(u) > 1 and before:
-            out.append(before + BETWEEN + u)
+            out.append(before + BETWEEN + u + BETWEEN + earlier)
         if u:
-            before = u if len(u) > 1 else ""
+            earlier, before = before, u if len(u) > 1 else ""
         if w[-1] in ".!?":
-            before = ""
+            earlier = before = ""
     return out
 
 
@@ -423,7 +424,8 @@ def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_c
     got = kept.select("i", "bag", "y", F.lit("").alias("mine")).collect()
     pairs = blamed_pairs(kept, *counted([r.bag.split() for r in got], [r.y for r in got]))
     if pairs:
-        mine = F.array_join(F.array_intersect(F.split("pairs", " "), F.array(*map(F.lit, pairs))), " ").alias("mine")
+        held = F.transform(F.split("pairs", " "), lambda p: F.substring_index(p, BETWEEN, 2))
+        mine = F.array_join(F.array_intersect(held, F.array(*map(F.lit, pairs))), " ").alias("mine")
         got = kept.select("i", "bag", "y", mine).collect()
     got.sort(key=lambda r: (r.i, r.bag))
     return [f"{r.bag} {r.mine}" for r in got], [r.y for r in got], tuple(pairs)
@@ -431,20 +433,23 @@ def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_c
 
 def blamed_pairs(texts: DataFrame, toxic: Counter, clean: Counter, n1: int, n0: int) -> list[str]:
     """Up to PAIRS pairs that toxic texts hold more often than chance lets them,
-    of words that are not blamed themselves; counted where the texts are."""
+    of words that are not blamed themselves; counted where the texts are.  Toxic
+    texts count by the different words before the pair, so that copies of one
+    toxic text, in which all words are neighbours of the same, blame nothing."""
     if not n1 or not n0:
         return []
     sure = certain(len(toxic) + len(clean))
     alone = [u for u in toxic if evidence(toxic[u], clean[u], n1, n0) > sure]
-    each = texts.select("y", F.explode(F.split("pairs", " ")).alias("pair")).where("pair <> ''")
+    each = texts.select("y", F.explode(F.split("pairs", " ")).alias("p")).where("p <> ''")
+    sides = F.split("p", "[+]")
+    each = each.groupBy(sides[0].alias("a"), sides[1].alias("b"), sides[2].alias("before"), "y").agg(F.count("*").alias("n"))
     total = texts.agg(F.sum(F.size(F.split("pairs", " ")))).first()[0] or 0
-    c1, c0 = F.sum("y"), F.sum(1 - F.col("y"))
-    counts = each.groupBy("pair").agg(c1.cast("double").alias("c1"), c0.cast("double").alias("c0")).where("c1 >= 3")
+    c1, c0 = F.sum("y").cast("double"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double")
+    counts = each.groupBy("a", "b").agg(c1.alias("c1"), c0.alias("c0")).where("c1 >= 3")
     e1, e0 = (F.col("c1") + F.col("c0")) * (n1 / (n1 + n0)), (F.col("c1") + F.col("c0")) * (n0 / (n1 + n0))
     proof = F.col("c1") * F.log(F.col("c1") / e1) + F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / e0)).otherwise(0.0)
-    sides = F.split("pair", "[+]")
     words = texts.sparkSession.createDataFrame([(u,) for u in alone], "u string")  # of the sample, so bounded
-    found = counts.where((F.col("c1") > e1) & (proof > certain(total)) & (F.col("c0") * n1 * 20 < F.col("c1") * n0)).select("pair", proof.alias("proof"), sides[0].alias("a"), sides[1].alias("b"))
+    found = counts.where((F.col("c1") > e1) & (proof > certain(total)) & (F.col("c0") * n1 * 20 < F.col("c1") * n0)).select(F.concat("a", F.lit(BETWEEN), "b").alias("pair"), proof.alias("proof"), "a", "b")
     for side in ("a", "b"):
         found = found.join(F.broadcast(words), F.col(side) == F.col("u"), "left_anti")
     return [r.pair for r in found.orderBy(F.desc("proof"), "pair").limit(PAIRS).collect()]
