@@ -75,7 +75,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table.combine_chunks())
-            yield k, zstandard.compress(sink.getvalue().to_pybytes(), 3)
+            yield k, zstandard.compress(sink.getvalue().to_pybytes(), 6)
 
     for b in batches:
         blocks = b.column(0).to_numpy()

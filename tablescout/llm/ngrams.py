@@ -29,8 +29,8 @@ from tablescout.llm.dealing import BASE, Doc, ask_and_answer, mix, pack, unpack
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Longest n-grams that are counted.
 ORDER = 3
-#: Bits of an n-gram's hash beyond those that number the corpus's bytes; at least LEAST_BITS, at most 64.
-SPARE, LEAST_BITS = 20, 40
+#: Bits of an n-gram's hash beyond those that number the corpus's bytes as stored; at least LEAST_BITS, at most 64.
+SPARE, LEAST_BITS = 18, 40
 #: Tokens that are scored at once.
 STEP = 1 << 18
 #: Rounds of expectation-maximisation at most; they end when no share moves by TOLERANCE.
@@ -169,14 +169,14 @@ def _answer(order: int):
                 back = closed(b"".join([p[0][0] for p in parcels])).dictionary_encode().indices.to_numpy()
                 first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1)) if len(back) else back
             some, rest = (np.bincount(back, np.concatenate([_unplaned(p[k][c]) for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
-            whole = some + rest  # sent as what tunes, which is rare, and the whole
             stops = np.cumsum([p[k][1][1] for p in parcels])
             if k == 0:
                 owner = np.searchsorted(stops, first, side="right")
-                for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (whole, some)), strict=True):
+                for r, *new in zip(replies, *(np.bincount(owner[x > 0], minlength=len(parcels)).tolist() for x in (some + rest, some)), strict=True):
                     r.append(new)
-            for r, mine in zip(replies, np.split(back, stops[:-1]), strict=True):
-                r.append((_planes(_narrow(rest[mine])), _planes(_narrow(whole[mine]))))
+            for r, p, mine in zip(replies, parcels, np.split(back, stops[:-1]), strict=True):
+                # without what the asker counts itself: zeros for most
+                r.append(tuple(_planes(_narrow(x[mine] - _unplaned(p[k][c]))) for c, x in ((1, some), (2, rest))))
         return replies
 
     return answer
@@ -193,32 +193,32 @@ def _apply(order: int, bits: int = 64):
             return pa.table({"parcel": pa.array([], pa.binary()), "tuning": pa.array([], pa.binary())} | {c: pa.array([], pa.int64()) for c in TOTALS})
         block = _Block(docs, buckets, order, bits)
         words = np.sum([r[0] for r in replies.values()], axis=0).tolist()
-        found = [[np.zeros(len(b), np.int64) for b in block.bucket] for _ in range(2)]
+        found = [[c[kind].astype(np.int64) for c in block.counts] for kind in range(2)]
         for b, at in block.slices():
             for k in range(order):
                 for kind in range(2):
-                    found[kind][k][at[k]] = _unplaned(replies[b][1 + k][kind])
-        for rest, all_ in zip(*found, strict=True):
-            np.subtract(all_, rest, out=rest)  # the counts of texts that don't tune
+                    found[kind][k][at[k]] += _unplaned(replies[b][1 + k][kind])
+        for some, rest in zip(*found, strict=True):
+            np.add(some, rest, out=rest)  # the whole
         some, whole = ([_narrow(x)[back] for x, back in zip(f, block.back, strict=True)] for f in found)
         tuning = np.repeat(block.folds == TUNING, block.n)
-        contexts = [c[tuning] for c in _contexts(some, block.n)]
+        end = int(some[0][block.n[0] - 1])
         ids = [d for d, _ in docs]
         parcel = (ids, block.folds, block.n, *(_planes(x) for x in whole))
         totals = (block.known[0], words[0], block.known[1], words[1])
-        blobs = {"parcel": pa.array([pack(parcel, 3)], pa.binary()), "tuning": pa.array([pack([[_planes(x) for x in xs] for xs in ([x[tuning] for x in some], contexts)], 3)], pa.binary())}
+        blobs = {"parcel": pa.array([pack(parcel, 3)], pa.binary()), "tuning": pa.array([pack((block.n[block.folds == TUNING], end, [_planes(x[tuning]) for x in some]), 3)], pa.binary())}
         return pa.table(blobs | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
 
     return apply
 
 
-def _contexts(counts: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+def _contexts(counts: list[np.ndarray], n: np.ndarray, end: int) -> list[np.ndarray]:
     """For each order from two on, how often each token's context was counted; a first word's is the end of a text."""
     first = np.cumsum(n) - n
     out = []
     for c in counts[:-1]:
-        context = np.concatenate((c[:1], c[:-1]))
-        context[first] = counts[0][n[0] - 1]
+        context = np.concatenate((c[:1], c[:-1])).astype(np.int64)
+        context[first] = end
         out.append(context)
     return out
 
@@ -290,7 +290,9 @@ def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROU
             chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
             for b in batches:
                 for blob in b.column(0):
-                    a, r = expected(shares, *([_unplaned(x) for x in xs] for xs in unpack(blob.as_py())), n, v)
+                    sizes, end, counts = unpack(blob.as_py())
+                    counts = [_unplaned(x) for x in counts]
+                    a, r = expected(shares, counts, _contexts(counts, sizes, end), n, v)
                     chosen, reached = chosen + a, reached + r
             k, bucket = np.nonzero(reached)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(chosen[k, bucket]), pa.array(reached[k, bucket])], ["k", "bucket", "chosen", "reached"])
@@ -315,7 +317,7 @@ def _scored(shares: np.ndarray, total: int, v: int):
             for blob in b.column(0):
                 ids, folds, n, *counts = unpack(blob.as_py())
                 counts = [_unplaned(c) for c in counts]
-                contexts, word = _contexts(counts, n), counts[0]
+                contexts, word = _contexts(counts, n, int(counts[0][n[0] - 1])), counts[0]
                 ends = np.cumsum(n)
                 known, base, score = np.empty(len(n), np.int64), np.empty(len(n)), np.empty(len(n))
                 lo = 0
@@ -350,7 +352,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the model is uniform.  Other columns of docs are not looked at."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = ", ".join(["parcel binary", "tuning binary", *(f"{c} long" for c in TOTALS)])
-    bits = min(64, max(LEAST_BITS, SPARE + (4 * plan_bytes(given)).bit_length()))  # texts take up to four times their stored bytes
+    bits = min(64, max(LEAST_BITS, SPARE + plan_bytes(given).bit_length()))
     table = stored(ask_and_answer(given, _ask(order, bits), _answer(order), _apply(order, bits), schema, each_mb=3), "ngrams")
     n, v, n_some, v_some = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS]).first()
     shares = learn_shares(table, order, n_some, v_some)
