@@ -15,6 +15,7 @@ Newton steps."""
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -393,8 +394,8 @@ class Scorer:
         return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], tuple[str, ...]]:
-    """Distinct units and label, and the pairs that they blame, of up to `sample` labelled texts of each class
+def chosen(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, tuple[str, ...]]:
+    """i, bag (distinct units and blamed pairs), y, and the pairs that they blame, of up to `sample` labelled texts of each class
     for which keep(doc_id) holds, least hash of the id first, and of SAMPLE_BYTES
     a class at most; a fixed bound.  An id with both labels is toxic; equal rows
     count once; null ids and other labels than 0 and 1 are left out."""
@@ -421,25 +422,41 @@ def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_c
         part = part.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
         kept = part if kept is None else kept.unionByName(part)
     kept = stored(kept, "toxicity-texts")
-    got = kept.select("i", "bag", "y", F.lit("").alias("mine")).collect()
-    pairs = blamed_pairs(kept, *counted([r.bag.split() for r in got], [r.y for r in got]))
+    pairs = blamed_pairs(kept)
+    bag = F.col("bag")
     if pairs:
         held = F.transform(F.split("pairs", " "), lambda p: F.substring_index(p, BETWEEN, 2))
-        mine = F.array_join(F.array_intersect(held, F.array(*map(F.lit, pairs))), " ").alias("mine")
-        got = kept.select("i", "bag", "y", mine).collect()
-    got.sort(key=lambda r: (r.i, r.bag))
-    return [f"{r.bag} {r.mine}" for r in got], [r.y for r in got], tuple(pairs)
+        bag = F.concat_ws(" ", "bag", F.array_join(F.array_intersect(held, F.array(*map(F.lit, pairs))), " "))
+    return kept.select("i", bag.alias("bag"), "y"), tuple(pairs)
 
 
-def blamed_pairs(texts: DataFrame, toxic: Counter, clean: Counter, n1: int, n0: int) -> list[str]:
+def sampled(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> tuple[list[str], list[int], tuple[str, ...]]:
+    """What `chosen` gives, on the driver."""
+    kept, pairs = chosen(docs, labels, keep, sample)
+    rows = sorted(kept.collect(), key=lambda r: (r.i, r.bag))
+    return [r.bag for r in rows], [r.y for r in rows], pairs
+
+
+def blamed_pairs(texts: DataFrame) -> list[str]:
     """Up to PAIRS pairs that toxic texts hold more often than chance lets them,
     of words that are not blamed themselves; counted where the texts are.  Toxic
     texts count by the different words before the pair, so that copies of one
     toxic text, in which all words are neighbours of the same, blame nothing."""
+    n1, n0 = (x or 0 for x in texts.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not n1 or not n0:
         return []
-    sure = certain(len(toxic) + len(clean))
-    alone = [u for u in toxic if evidence(toxic[u], clean[u], n1, n0) > sure]
+
+    def blamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, labels = [], []
+        for b in batches:
+            bags += [t.split() for t in b.column(0).to_pylist()]
+            labels += b.column(1).to_pylist()
+        toxic, clean, _, _ = counted(bags, labels)
+        sure = certain(len(toxic) + len(clean))
+        yield pa.RecordBatch.from_arrays([pa.array([u for u in toxic if evidence(toxic[u], clean[u], n1, n0) > sure], pa.string())], ["u"])
+
+    # one task: the sample is bounded
+    words = stored(texts.select("bag", "y").coalesce(1).mapInArrow(blamed, "u string"), "toxicity-words")
     each = texts.select("y", F.explode(F.split("pairs", " ")).alias("p")).where("p <> ''")
     sides = F.split("p", "[+]")
     each = each.groupBy(sides[0].alias("a"), sides[1].alias("b"), sides[2].alias("before"), "y").agg(F.count("*").alias("n"))
@@ -448,7 +465,6 @@ def blamed_pairs(texts: DataFrame, toxic: Counter, clean: Counter, n1: int, n0:
     counts = each.groupBy("a", "b").agg(c1.alias("c1"), c0.alias("c0")).where("c1 >= 3")
     e1, e0 = (F.col("c1") + F.col("c0")) * (n1 / (n1 + n0)), (F.col("c1") + F.col("c0")) * (n0 / (n1 + n0))
     proof = F.col("c1") * F.log(F.col("c1") / e1) + F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / e0)).otherwise(0.0)
-    words = texts.sparkSession.createDataFrame([(u,) for u in alone], "u string")  # of the sample, so bounded
     found = counts.where((F.col("c1") > e1) & (proof > certain(total)) & (F.col("c0") * n1 * 20 < F.col("c1") * n0)).select(F.concat("a", F.lit(BETWEEN), "b").alias("pair"), proof.alias("proof"), "a", "b")
     for side in ("a", "b"):
         found = found.join(F.broadcast(words), F.col(side) == F.col("u"), "left_anti")
@@ -482,8 +498,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows outside the held-out fold (`sampled`).  Without
     any, or with one class only, all texts get the same score, the share of
     toxic ones.  Null and empty labelled texts count as texts without units."""
-    texts, y, pairs = sampled(docs, labels, lambda i: ~held_out(i), sample)
-    return train(texts, y, pairs=pairs)
+    kept, pairs = chosen(docs, labels, lambda i: ~held_out(i), sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        model = train([r[1] for r in rows], [r[2] for r in rows], pairs=pairs)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # trained by one task of an executor: the sample is bounded
+    got = kept.select("i", "bag", "y").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else train([], [])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
