@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import bpe, decontaminate, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
+from tablescout.llm import bpe, decontaminate, infill, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.drop_repeated_windows(read(spark, sf, "documents"), with_text=False)
 
 
+def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
+    return infill.fill_in_middle(read(spark, sf, "documents"), with_output=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_toxicity": op9_toxicity,
         "op10_substrings": op10_substrings,
+        "op11_infill": op11_infill,
     }
 
 
@@ -86,6 +91,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ c AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+  CAST('0x' || h[17:24] AS BIGINT) % 100 AS drawn, CAST('0x' || h[25:32] AS BIGINT) % 100 AS turn FROM d),
+ f AS (SELECT *, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR drawn >= 50 THEN 'plain' WHEN turn < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL, "op11_infill": OP11_SQL}
