@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import bpe, decontaminate, infill, linededup, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
+from tablescout.llm import bpe, decontaminate, infill, linededup, maintext, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
     return infill.fill_in_middle(read(spark, sf, "documents"), with_output=False)
 
 
+def op12_maintext(spark: SparkSession, sf: str) -> DataFrame:
+    return maintext.extract(read(spark, sf, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_substrings": op10_substrings,
         "op11_infill": op11_infill,
+        "op12_maintext": op12_maintext,
     }
 
 
