@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import bpe, decontaminate, infill, linededup, maintext, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
+from tablescout.llm import bpe, decontaminate, divergence, infill, linededup, maintext, ngrams, simhash, substrings, suffixes, topk, toxicity, warc
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_maintext(spark: SparkSession, sf: str) -> DataFrame:
     return maintext.extract(read(spark, sf, "pages"))
 
 
+def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(read(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substrings": op10_substrings,
         "op11_infill": op11_infill,
         "op12_maintext": op12_maintext,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -108,6 +113,21 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM f
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+ c AS (SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS cnt FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+ v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n FROM k GROUP BY lang),
+ g AS (SELECT s.lang, s.source, coalesce(x.n, 0) AS n, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN (SELECT lang, source, sum(cnt) AS n FROM c GROUP BY ALL) x ON s.lang = x.lang AND s.source = x.source LEFT JOIN v ON s.lang = v.lang),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.cnt, 0) AS cnt, 1 + (1000000000 * (coalesce(c.cnt, 0) + 1)) // (g.n + g.v) AS p FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // q.q FROM p JOIN (SELECT k.lang, k.term, 1 + (1000000000 * (k.total + 1)) // (v.n + v.v) AS q FROM k JOIN v ON k.lang = v.lang) q ON p.lang = q.lang AND p.term = q.term WHERE p.cnt > 0 AND p.p > q.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL, "op11_infill": OP11_SQL}
+    return {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL, "op11_infill": OP11_SQL, "op13_divergence": OP13_SQL}
