@@ -24,9 +24,9 @@ UNIT = 10**9
 #: Distinct terms that a worker sums before it hands them on.
 HELD = 1 << 18
 #: Sources on the left of the pairs that one task evaluates; columns at a time.
-BLOCK, ROWS = 64, 4096
+BLOCK, ROWS = 64, 1024
 #: Distinct columns of one task's group, about.
-GROUP = 8192
+GROUP = 4096
 #: Fixed rule: ASCII other than letters parts terms, A-Z become a-z, all else is kept.
 FOLD = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
 
@@ -124,7 +124,6 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     of `block` sources.  What is told of each source (a row each, of which the pairs
     are the square) is broadcast up to a measured size, else shuffled."""
     tables = Tables()
-    spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     given = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     counts = given.mapInArrow(lambda batches: _counted(batches, held), "lang string, source string, term string, cnt long, docs long").groupBy("lang", "term", "source").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs"))
@@ -139,12 +138,13 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     sources = tables.stored(found.select("lang", "source", zero("n"), zero("v"), zero("all"), place), "divergence-sources")
 
     columns = tables.stored(kept.groupBy("lang", "counts").agg(F.count("*").alias("terms")), "divergence-columns")
-    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), columns.count() // group)
-    blocks = sources.groupBy("lang").agg(F.floor(F.max("place") / block).cast("int").alias("last"))
-    dealt = columns.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(groups)).cast("int")).join(sent(tables.stored(blocks, "divergence-blocks"), 32, F.octet_length("lang")), "lang")
+    salts = columns.groupBy("lang").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    blocks = sources.groupBy("lang").agg(F.floor(F.max("place") / block).cast("int").alias("last")).join(salts, "lang", "left")
+    blocks = tables.stored(blocks.select("lang", "last", F.coalesce("salts", F.lit(1)).alias("salts")), "divergence-blocks")
+    dealt = columns.join(sent(blocks, 32, F.octet_length("lang")), "lang").withColumn("salt", F.pmod(F.xxhash64("counts"), F.col("salts")).cast("int"))
     dealt = dealt.select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "salt", "counts", "terms")
-    told = sources.join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "source", "n", "v", "place")
-    told = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
+    told = sources.join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "salts", "source", "n", "v", "place")
+    told = told.select("lang", "block", "source", "n", "v", "place", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     sums = dealt.groupBy("lang", "block", "salt").cogroup(told.groupBy("lang", "block", "salt")).applyInArrow(lambda key, a, b: _evaluated(key, a, b, block), "lang string, source string, item string, value long")
     pairs = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
