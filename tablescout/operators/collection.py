@@ -93,15 +93,8 @@ class Collection:
     @classmethod
     def grouped(cls, table: DataFrame, name: str, text: list[str]) -> Collection:
         """One table whose `name` column tells the dataset of each row; without
-        metadata, in name order."""
+        metadata.  All have the place 0, so that ties go by name."""
         given = table.select(F.col(name).alias("dataset_name"), *text)
         names = given.select("dataset_name").where("dataset_name is not null").distinct()
-        ordered = names.select("dataset_name", F.rank().over(_by_name()).cast("long").alias("ord"))
-        catalog = ordered.select("dataset_name", (F.col("ord") - 1).alias("ord"), F.lit(False).alias("has_metadata"), F.lit("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("raw_metadata"))
+        catalog = names.select("dataset_name", F.lit(0).cast("long").alias("ord"), F.lit(False).alias("has_metadata"), F.lit("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("raw_metadata"))
         return cls(catalog, cells(spread(given).where("dataset_name is not null"), F.col("dataset_name")))
-
-
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("dataset_name")  # a row for each dataset

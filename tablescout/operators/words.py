@@ -1,6 +1,6 @@
 """Word counts: the engine's index."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions.text import content_normalize, is_content_word, normalize, tokens
@@ -14,10 +14,14 @@ def content_tokens(cells: DataFrame) -> DataFrame:
     return words.where(is_content_word(F.col("word")))
 
 
+def metadata_text() -> Column:
+    """Title and description of a catalog row."""
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+
+
 def metadata_tokens(catalog: DataFrame) -> DataFrame:
     """(dataset_name, word) of title and description, unfiltered."""
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
-    return catalog.where("has_metadata").select("dataset_name", F.explode(tokens(normalize(text))).alias("word"))
+    return catalog.where("has_metadata").select("dataset_name", F.explode(tokens(normalize(metadata_text()))).alias("word"))
 
 
 def count_words(words: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,6 +114,14 @@ def _listed(spark: SparkSession, folder: str) -> set[str]:
     return _names(spark, folder)
 
 
+def is_dataset_file(file: Column) -> Column:
+    return F.endswith(file, F.lit(".csv")) & ~F.endswith(file, F.lit("_metadata.csv"))
+
+
+def dataset_name(file: Column) -> Column:
+    return F.regexp_replace(file, r"\.csv$", "")
+
+
 def dataset_names(files: Iterable[str]) -> list[str]:
     """Of files that end in .csv (this case) and not in _metadata.csv, sorted."""
     return sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv") and not f.endswith("_metadata.csv"))

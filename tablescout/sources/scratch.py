@@ -8,7 +8,8 @@ import tempfile
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -42,3 +43,13 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: Tables of up to so many bytes are sent to all executors.
+BROADCAST = 16 << 20
+
+
+def measured(table: DataFrame, row: Column) -> DataFrame:
+    """The table, to be broadcast if its rows, of `row` bytes and 8 more, measure up to BROADCAST; else joins with it shuffle."""
+    size = table.agg(F.sum(F.coalesce(row, F.lit(0)) + 8)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST else table

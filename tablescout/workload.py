@@ -7,7 +7,6 @@ catalog entry with title `lang source` and its text as description."""
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import content_normalize, has_no_digit, long_enough, normalize, tokens
 from tablescout.operators.collection import Collection, Dataset, spread
+from tablescout.operators.index import ContentIndex
 from tablescout.operators.results import display_lines, no_result_message, positive_count
 from tablescout.operators.search import keyword_search, report
 from tablescout.operators.words import content_index, content_tokens, count_words, metadata_tokens, top_words
 from tablescout.plans.query import DiscoveryEngine, parse_frame
-from tablescout.sources.files import dataset_names, load_collection, load_dataset, load_folder, save_dataset
+from tablescout.sources.files import dataset_name, is_dataset_file, load_collection, load_dataset, load_folder, save_dataset
 from tablescout.sources.scratch import scratch, stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
@@ -28,7 +28,6 @@ TEXT = {
     "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"],
 }
 QUERY = "the der that"
-OPERATIONS = ["semantic:the,vector:erosion,foo:x", "", "semantic", "semantic:", "semantic:a:b", "semantic:a, semantic:b", "Semantic:a", "query_by_example:x,cause_and_consequences:climate change"]
 MESSAGES = "semantic:the,foo:x,semantic:der that,vector:erosion"
 
 
@@ -112,12 +111,15 @@ def _messages(spark, sf):
     return out
 
 
-def _operations(spark):
-    return spark.createDataFrame(list(enumerate(OPERATIONS)), "q_id long, q string")
+def _operations(spark, sf):
+    """Query strings of real words, one a document: its text cut at commas and
+    colons names operations no better than chance, what is put before it does."""
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.select(F.col("doc_id").alias("q_id"), F.concat(F.lit("semantic:"), "source", F.lit(",vector,"), "lang", F.lit(":"), "text").alias("q"))
 
 
 def _parse(spark, sf):
-    return parse_frame(_operations(spark), "q").select("q_id", F.col("op_idx").cast("long").alias("op_idx"), "raw_operation", "op_name", "arg", F.col("n_args").cast("long").alias("n_args"))
+    return parse_frame(_operations(spark, sf), "q").select("q_id", F.col("op_idx").cast("long").alias("op_idx"), "raw_operation", "op_name", "arg", F.col("n_args").cast("long").alias("n_args"))
 
 
 def _dispatch(spark, sf):
@@ -184,32 +186,64 @@ def _empty_argument(spark, sf):
 
 def _no_argument(spark, sf):
     out = None
-    for r in DiscoveryEngine(tables(spark, sf)).run("vector,cause_and_consequences,query_by_example"):
+    for r in DiscoveryEngine(sources(spark, sf)).run("vector,cause_and_consequences,query_by_example"):
         part = r.messages.select(F.lit(r.operation.op_idx).cast("long").alias("op_idx"), "message")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-FILES = ["a.csv", "b_metadata.csv", "c_metadata.json", "d.CSV", "e.csv.gz", "_metadata.csv", "f.g.csv", ".csv", "housecsv", "x metadata.csv"]
+#: Endings of file names, dealt to pages by their ids.
+ENDINGS = [".csv", "_metadata.csv", "_metadata.json", ".CSV", ".csv.gz", ".g.csv", "csv", " metadata.csv"]
 
 
 def _file_names(spark, sf):
-    return spark.createDataFrame([(n,) for n in dataset_names(FILES)], "dataset_name string")
-
-
-def _dataset_objects(spark, sf):
-    """What holds of datasets as objects: identity, replacing data and metadata, how they print."""
-    d = Dataset("nation", read(spark, sf, "nation").select("n_name"), _described("nation"))
-    e, f, other = d.with_metadata(None), d.with_data(read(spark, sf, "region").select("r_name")), Dataset("nation", d.data)
-    facts = {
-        "an id is a random uuid": re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", d.id) is not None,
-        "ids differ": d.id != other.id,
-        "new metadata keeps the id": d.id == e.id and e.metadata is None,
-        "new data keeps the id": d.id == f.id and f.data.columns == ["r_name"],
-        "the original stays": d.metadata == _described("nation") and d.data.columns == ["n_name"],
-        "id and name are printed": d.id in repr(d) and "nation" in repr(d),
-    }
-    return spark.createDataFrame(list(facts.items()), "fact string, holds boolean")
+    """Which of the files that are named after pages are datasets, and how these are called."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    name = F.concat(F.regexp_replace("url", r"\W+", "-"), ending)
+    files = read(spark, sf, "pages").select("page_id", name.alias("file"))
+    return files.where(is_dataset_file(F.col("file"))).select("page_id", dataset_name(F.col("file")).alias("dataset_name"))
+
+
+def _with_data(how: str):
+    """Searches the tables before and after one of them is given the rows of
+    another: from the cells, and from an index in which only that one is counted again."""
+
+    def run(spark, sf):
+        query = "furniture urgent click asia pending"
+        given = {t: Dataset(t, read(spark, sf, t)) for t in TABLES}
+        before = Collection.of(spark, given.values())
+        changed = given["nation"].with_data(read(spark, sf, "region"))
+        after = Collection.of(spark, [changed if d.id == changed.id else d for d in given.values()])
+        built = ContentIndex.build(before, scratch(spark, "index")) if how == "index" else None
+        parts = []
+        for step, collection, index in (("before", before, built), ("after", after, built.replaced([changed]) if built else None)):
+            found = keyword_search(collection, query, top=how == "index", index=index)
+            words = F.concat_ws(",", F.transform("top_words", lambda x: F.concat_ws(":", x["word"], x["cnt"])))
+            parts.append(found.select(F.lit(step).alias("step"), "dataset_name", "score", "rank", *([F.when(F.size("top_words") > 0, words).alias("top_words")] if how == "index" else [])))
+        return parts[0].unionByName(parts[1])
+
+    return run
+
+
+def _messages_metadata(spark, sf):
+    """Several searches in metadata: one scan of the catalog and one of the cells answers all."""
+    engine = DiscoveryEngine(meta(spark, sf, True))
+    out = None
+    for r in engine.run("semantic:en of the,vector:x,semantic:die der,semantic:zzzz", True):
+        if r.operation.name == "semantic":
+            part = r.frame.select(F.lit(r.operation.op_idx).cast("long").alias("op_idx"), "dataset_name", "score", "rank", "used_metadata")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _index_counts(spark, sf):
+    """Counts of some words from the buckets of an index that has been replaced, cut down and packed."""
+    docs = read(spark, sf, "documents")
+    of = lambda rule: Collection.grouped(docs.where(rule), "source", ["text"])
+    index = ContentIndex.build(of("lang <> 'de'"), scratch(spark, "index"), buckets=16)
+    some = [r.source for r in docs.select("source").distinct().orderBy("source").limit(3).collect()]
+    index = index.replaced(Dataset(s, docs.where((F.col("lang") == "de") & (F.col("source") == s)).select("text")) for s in some[:2]).removed(some[2:])
+    return ContentIndex.open(spark, index.compact(scratch(spark, "index")).path, buckets=16).counts(["the der la", "und"])
 
 
 def _shown(repeat: bool):
@@ -250,9 +284,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "no_result_message": lambda s, d: no_result_message(keyword_search(sources(s, d), "zzzz", top=False), "zzzz"),
         "parse_operations": _parse,
         "dispatch_operations": _dispatch,
-        "vector_placeholder": lambda s, d: report(tables(s, d), "vector", "erosion"),
-        "cause_placeholder": lambda s, d: report(tables(s, d), "cause_and_consequences", "erosion"),
-        "example_placeholder": lambda s, d: report(tables(s, d), "query_by_example", "erosion"),
+        "vector_placeholder": lambda s, d: report(sources(s, d), "vector", "erosion"),
+        "cause_placeholder": lambda s, d: report(sources(s, d), "cause_and_consequences", "erosion"),
+        "example_placeholder": lambda s, d: report(sources(s, d), "query_by_example", "erosion"),
         "multi_operation": _multi,
         "operation_messages": _messages,
         "metadata_examples": _metadata_examples,
@@ -261,7 +295,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_search_metadata": _csv_search(True, "region of 2024 of"),
         "csv_metadata": _csv_metadata,
         "csv_file_names": _file_names,
-        "dataset_objects": _dataset_objects,
+        "dataset_objects": _with_data("cells"),
+        "index_with_data": _with_data("index"),
+        "index_counts": _index_counts,
+        "multi_operation_metadata": _messages_metadata,
         "empty_argument": _empty_argument,
         "reports_without_argument": _no_argument,
     }
@@ -309,12 +346,8 @@ def _found(catalog: str, words: str, query: str) -> str:
     return f"SELECT dataset_name, score, rank FROM ({_scored(catalog, words, query.split())})"
 
 
-def _literal(values: list[str], name: str) -> str:
-    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + f") AS v({name})"
-
-
 def _report(text: str) -> str:
-    return f"SELECT '{text}' || CAST(count(*) AS VARCHAR) AS message, count(*) AS n_datasets FROM ({TABLE_CATALOG})"
+    return f"SELECT '{text}' || CAST(count(*) AS VARCHAR) AS message, count(*) AS n_datasets FROM ({SOURCE_CATALOG})"
 
 
 def _lines(repeat: bool) -> str:
@@ -332,8 +365,8 @@ def _lines(repeat: bool) -> str:
 
 
 def _parsed() -> str:
-    values = ", ".join(f"({i}, '{q}')" for i, q in enumerate(OPERATIONS))
-    ops = f"SELECT q_id, unnest(string_split(q, ',')) AS raw_operation, generate_subscripts(string_split(q, ','), 1) - 1 AS op_idx FROM (VALUES {values}) AS v(q_id, q)"
+    asked = "SELECT doc_id AS q_id, string_split('semantic:' || source || ',vector,' || lang || ':' || text, ',') AS ops FROM documents"
+    ops = f"SELECT q_id, unnest(ops) AS raw_operation, generate_subscripts(ops, 1) - 1 AS op_idx FROM ({asked})"
     return f"SELECT CAST(q_id AS BIGINT) AS q_id, CAST(op_idx AS BIGINT) AS op_idx, raw_operation, string_split(raw_operation, ':')[1] AS op_name, string_split(raw_operation, ':')[2] AS arg, CAST(len(string_split(raw_operation, ':')) - 1 AS BIGINT) AS n_args FROM ({ops})"
 
 
@@ -372,8 +405,30 @@ def _csv_errors() -> str:
 def _unargued() -> str:
     given = "[''vector'', ''cause_and_consequences'', ''query_by_example'']"
     said = ["cause and consequences", "cause and consequences", "query by example"]
-    rows = ", ".join(f"({i}, 'Performing {x} search for: ''{given}'' in dataset of size: {len(TABLES)}')" for i, x in enumerate(said))
-    return f"SELECT CAST(op_idx AS BIGINT) AS op_idx, message FROM (VALUES {rows}) AS v(op_idx, message)"
+    rows = ", ".join(f"({i}, 'Performing {x} search for: ''{given}'' in dataset of size: ')" for i, x in enumerate(said))
+    return f"SELECT CAST(op_idx AS BIGINT) AS op_idx, message || CAST(n AS VARCHAR) AS message FROM (VALUES {rows}) AS v(op_idx, message), (SELECT count(DISTINCT source) AS n FROM documents)"
+
+
+def _replaced(top: bool) -> str:
+    query = "furniture urgent click asia pending".split()
+    after = ALL_TABLES.replace("'nation' AS dataset_name, n_name AS cell FROM nation", "'nation' AS dataset_name, r_name AS cell FROM region")
+    parts = []
+    for step, cells in (("before", ALL_TABLES), ("after", after)):
+        words = f"LEFT JOIN (SELECT dataset_name, string_agg(word || ':' || CAST(cnt AS VARCHAR), ',' ORDER BY rk) AS words FROM ({_top(cells)}) GROUP BY 1) t ON s.dataset_name = t.dataset_name" if top else ""
+        parts.append(f"SELECT '{step}' AS step, s.dataset_name, score, rank{', t.words AS top_words' if top else ''} FROM ({_scored(TABLE_CATALOG, _content(cells), query)}) s {words}")
+    return " UNION ALL ".join(parts)
+
+
+def _file_named() -> str:
+    ends = "[" + ", ".join(f"'{e}'" for e in ENDINGS) + "]"
+    files = f"SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_]+', '-', 'g') || {ends}[page_id % {len(ENDINGS)} + 1] AS f FROM pages"
+    return f"SELECT page_id, left(f, length(f) - 4) AS dataset_name FROM ({files}) WHERE suffix(f, '.csv') AND NOT suffix(f, '_metadata.csv')"
+
+
+def _some_counts() -> str:
+    cells = """SELECT source AS dataset_name, text AS cell FROM documents JOIN (SELECT source AS s, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents)) ON source = s
+ WHERE n <= 2 AND lang = 'de' OR n > 3 AND lang <> 'de'"""
+    return f"SELECT * FROM ({_counts(_content(cells))}) WHERE word IN ('the', 'der', 'la', 'und')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -419,8 +474,11 @@ def oracle_sql() -> dict[str, str]:
         "csv_search_content": f"SELECT dataset_name, score, rank, false AS used_metadata, CAST(NULL AS VARCHAR) AS metadata FROM ({_scored(_csv_catalog(), _content(CSV_TEXT), 'furniture click algeria asia'.split())})",
         "csv_search_metadata": f"SELECT s.dataset_name, score, rank, true AS used_metadata, m.metadata FROM ({_scored(_csv_catalog(), _tok(_csv_described(), _norm('cell')), 'region of 2024 of'.split())}) s JOIN ({_csv_catalog()}) m ON s.dataset_name = m.dataset_name",
         "csv_metadata": _csv_errors(),
-        "csv_file_names": f"SELECT left(f, length(f) - 4) AS dataset_name FROM {_literal(FILES, 'f')} WHERE suffix(f, '.csv') AND NOT suffix(f, '_metadata.csv')",
-        "dataset_objects": "SELECT * FROM (VALUES ('an id is a random uuid', true), ('ids differ', true), ('new metadata keeps the id', true), ('new data keeps the id', true), ('the original stays', true), ('id and name are printed', true)) AS v(fact, holds)",
+        "csv_file_names": _file_named(),
+        "dataset_objects": _replaced(False),
+        "index_with_data": _replaced(True),
+        "index_counts": _some_counts(),
+        "multi_operation_metadata": " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS op_idx, dataset_name, score, rank, ord % 2 = 0 AS used_metadata FROM ({_scored(DOC_CATALOG, fallback, q.split())})" for k, q in ((0, "en of the"), (2, "die der"), (3, "zzzz"))),
         "empty_argument": f"SELECT dataset_name, score, rank, 'No results found for search query: \'\'\'\'' AS message FROM ({_scored(SOURCE_CATALOG, _content(SOURCES), [''])})",
         "reports_without_argument": _unargued(),
     }
