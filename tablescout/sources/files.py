@@ -5,17 +5,22 @@ Paths go through Hadoop's file systems, so any store Spark reads will do."""
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import csv_missing
 from tablescout.operators.collection import Collection, Dataset, cells
+from tablescout.sources import csvtext
+from tablescout.sources.scratch import measured, stored
 
 META = "_metadata.json"
 
@@ -26,6 +31,14 @@ def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def children(spark: SparkSession, folder: str) -> set[str]:
+    """Files and subfolders of a folder that do not begin with a dot or an underscore."""
+    p, fs = _hadoop(spark, folder)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"Folder {folder} not found.")
+    return {n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith((".", "_"))}
+
+
 def _names(spark: SparkSession, folder: str) -> set[str]:
     """Files of a folder, not of its subfolders."""
     p, fs = _hadoop(spark, folder)
@@ -34,55 +47,115 @@ def _names(spark: SparkSession, folder: str) -> set[str]:
     return {s.getPath().getName() for s in fs.listStatus(p) if s.isFile()}
 
 
-def _lines(spark: SparkSession, path: str) -> Iterator[str]:
-    p, fs = _hadoop(spark, path)
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        while (line := reader.readLine()) is not None:
-            yield line + "\n"
-    finally:
-        reader.close()
+def _file(column: str = "file") -> Column:
+    """The last part of a file's path, as it is called in its folder."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col(column), "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
+def _names_in(header: str | None) -> list[str]:
+    """Column names of a header record."""
+    return [] if header is None else [n.removeprefix("\ufeff") for n in next(csv.reader(io.StringIO(header, newline="")), [])]
+
+
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(_names_in(h)) for h in b.column("header").to_pylist()], pa.int32())], [*b.schema.names, "width"])
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of a CSV: its first record, read without a job.  An empty file has none."""
-    first = next(csv.reader(_lines(spark, path)), [])
-    return tuple(name.removeprefix("﻿") for name in first)
+def inventory(spark: SparkSession, paths: list[str], multiline: bool | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """file, path, breaks, header, width of each CSV that is not empty, as a
+    written table: whether a line holds an odd number of quotes, so that a cell
+    may go on in the next, and the header's record and number of columns.  One
+    scan of all files, whatever their number; the records of files with breaks
+    are the second frame (None if there are none).  multiline: False, no file is
+    taken to have breaks; True, all are."""
+    schema = "file string, path string, breaks boolean, header string, width int"
+    if not paths:
+        return spark.createDataFrame([], schema), None
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    breaks = F.max(quotes % 2 == 1) if multiline is None else F.lit(multiline)
+    top = F.min_by("value", F.when((F.col("block") == 0) & (F.trim("value") != ""), F.col("nth")))
+    plain = stored(text.groupBy("path").agg(breaks.alias("breaks"), top.alias("header")), "csv-files")
+    broken = [r.path for r in plain.where("breaks").select("path").toLocalIterator()]
+    found = None
+    if broken:
+        by_name = {p.rsplit("/", 1)[-1]: p for p in paths}
+        found = csvtext.records(spark, [by_name[unquote(p.rsplit("/", 1)[-1])] for p in broken])
+        tops = found.where("top").select(F.col("file").alias("path"), F.lit(True).alias("breaks"), F.col("record").alias("header"))
+        plain = plain.where("not breaks").unionByName(tops)
+    return stored(plain.select(_file("path").alias("file"), "path", "breaks", "header").mapInArrow(_widths, schema), "csv-inventory"), found
+
+
+def _parsed_metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, has_metadata, title, description, raw_metadata, fault: the rule of `Dataset.catalog_row` for a file's JSON."""
+    for b in batches:
+        rows = []
+        for file, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            try:
+                name = file.removesuffix(META)
+                row = Dataset(name, None, json.loads(text)).catalog_row(0)
+                rows.append((file, *row[2:], None))
+            except (ValueError, TypeError, AttributeError):
+                rows.append((file, None, None, None, None, text))
+        kinds = [pa.string(), pa.bool_(), *[pa.string()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["file", "has_metadata", "title", "description", "raw_metadata", "fault"])
+
+
+def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.text(paths, wholetext=True).select(_file("_metadata.file_path").alias("file"), "value")
+
+
+def read_catalog(spark: SparkSession, folder: str, names: list[str], include_metadata: bool) -> DataFrame:
+    """The catalog of a folder's datasets, in the order of names, as a written
+    table: metadata are read and checked by the executors.  Raises what is wrong
+    with the first file that is."""
+    order = spark.createDataFrame([(n, f"{n}{META}", i) for i, n in enumerate(names)], "dataset_name string, file string, ord long")
+    if not include_metadata or not names:
+        return stored(order.select("dataset_name", "ord", F.lit(False).alias("has_metadata"), F.lit("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("raw_metadata")), "catalog")
+    read = _texts(spark, [f"{folder}/{n}{META}" for n in names]).mapInArrow(_parsed_metadata, "file string, has_metadata boolean, title string, description string, raw_metadata string, fault string")
+    found = stored(order.join(read, "file", "left"), "catalog")
+    wrong = found.where("has_metadata is null").orderBy("ord").select("dataset_name", "fault").first()  # a file of no bytes has no row and no fault
+    if wrong:
+        Dataset(wrong.dataset_name, None, json.loads(wrong.fault or "")).catalog_row(0)
+    return found.drop("file", "fault")
 
 
 def read_metadata(spark: SparkSession, paths: Iterable[str]) -> dict[str, Any]:
     """File name -> its JSON value; all files in one scan.  Other keys than title and description are kept."""
     paths = list(paths)
-    if not paths:
-        return {}
-    rows = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
-    found = {r.name: json.loads(r.value) for r in rows.collect()}
-    by_name = {p.rsplit("/", 1)[-1]: p for p in paths}
-    for name, path in by_name.items():  # names that the scan gives in another spelling, as %20
-        if name not in found:
-            found[name] = json.loads("".join(_lines(spark, path)))
-    return found
-
-
-def breaks_in_quotes(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether a line holds an odd number of quotes, so that a quoted cell may go on in the next."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return spark.read.text(paths).where(quotes % 2 == 1).limit(1).count() > 0
+    found = {r.file: json.loads(r.value) for r in _texts(spark, paths).toLocalIterator()} if paths else {}
+    return {name: found[name] if name in found else json.loads("") for name in (p.rsplit("/", 1)[-1] for p in paths)}
 
 
-def read_csv(spark: SparkSession, paths: list[str], header: tuple[str, ...], multiline: bool | None = None) -> DataFrame:
-    """CSVs of one header as one frame: all columns as strings, missing-value
-    literals as null, and `_file`.  multiline: whether quoted cells hold line
-    breaks, which keeps a file in one task; None: found out by a scan."""
-    if multiline is None:
-        multiline = breaks_in_quotes(spark, paths)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] or [T.StructField("c0", T.StringType())])
+def read_csv(spark: SparkSession, paths: list[str], width: int, multiline: bool = False) -> DataFrame:
+    """CSVs of `width` columns as one frame: all columns as strings, missing-value
+    literals as null, and `_file`.  multiline: quoted cells hold line breaks, and a task reads a file."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.schema(schema).csv(paths, header=True, multiLine=multiline, escape='"', enforceSchema=True)
-    file = F.col("_metadata.file_path").alias("_file")
-    return raw.select(*[csv_missing(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(header))], file)
+    return _cleaned(raw.withColumn("file", F.col("_metadata.file_path")), width)
+
 
+def _cleaned(raw: DataFrame, width: int) -> DataFrame:
+    return raw.select(*[csv_missing(F.col(f"c{i}")).alias(f"c{i}") for i in range(width)], F.col("file").alias("_file"))
 
-def _unique(header: tuple[str, ...]) -> list[str]:
+
+def read_groups(spark: SparkSession, files: DataFrame, found: DataFrame | None) -> Iterator[DataFrame]:
+    """The files of an `inventory`, a frame for each number of columns: plain
+    ones by Spark's reader, the others from their records.  Paths come to the
+    driver, as a scan needs them; no file is opened there."""
+    groups: dict[tuple[bool, int], list[str]] = defaultdict(list)
+    for r in files.where("width > 0").select("path", "breaks", "width").orderBy("path").toLocalIterator():
+        groups[r.breaks, r.width].append(r.path)
+    of_file = measured(files.select(F.col("path").alias("file"), "width"), F.octet_length("file")) if any(b for b, _ in groups) else None
+    for (breaks, width), paths in sorted(groups.items()):
+        if breaks:
+            yield _cleaned(csvtext.parsed(found.join(of_file.where(F.col("width") == width), "file", "left_semi"), width), width)
+        else:
+            yield read_csv(spark, [unquote(p) if "%" in p else p for p in paths], width)
+
+
+def _unique(header: list[str]) -> list[str]:
     """Column names; repeated ones are numbered, empty ones called by their place."""
     seen: dict[str, int] = defaultdict(int)
     out = []
@@ -127,51 +200,46 @@ def dataset_names(files: Iterable[str]) -> list[str]:
     return sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv") and not f.endswith("_metadata.csv"))
 
 
-def _metadata(spark: SparkSession, folder: str, names: list[str], files: set[str], include_metadata: bool) -> dict[str, Any]:
-    """Name -> metadata or None; raises for what is missing, in the order of names."""
+def _required(folder: str, names: list[str], files: set[str], include_metadata: bool) -> None:
+    """Raises for the first file that is missing, in the order of names."""
     for name in names:
         if f"{name}.csv" not in files:
             raise FileNotFoundError(f"Dataset file {folder}/{name}.csv not found.")
         if include_metadata and f"{name}{META}" not in files:
             raise FileNotFoundError(f"Metadata file {folder}/{name}{META} not found.")
-    read = read_metadata(spark, [f"{folder}/{n}{META}" for n in names]) if include_metadata else {}
-    return {n: read.get(f"{n}{META}") for n in names}
 
 
 def _load(spark: SparkSession, folder: str, names: list[str], files: set[str], include_metadata: bool, multiline: bool | None) -> dict[str, Dataset]:
-    metadata = _metadata(spark, folder, names, files, include_metadata)
-    paths = [f"{folder}/{n}.csv" for n in names]
-    if multiline is None and paths:
-        multiline = breaks_in_quotes(spark, paths)
+    _required(folder, names, files, include_metadata)
+    metadata = read_metadata(spark, [f"{folder}/{n}{META}" for n in names]) if include_metadata else {}
+    listed, found = inventory(spark, [f"{folder}/{n}.csv" for n in names], multiline)
+    known = {r.file: r for r in listed.toLocalIterator()}
     out = {}
-    for name, path in zip(names, paths, strict=True):
-        header = read_header(spark, path)
-        data = read_csv(spark, [path], header, multiline).drop("_file").toDF(*_unique(header))
-        out[name] = Dataset(name, data, metadata[name])
+    for name in names:
+        r = known.get(f"{name}.csv")
+        if r is None or not r.width:
+            data = spark.createDataFrame([], T.StructType([]))
+        elif r.breaks:
+            data = _cleaned(csvtext.parsed(found.where(F.col("file") == r.path), r.width), r.width)
+        else:
+            data = read_csv(spark, [f"{folder}/{name}.csv"], r.width)
+        out[name] = Dataset(name, data.drop("_file").toDF(*_unique(_names_in(r.header))) if r and r.width else data, metadata.get(f"{name}{META}"))
     return out
 
 
 def load_collection(spark: SparkSession, folder: str, include_metadata: bool = True, multiline: bool | None = None) -> Collection:
-    """A folder of many datasets as a collection, in name order: files of one
-    header are one scan, metadata files are another, whatever their number."""
+    """A folder of many datasets as a collection, in name order, whatever their
+    number: executors read metadata, headers and cells; files of as many columns
+    are one scan.  The driver lists the folder."""
     files = _listed(spark, folder)
     names = dataset_names(files)
-    metadata = _metadata(spark, folder, names, files, include_metadata)
-    catalog = [Dataset(n, spark.range(0), metadata[n]) for n in names]
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for n in names:
-        groups[read_header(spark, f"{folder}/{n}.csv")].append(n)
-    made = Collection.of(spark, catalog)
-    if multiline is None and names:
-        multiline = breaks_in_quotes(spark, [f"{folder}/{n}.csv" for n in names])
-    text = made.cells
-    for header, members in groups.items():
-        if header:
-            data = read_csv(spark, [f"{folder}/{n}.csv" for n in members], header, multiline)
-            file = F.url_decode(F.replace(F.element_at(F.split("_file", "/"), -1), F.lit("+"), F.lit("%2B")))
-            data = data.withColumn("_file", F.struct(F.regexp_replace(file, r"\.csv$", "").alias("name")))  # a struct is not searched
-            text = text.unionByName(cells(data, F.col("_file.name")))
-    return Collection(made.catalog, text)
+    _required(folder, names, files, include_metadata)
+    catalog = read_catalog(spark, folder, names, include_metadata)
+    text = spark.createDataFrame([], "dataset_name string, cell string")
+    for data in read_groups(spark, *inventory(spark, [f"{folder}/{n}.csv" for n in names], multiline)):
+        data = data.withColumn("_file", F.struct(dataset_name(_file("_file")).alias("name")))  # a struct is not searched
+        text = text.unionByName(cells(data, F.col("_file.name")))
+    return Collection(catalog, text)
 
 
 def save_dataset(folder: str, name: str, data: DataFrame, metadata: Mapping[str, Any] | None = None) -> None:

@@ -49,7 +49,11 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 BROADCAST = 16 << 20
 
 
+def fits(table: DataFrame, row: Column) -> bool:
+    """Whether the table's rows, of `row` bytes and 8 more, measure up to BROADCAST."""
+    return (table.agg(F.sum(F.coalesce(row, F.lit(0)) + 8)).first()[0] or 0) <= BROADCAST
+
+
 def measured(table: DataFrame, row: Column) -> DataFrame:
-    """The table, to be broadcast if its rows, of `row` bytes and 8 more, measure up to BROADCAST; else joins with it shuffle."""
-    size = table.agg(F.sum(F.coalesce(row, F.lit(0)) + 8)).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST else table
+    """The table, to be broadcast if it `fits`; else joins with it shuffle."""
+    return F.broadcast(table) if fits(table, row) else table

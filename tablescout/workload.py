@@ -21,6 +21,7 @@ from tablescout.operators.words import content_index, content_tokens, count_word
 from tablescout.plans.query import DiscoveryEngine, parse_frame
 from tablescout.sources.files import dataset_name, is_dataset_file, load_collection, load_dataset, load_folder, save_dataset
 from tablescout.sources.scratch import scratch, stored
+from tablescout.sources.tables import load_tables
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
 TEXT = {
@@ -157,6 +158,18 @@ def _csv_source(spark, sf):
     return content_index(load_collection(spark, _folder(spark, sf)))
 
 
+def _csv_documents(spark, sf):
+    """Words of all texts, line breaks and quotes inside the cells, written as one CSV and read back by many tasks."""
+    folder = scratch(spark, "folder")
+    save_dataset(folder, "documents", read(spark, sf, "documents").select("lang", "text", "source"))
+    return content_index(load_collection(spark, folder, include_metadata=False))
+
+
+def _table_folder(spark, sf):
+    """Searches all tables of the test data as they lie in their folder."""
+    return keyword_search(load_tables(spark, sf), "the furniture urgent der", top=False).select("dataset_name", "score", "rank")
+
+
 def _csv_search(in_metadata: bool, query: str):
     def run(spark, sf):
         collection = Collection.of(spark, load_folder(spark, _folder(spark, sf)).values())
@@ -291,6 +304,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "operation_messages": _messages,
         "metadata_examples": _metadata_examples,
         "csv_source": _csv_source,
+        "csv_documents": _csv_documents,
+        "tables_of_a_folder": _table_folder,
         "csv_search_content": _csv_search(False, "furniture click algeria asia"),
         "csv_search_metadata": _csv_search(True, "region of 2024 of"),
         "csv_metadata": _csv_metadata,
@@ -370,6 +385,13 @@ def _parsed() -> str:
     return f"SELECT CAST(q_id AS BIGINT) AS q_id, CAST(op_idx AS BIGINT) AS op_idx, raw_operation, string_split(raw_operation, ':')[1] AS op_name, string_split(raw_operation, ':')[2] AS arg, CAST(len(string_split(raw_operation, ':')) - 1 AS BIGINT) AS n_args FROM ({ops})"
 
 
+#: Text columns of all tables.
+ALL_TEXT = TEXT | {
+    "events": ["event_type", "props"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "documents": ["text", "lang", "source"],
+    "embeddings": [], "pages": ["url", "html"], "benchmark": ["text"], "labels": [], "conversations": ["role", "text"],
+}
+FOLDER = " UNION ALL ".join(f"SELECT '{t}' AS dataset_name, {c} AS cell FROM {t}" for t, cs in ALL_TEXT.items() for c in cs)
+FOLDER_CATALOG = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(sorted(ALL_TEXT))) + ") AS v(dataset_name, ord)"
 #: Cells of the files: missing-value literals are no cells, a boolean is its text.
 CSV_TEXT = " UNION ALL ".join([f"SELECT '{t}' AS dataset_name, {c} AS cell FROM {t}" for t in CSV_TABLES for c in TEXT[t]] + ["SELECT 'cells', '" + c.replace("'", "''") + "'" for c in CSV_CELLS if c not in ("None", "NULL", "n/a", "nan")])
 KNOWN = "('semantic', 'vector', 'cause_and_consequences', 'query_by_example')"
@@ -471,6 +493,8 @@ def oracle_sql() -> dict[str, str]:
         "operation_messages": f"SELECT CAST(op_idx AS BIGINT) AS op_idx, message FROM (VALUES (0, 'No results found for search query: ''zzzz'''), (1, '{cause}' || {n_sources}), (2, 'Unknown operation: foo'), (3, 'Performing query by example search for: ''a'' in dataset of size: ' || {n_sources}), (4, 'Unknown operation: '), (5, 'Performing cause and consequences search for: ''b'' in dataset of size: ' || {n_sources})) AS v(op_idx, message)",
         "metadata_examples": "SELECT CAST(doc_id AS VARCHAR) AS dataset_name, lang || ' ' || source AS title, length(text) AS description_chars FROM documents",
         "csv_source": _counts(_content(CSV_TEXT)),
+        "csv_documents": _counts(_content("SELECT 'documents' AS dataset_name, unnest([lang, text, source]) AS cell FROM documents")),
+        "tables_of_a_folder": _found(FOLDER_CATALOG, _content(FOLDER), "the furniture urgent der"),
         "csv_search_content": f"SELECT dataset_name, score, rank, false AS used_metadata, CAST(NULL AS VARCHAR) AS metadata FROM ({_scored(_csv_catalog(), _content(CSV_TEXT), 'furniture click algeria asia'.split())})",
         "csv_search_metadata": f"SELECT s.dataset_name, score, rank, true AS used_metadata, m.metadata FROM ({_scored(_csv_catalog(), _tok(_csv_described(), _norm('cell')), 'region of 2024 of'.split())}) s JOIN ({_csv_catalog()}) m ON s.dataset_name = m.dataset_name",
         "csv_metadata": _csv_errors(),
