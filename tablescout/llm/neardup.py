@@ -7,8 +7,9 @@ that strangers rarely share one, and as many as it takes for a pair of the least
 similarity to share one with a probability of RECALL.  Texts that share a block
 are compared by Hamming distance and verified by the exact Jaccard similarity of
 their whole sets (64-bit hashes of shingles).  A block of many texts tests each
-against its leaders first, and then only pairs that verified links don't connect
-yet."""
+against its leaders only.  Texts of blocks that the links so found leave in
+several pieces, and sets too small for bits to tell, are joined by what a pair
+of the least similarity must share: a shingle among the rarest of both."""
 
 from __future__ import annotations
 
@@ -33,10 +34,12 @@ NARROW = 16
 COMPARED = 128
 #: Shingles whose bits are counted at once.
 STEP = 1 << 12
-#: In the first of two rounds, texts of blocks of more than this are compared with so many leaders and go with the nearest.
+#: Texts of blocks of more than this are compared with so many leaders and go with the nearest.
 LARGE, LEADERS = 8, 2
-#: Rows of one block that a task holds before all but the leaders are let go (not in the last round).
+#: Rows of one block that a task holds before all but the leaders are let go.
 HELD = 1 << 18
+#: Sets of fewer shingles are joined exactly, whatever their blocks; sizes of one class differ by less than this factor.
+FEW, CLASS = 10, 1.05
 
 
 def differing(similarity: float) -> float:
@@ -122,7 +125,7 @@ def _possible(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, similarit
     return (root[i] != root[j]) & (np.minimum(a, b) + 1e-9 >= similarity * np.maximum(a, b)) & (_apart(c, i, j) <= most)
 
 
-def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(c: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes to verify, from rows sorted by block; rows of blocks that were thinned.  A large block's first rows are its leaders."""
     key, node = c[0], c[1]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
@@ -135,18 +138,12 @@ def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tup
         out.append(np.stack([node[i], node[i + d]], 1))
     for g in np.flatnonzero(sizes > LARGE).tolist():
         rows = np.arange(starts[g], starts[g + 1])
-        if not last:
-            thinned.append(rows)
-            fine = np.stack([_possible(c, np.full(len(rows), i), rows, similarity) for i in rows[:LEADERS].tolist()])
-            near = np.where(fine, np.stack([_apart(c, np.full(len(rows), i), rows) for i in rows[:LEADERS].tolist()]), COMPARED + 1)
-            which = near.argmin(axis=0)
-            some = fine.any(axis=0)
-            out.append(np.stack([node[rows[which[some]]], node[rows[some]]], 1))
-            continue
-        for i in rows.tolist():
-            j = rows[i - starts[g] + 1 :]
-            j = j[_possible(c, np.full(len(j), i), j, similarity)]
-            out.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
+        thinned.append(rows)
+        fine = np.stack([_possible(c, np.full(len(rows), i), rows, similarity) for i in rows[:LEADERS].tolist()])
+        near = np.where(fine, np.stack([_apart(c, np.full(len(rows), i), rows) for i in rows[:LEADERS].tolist()]), COMPARED + 1)
+        which = near.argmin(axis=0)
+        some = fine.any(axis=0)
+        out.append(np.stack([node[rows[which[some]]], node[rows[some]]], 1))
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
     return np.unique(np.sort(pairs, axis=1), axis=0), np.concatenate([np.zeros(0, np.int64), *thinned])
 
@@ -154,13 +151,13 @@ def _candidates(c: tuple[np.ndarray, ...], last: bool, similarity: float) -> tup
 MET = "thinned boolean, a long, b long, size int, p0 long, p1 long"
 
 
-def _meet(keyed: DataFrame, n: int, last: bool, similarity: float) -> DataFrame:
+def _meet(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
     """MET: candidate pairs (a, b); or, thinned, a block in a and a node of it in b."""
 
     def rows(c: list[tuple[np.ndarray, ...]], fresh: int = 0) -> Iterator[pa.RecordBatch]:
         """fresh: how many rows of the first block are here for the second time."""
         c = tuple(np.concatenate(x) for x in zip(*c, strict=True))
-        pairs, thinned = _candidates(c, last, similarity)
+        pairs, thinned = _candidates(c, similarity)
         thinned = thinned[thinned >= fresh]
         m, t = len(pairs), len(thinned)
         if m + t:
@@ -180,7 +177,7 @@ def _meet(keyed: DataFrame, n: int, last: bool, similarity: float) -> DataFrame:
                 yield from rows([*held, tuple(x[:at] for x in c)], fresh)
                 held, fresh = [], 0
             held.append(tuple(x[at:] for x in c))
-            if not last and sum(len(h[0]) for h in held) > HELD:
+            if sum(len(h[0]) for h in held) > HELD:
                 yield from rows(held, fresh)
                 held = [tuple(np.concatenate(x)[:LEADERS] for x in zip(*held, strict=True))]
                 fresh = LEADERS
@@ -191,13 +188,120 @@ def _meet(keyed: DataFrame, n: int, last: bool, similarity: float) -> DataFrame:
     return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(run, MET)
 
 
-def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least this similarity.  at: node, doc_id, version of one text of each."""
+def size_class(n: np.ndarray | int) -> np.ndarray:
+    return np.floor(np.log(n) / log(CLASS) + 1e-9).astype(np.int64)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def prefixes(n: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(length, smaller class, larger class, side) for a set of n shingles:
+    against sets of each class, a pair as similar as asked shares one of the
+    first `length` shingles of both, in any order that all sets follow.  side: 0
+    where it is of the smaller class, 1 of the larger, 2 if both are of one."""
+    own = int(size_class(n))
+    out = []
+    for other in range(int(size_class(max(1, ceil(similarity * n - 1e-9)))), int(size_class(int(n / similarity + 1e-9))) + 1):
+        least = max(int(CLASS**other), ceil(similarity * n - 1e-9))
+        both = ceil(similarity / (1 + similarity) * (n + least) - 1e-9)
+        if n - both + 1 > 0:
+            out.append((n - both + 1, min(own, other), max(own, other), 2 if other == own else int(other < own)))
+    return out
+
+
+RARE = "key long, side int, node long, size int, p0 long, p1 long, root long"
+
+
+def _rare_keys(similarity: float):
+    """RARE rows of nodes with their shingles that another node has too, rarest first; the others are rarer still."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, size, p0, p1, root, hashes in zip(*b.columns, strict=True):
+                n, h = size.as_py(), np.array(hashes.values, np.int64).view(np.uint64)
+                alone = n - len(h)
+                keys, sides = [], []
+                for length, low, high, side in prefixes(n, similarity):
+                    if length > alone:
+                        of = mix(h[: length - alone] ^ mix(np.array([low << 32 | high << 2 | 1], np.uint64)))
+                        keys.append(of)
+                        sides.append(np.full(len(of), side, np.int32))
+                if keys:
+                    k = np.concatenate(keys).view(np.int64)
+                    rest = [pa.repeat(x, len(k)) for x in (node, size, p0, p1, root)]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(sides)), *rest], ["key", "side", "node", "size", "p0", "p1", "root"])
+
+    return run
+
+
+def _rare_pairs(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a key, one of each side, and could link."""
+
+    def pairs(c: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        side = c[6]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(c[0])) + 1, [len(c[0])]))
+        out = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            right = np.arange(lo, hi)[side[lo:hi] == 1]
+            for i in range(lo, hi):
+                j = np.arange(i + 1, hi) if side[i] == 2 else right if side[i] == 0 else right[:0]
+                j = j[_possible(c, np.full(len(j), i), j, similarity)] if len(j) else j
+                if len(j):
+                    out.append(np.stack([np.full(len(j), c[1][i]), c[1][j]], 1))
+        if out:
+            got = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            c = tuple(x.to_numpy() for x in b.columns)
+            if not len(c[0]):
+                continue
+            at = int(np.searchsorted(c[0], c[0][-1]))  # the last key may go on
+            if at or (held and held[-1][0][-1] != c[0][-1]):
+                yield from pairs(tuple(np.concatenate(x) for x in zip(*[*held, tuple(x[:at] for x in c)], strict=True)))
+                held = []
+            held.append(tuple(x[at:] for x in c))
+        if held:
+            yield from pairs(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    dealt = keyed.select("key", "node", "size", "p0", "p1", "root", "side")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _sets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, tables: Tables) -> DataFrame:
+    """node, s: the hashes of its set.  at: node, doc_id, version of one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "s"])
 
+    wanted = sent(tables.stored(at.join(nodes, "node", "left_semi"), "neardup-wanted"), 32)
+    texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).select("node", "text")
+    return tables.stored(texts.mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
+
+
+def _rare_candidates(open_: DataFrame, sets: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) that could link among open nodes (node, size, p0, p1, root): every pair as similar as asked is one of them."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, s in zip(*b.columns, strict=True):
+                h = np.frombuffer(s.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h)], ["node", "h"])
+
+    each = sets.mapInArrow(hashes, "node long, h long")
+    shared = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("times", "h"))), lambda x: x["h"]).alias("hashes")
+    ranked = each.join(shared, "h").groupBy("node").agg(order)  # a node's own shingles
+    keyed = open_.join(ranked, "node").select("node", "size", "p0", "p1", "root", "hashes").mapInArrow(_rare_keys(similarity), RARE)
+    return _rare_pairs(keyed, n, similarity)
+
+
+def _verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (known: node, s) have at least this similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = []
@@ -207,10 +311,6 @@ def _verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, si
                 held.append(both + 1e-9 >= similarity * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = sent(tables.stored(at.join(nodes, "node", "left_semi"), "neardup-wanted"), 32)
-    texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).select("node", "text")
-    known = tables.stored(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
     joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -220,7 +320,8 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, sim
     hash of its other columns).
 
     A pair of exactly `similarity` is found with probability `recall`, and the
-    more similar, the surer; no pair below it links.  Texts without words are
+    more similar, the surer, pairs of sets under FEW shingles always; no pair
+    below it links.  Texts without words are
     alike, null ones too.  Rows without an id stay and link nothing.  Of equal
     rows one stays; rows of one doc_id and different texts are texts of their
     own.  An empty table gives no rows.  Other columns than `columns` (which
@@ -236,20 +337,23 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, sim
     at = nodes.select("node", "doc_id", "version")
     n = parts(nodes)
     keyed = nodes.select("node", "size", "p0", "p1", F.explode("keys").alias("key")).withColumn("root", F.col("node"))
-    roots = links = None
-    for last in (False, True):
-        met = tables.stored(_meet(keyed, n, last, similarity), "neardup-pairs")
-        pairs = tables.stored(met.where("not thinned").select("a", "b").distinct(), "neardup-candidates")
-        new = tables.stored(_verified(pairs, at, known, shingle, similarity, tables), "neardup-links")
-        links = new if links is None else links.unionByName(new)
+    met = tables.stored(_meet(keyed, n, similarity), "neardup-pairs")
+    pairs = tables.stored(met.where("not thinned").select("a", "b").distinct(), "neardup-candidates")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = tables.stored(_verified(pairs, _sets(ends, at, known, shingle, tables), similarity), "neardup-links")
+    roots = components(links, "neardup-roots", tables)
+    rooted = lambda rows: rows.join(sent(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = tables.stored(rooted(met.where("thinned").select(F.col("a").alias("key"), F.col("b").alias("node"))), "neardup-left")
+    # blocks whose texts are connected already have nothing to find
+    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    parted = left.join(sent(tables.stored(split, "neardup-blocks"), 16), "key", "left_semi").select("node")
+    some = parted.unionByName(nodes.where(F.col("size").between(1, FEW - 1)).select("node")).distinct()
+    open_ = tables.stored(rooted(nodes.select("node", "size", "p0", "p1").join(some, "node", "left_semi")), "neardup-open")
+    if open_.limit(1).count():
+        sets = _sets(open_.select("node"), at, known, shingle, tables)
+        pairs = tables.stored(_rare_candidates(open_, sets, n, similarity).distinct(), "neardup-candidates")
+        links = links.unionByName(tables.stored(_verified(pairs, sets, similarity), "neardup-links"))
         roots = components(links, "neardup-roots", tables)
-        left = met.where("thinned").select(F.col("a").alias("key"), F.col("b").alias("node"), "size", "p0", "p1")
-        left = left.join(sent(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # blocks whose texts are connected already have nothing to find
-        split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        keyed = tables.stored(left.join(sent(tables.stored(split, "neardup-blocks"), 16), "key", "left_semi"), "neardup-left")
-        if last or keyed.limit(1).count() == 0:
-            break
     place_of = F.struct("doc_id", "version", "other").alias("at")
     place = found.select("node", place_of).join(sent(roots, 16), "node", "left").groupBy(F.coalesce("root", "node").alias("root"), "at").agg(F.count("*").alias("copies"))
     first = stored(place.groupBy("root").agg(F.min(F.struct("at", "copies")).alias("m")).select("m.at.*", "m.copies"), "neardup-first")

@@ -70,10 +70,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def record_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row for each chunk of each payload, in order, made while rows are
     scanned; a revisit is one row without bytes."""
-    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk))).cast("int")
-    numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    data = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.substring(F.col("html").cast("binary"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return numbered.select("page_id", "url", "sha1", "bytes", "refers_to", "chunk_no", (F.col("chunk_no") == n - 1).alias("last"), data.alias("data"))
+    last = F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk)).cast("int") - 1
+    # the payload is bound once and cut once; html itself does not go along with its pieces
+    cut = F.transform(F.array(F.col("html").cast("binary")), lambda b: F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(b, k * chunk + 1, F.lit(chunk))))[0]
+    pieces = records.select("page_id", "url", "sha1", "bytes", "refers_to", F.when(F.col("refers_to").isNotNull(), F.array(F.lit(b""))).otherwise(cut).alias("pieces"))
+    n = F.size("pieces").alias("n")
+    dealt = pieces.select("page_id", "url", "sha1", "bytes", "refers_to", n, F.posexplode("pieces").alias("chunk_no", "data"))
+    return dealt.select("page_id", "url", "sha1", "bytes", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), "data")
 
 
 def _head(page_id: int | None, url: str, sha1: str, size: int, refers_to: int | None) -> bytes:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tablescout.llm import bpe, decontaminate, linededup, ngrams, simhash, substrings, suffixes, toxicity, warc
 
@@ -94,3 +95,18 @@ def test_thousands_of_equal_payloads(spark, monkeypatch, most):
         r, best = got[i], last.get(h, i)
         assert (r.payload_bytes, r.payload_digest) == (len(b), hashlib.sha1(b).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if best == i else ("revisit", best))
+
+
+def test_time_of_a_payload_is_in_proportion(spark):
+    """Hundreds of chunks; eight times the bytes take hardly more than eight times as long."""
+    import time
+
+    took = []
+    for mb in (4, 32):
+        pages = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef" * 64), mb << 10).alias("html"))
+        records = warc.plan_records(pages)
+        began = time.perf_counter()
+        rows = warc.record_chunks(records).select("chunk_no", "last", F.length("data").alias("n")).collect()
+        took.append(time.perf_counter() - began)
+        assert len(rows) == mb * 16 and sum(r.n for r in rows) == mb << 20 and [r.chunk_no for r in rows if r["last"]] == [len(rows) - 1]
+    assert took[1] < 16 * took[0] + 2

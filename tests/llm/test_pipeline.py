@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,6 +76,46 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_a_template_gives_candidates_in_proportion(spark, monkeypatch):
+    """Texts of one template that hardly miss the similarity: as many candidates a text, however many texts."""
+    made = []
+    keep = neardup.Tables.stored
+
+    def counted(self, frame, name):
+        out = keep(self, frame, name)
+        if name == "neardup-candidates":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.Tables, "stored", counted)
+    r, sums = random.Random(4), []
+    for n in (150, 600):
+        made.clear()
+        docs = [(i, " ".join([f"c{k}" for k in range(120)] + [f"w{r.random()}" for _ in range(20)])) for i in range(n)]
+        assert corpus_pipeline.drop_near_duplicates(spark, table(spark, docs), "").count() == n
+        assert len(made) == 2 and made[1] == 0
+        sums.append(sum(made))
+    assert sums[1] < 6 * sums[0]
+
+
+def test_rare_shingles_meet_for_every_similar_pair(spark):
+    """Candidates of open sets against brute force: no similar pair is missing, of all sizes and over their classes."""
+    r = random.Random(8)
+    sets = {}
+    for k in range(400):
+        base = sets[r.randrange(k)] if k % 3 else None
+        own = {r.randint(-(2**62), 2**62) for _ in range(r.choice([1, 3, 5, 8, 12, 40, 90]))}
+        sets[k] = set(r.sample(sorted(base), max(1, int(len(base) * r.uniform(0.75, 1))))) | {r.randint(-(2**62), 2**62) for _ in range(int(len(base) * r.uniform(0, 0.3)))} if base else own
+    similar = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(similar) > 60 and min(len(sets[a]) for a, _ in similar) < 10
+    zeros = 0  # the same fingerprint for all, so that only shingles decide
+    known = spark.createDataFrame([(k, np.array(sorted(s), np.int64).tobytes()) for k, s in sets.items()], "node long, s binary")
+    opened = spark.createDataFrame([(k, len(s), zeros, zeros, k) for k, s in sets.items()], "node long, size int, p0 long, p1 long, root long")
+    found = neardup._rare_candidates(opened, known, 4, 0.8)
+    assert similar <= {(x.a, x.b) for x in found.collect()}
+    assert {(x.a, x.b) for x in neardup._verified(found, known, 0.8).collect()} == similar
+
+
 def test_blocks_find_pairs_as_often_as_said():
     """Pairs of 0.8 and more share a block with the stated probability, strangers hardly ever."""
     blocks, bits = neardup.layout(100_000)
