@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ THRESHOLD = 0.3
 TABLE = 64
 #: Units whose margins are computed together.
 TOGETHER = 4000
+#: Units whose subsequences are kept from one round of training to the next.
+LAID = 40 * TOGETHER
 #: Words that are remembered by a worker; then those in use stay.
 REMEMBERED = 200_000
 #: Words of texts that are looked up together.
@@ -61,6 +64,7 @@ PAIRS, ALIKE = 50, 0.5
 SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
 
 
+@lru_cache(maxsize=1 << 18)
 def fold(word: str) -> str:
     """Letters of a word: lower case, without accents, look-alikes as letters, marks dropped."""
     word = word.strip(_EDGE)
@@ -148,8 +152,8 @@ def units_of(text: str | None) -> list[str]:
                 out.append("".join(run))
             run = []
         if u:
-            out += windows(u)
-    return [p for u in out for p in windows(u)]
+            out.append(u)
+    return [p for u in out for p in (windows(u) if len(u) > UNIT else (u,))]
 
 
 def pairs_of(text: str | None) -> list[str]:
@@ -182,11 +186,12 @@ class Model:
         out = np.full(len(units), self.bias)
         for lo in range(0, len(units), TOGETHER):
             part = units[lo : lo + TOGETHER]
-            if part:
-                r, s, w = subsequences(part)
-                out[lo : lo + len(part)] += np.bincount(r, self.weights[s] * w, len(part))
+            out[lo : lo + len(part)] = self.margins_of(*subsequences(part), len(part))
         return out
 
+    def margins_of(self, row: np.ndarray, sub: np.ndarray, weight: np.ndarray, units: int) -> np.ndarray:
+        return self.bias + np.bincount(row, self.weights[sub] * weight, units)
+
     def scores(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -50, 50)))
 
@@ -271,30 +276,52 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
                 out += [u for u in bag if blame[u] > sure and clean[u] * n1 * 20 < toxic[u] * n0] or [max(bag, key=lambda u: (margin(u), u))]
         return out
 
+    every = sorted(set(toxic) | set(clean))
+    laid: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of as many units as fit, laid out once
+
+    def found(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k in laid:
+            return laid[k]
+        r, s, w = subsequences(every[k : k + TOGETHER])
+        if k < LAID:
+            laid[k] = r.astype(np.int32), s.astype(np.int32), w
+        return r, s, w
+
+    mapped: dict[str, np.ndarray] = {}  # what the rounds share is mapped once
+
+    def features(units: list[str]) -> np.ndarray:
+        new = sorted({u for u in units if u not in mapped})
+        mapped.update(zip(new, np.hstack([kernel(new, chosen) @ root, np.ones((len(new), 1))]), strict=True))
+        return np.array([mapped[u] for u in units])
+
     witness = witnesses(blame.__getitem__)
     model = flat
     for _ in range(rounds):
         counts = Counter(witness)
         names = sorted(counts)
         stretched = [with_inserted(u, rng) for u in names for _ in range(4) if 4 <= len(u) < UNIT]
-        x = kernel([*names, *stretched, *negatives], chosen) @ root
-        x = np.hstack([x, np.ones((len(x), 1))])
+        x = features([*names, *stretched, *negatives])
         sign = np.concatenate([np.ones(len(names) + len(stretched)), -np.ones(len(negatives))])
         weight = np.concatenate([np.array([counts[u] for u in names], float), np.full(len(stretched), 0.2), np.ones(len(negatives))])
         v = svm(x, sign, weight)
         share_of = (root @ v[:-1])[landmark]
         model = Model(np.bincount(held, weight_of * share_of, LETTERS**3), float(v[-1]), 1.0, 0.0, chosen, list(pairs))
-        every = sorted(set(toxic) | set(clean))
-        margin = dict(zip(every, model.margins(every).tolist(), strict=True))
+        margin = dict(zip(every, np.concatenate([model.margins_of(*found(k), len(every[k : k + TOGETHER])) for k in range(0, len(every), TOGETHER)]).tolist(), strict=True))
         witness = witnesses(margin.__getitem__)
         hard = sorted(clean, key=lambda u: (-margin[u], u))[:HARD]
         negatives = sorted(set(negatives) | set(hard))
     worst = np.array([max((margin[u] for u in bag), default=model.bias) for bag in bags])
-    a, b = 1.0, 0.0  # logistic curve on the worst margin, by gradient steps on balanced-free counts
-    for _ in range(4000):
-        p = 1 / (1 + np.exp(-np.clip(a * worst + b, -50, 50)))
-        a -= 0.5 * float(((p - y) * worst).mean() + 1e-4 * a)
-        b -= 0.5 * float((p - y).mean())
+    curve = np.array([1.0, 0.0])  # logistic, on the worst margin, by Newton steps
+    x = np.stack([worst, np.ones(len(worst))], 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -50, 50)))
+        slant = (x * (p - y)[:, None]).mean(axis=0) + [1e-4 * curve[0], 0.0]
+        bend = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag([1e-4, 1e-9])
+        step = np.linalg.solve(bend, slant)
+        curve -= step * min(1.0, 2.0 / np.abs(step).max()) if np.abs(step).max() else 0.0
+        if np.abs(step).max() < 1e-9:
+            break
+    a, b = curve.tolist()
     model.slope, model.shift = a, b
     return model
 
