@@ -20,7 +20,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,10 @@ THRESHOLD = 0.3
 TABLE = 64
 #: Units whose margins are computed together.
 TOGETHER = 4000
+#: Words that training remembers as folded.
+FOLDED = 50_000
 #: Units whose subsequences are kept from one round of training to the next.
-LAID = 40 * TOGETHER
+LAID = 10 * TOGETHER
 #: Words that are remembered by a worker; then those in use stay.
 REMEMBERED = 200_000
 #: Words of texts that are looked up together.
@@ -64,7 +65,6 @@ PAIRS, ALIKE = 50, 0.5
 SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
 
 
-@lru_cache(maxsize=1 << 18)
 def fold(word: str) -> str:
     """Letters of a word: lower case, without accents, look-alikes as letters, marks dropped."""
     word = word.strip(_EDGE)
@@ -139,11 +139,18 @@ def with_inserted(unit: str, rng: np.random.Generator) -> str:
     return unit[:at] + chr(97 + int(rng.integers(26))) + unit[at:]
 
 
-def units_of(text: str | None) -> list[str]:
-    """Folded words and joined runs of three or more single letters; without single letters."""
+def units_of(text: str | None, known: dict[str, str] | None = None) -> list[str]:
+    """Folded words and joined runs of three or more single letters; without
+    single letters.  known: words that are folded already, to which others are
+    added up to FOLDED."""
     out, run = [], []
+    known = {} if known is None else known
     for w in [*(text or "").split(), ""]:
-        u = fold(w)
+        u = known.get(w)
+        if u is None:
+            u = fold(w)
+            if len(known) < FOLDED:
+                known[w] = u
         if len(u) == 1:
             run.append(u)
             continue
@@ -236,10 +243,12 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     same: dict[str, str] = {}  # equal units of different texts are held once
     known = set(pairs)
     bags = []
+    folded: dict[str, str] = {}
     for t in texts:
         words = (t or "").split()
         mine = {p for w in words if w in known for p in windows(w)}
-        bags.append([same.setdefault(u, u) for u in sorted({*units_of(" ".join([w for w in words if w not in known]) if known else t), *mine})])
+        bags.append([same.setdefault(u, u) for u in sorted({*units_of(" ".join([w for w in words if w not in known]) if known else t, folded), *mine})])
+    del folded
     share = float(np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3))
     flat = Model(np.zeros(LETTERS**3), -1.0, 0.0, float(np.log(share / (1 - share))), [])
     if not len(y) or y.min() == y.max():
