@@ -21,9 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
+from tablescout.llm.common import returning
+
 #: Characters of a leaf of a text, and of an unbroken piece that is encoded at once.
 LEAF, PIECE = 2048, 512
 #: Pieces that are remembered; then it starts afresh.
@@ -290,4 +293,4 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                     yield batch(rows)
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(returning(run), schema)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.sources.scratch import remove, scratch, stored
 
-__all__ = ["WORD", "Tables", "arrow_rows", "components", "parts", "plan_bytes", "remove", "scratch", "sent", "spread", "stored"]
+__all__ = ["WORD", "Tables", "arrow_rows", "components", "parts", "plan_bytes", "remove", "returning", "scratch", "sent", "spread", "stored"]
 
 #: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +75,21 @@ def sent(table: DataFrame, row: int, more: Column | None = None, most: int | Non
     return F.broadcast(table) if size <= (BROADCAST if most is None else most) else table
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which the worker gives its free memory back:
+    Spark uses it again for other stages, and idle ones count as well."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plans that run inside give Python workers so many rows at a time at most."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import Tables, components, parts, sent, stored
+from tablescout.llm.common import Tables, components, parts, returning, sent, stored
 from tablescout.llm.dealing import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -108,7 +108,7 @@ def features(docs: DataFrame, blocks: int, bits: int, shingle: int = SHINGLE) ->
             cols = [*b.columns[:3], pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), listed]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "version", "other", "node", "size", "p0", "p1", "keys"])
 
-    return docs.select("doc_id", "version", "other", "text").mapInArrow(run, "doc_id long, version long, other long, node long, size int, p0 long, p1 long, keys array<long>")
+    return docs.select("doc_id", "version", "other", "text").mapInArrow(returning(run), "doc_id long, version long, other long, node long, size int, p0 long, p1 long, keys array<long>")
 
 
 def _apart(c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _meet(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
             yield from rows(held, fresh)
 
     dealt = keyed.select("key", "node", "size", "p0", "p1", "root", F.xxhash64("node").alias("turn"))
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(run, MET)
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "turn").mapInArrow(returning(run), MET)
 
 
 def size_class(n: np.ndarray | int) -> np.ndarray:
@@ -267,7 +267,7 @@ def _rare_pairs(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
             yield from pairs(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = keyed.select("key", "node", "size", "p0", "p1", "root", "side")
-    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(returning(run), "a long, b long")
 
 
 def _sets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, tables: Tables) -> DataFrame:
@@ -279,7 +279,7 @@ def _sets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, tables
 
     wanted = sent(tables.stored(at.join(nodes, "node", "left_semi"), "neardup-wanted"), 32)
     texts = docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"]).select("node", "text")
-    return tables.stored(texts.mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
+    return tables.stored(texts.mapInArrow(returning(run), "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
 
 
 def _rare_candidates(open_: DataFrame, sets: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -291,7 +291,7 @@ def _rare_candidates(open_: DataFrame, sets: DataFrame, n: int, similarity: floa
                 h = np.frombuffer(s.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h)], ["node", "h"])
 
-    each = sets.mapInArrow(hashes, "node long, h long")
+    each = sets.mapInArrow(returning(hashes), "node long, h long")
     shared = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
     order = F.transform(F.array_sort(F.collect_list(F.struct("times", "h"))), lambda x: x["h"]).alias("hashes")
     ranked = each.join(shared, "h").groupBy("node").agg(order)  # a node's own shingles
@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFram
             yield b.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     joined = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(returning(run), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

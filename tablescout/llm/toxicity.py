@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import stored
+from tablescout.llm.common import returning, stored
 
 DECAY = 0.6
 #: Characters that a subsequence may span.
@@ -286,6 +286,8 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         return out
 
     every = sorted(set(toxic) | set(clean))
+    place = {u: k for k, u in enumerate(every)}
+    harmless = np.array([k for k, u in enumerate(every) if u in clean], np.int64)
     laid: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of as many units as fit, laid out once
 
     def found(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,11 +317,11 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         v = svm(x, sign, weight)
         share_of = (root @ v[:-1])[landmark]
         model = Model(np.bincount(held, weight_of * share_of, LETTERS**3), float(v[-1]), 1.0, 0.0, chosen, list(pairs))
-        margin = dict(zip(every, np.concatenate([model.margins_of(*found(k), len(every[k : k + TOGETHER])) for k in range(0, len(every), TOGETHER)]).tolist(), strict=True))
-        witness = witnesses(margin.__getitem__)
-        hard = sorted(clean, key=lambda u: (-margin[u], u))[:HARD]
+        margin = np.concatenate([model.margins_of(*found(k), len(every[k : k + TOGETHER])) for k in range(0, len(every), TOGETHER)])
+        witness = witnesses(lambda u: margin[place[u]])
+        hard = [every[k] for k in harmless[np.argsort(-margin[harmless], kind="stable")[:HARD]]]
         negatives = sorted(set(negatives) | set(hard))
-    worst = np.array([max((margin[u] for u in bag), default=model.bias) for bag in bags])
+    worst = np.array([max((margin[place[u]] for u in bag), default=model.bias) for bag in bags])
     curve = np.array([1.0, 0.0])  # logistic, on the worst margin, by Newton steps
     x = np.stack([worst, np.ones(len(worst))], 1)
     for _ in range(100):
@@ -450,7 +452,7 @@ def chosen(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_co
             bags, pairs = ([" ".join(sorted(set(of(t)))) for t in texts] for of in (units_of, pairs_of))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), pa.array(pairs, pa.string()), b.column(2)], ["i", "bag", "pairs", "y"])
 
-    bags = stored(rows.select("i", "text", "y").mapInArrow(shrink, "i long, bag string, pairs string, y int"), "toxicity-sample").distinct()
+    bags = stored(rows.select("i", "text", "y").mapInArrow(returning(shrink), "i long, bag string, pairs string, y int"), "toxicity-sample").distinct()
     kept = None
     for y in (0, 1):
         part = bags.where(F.col("y") == y).orderBy(*first, "bag", "pairs").limit(sample)
@@ -492,7 +494,7 @@ def blamed_pairs(texts: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([u for u in toxic if evidence(toxic[u], clean[u], n1, n0) > sure], pa.string())], ["u"])
 
     # one task: the sample is bounded
-    words = stored(texts.select("bag", "y").coalesce(1).mapInArrow(blamed, "u string"), "toxicity-words")
+    words = stored(texts.select("bag", "y").coalesce(1).mapInArrow(returning(blamed), "u string"), "toxicity-words")
     each = texts.select("y", F.explode(F.split("pairs", " ")).alias("p")).where("p <> ''")
     sides = F.split("p", "[+]")
     each = each.groupBy(sides[0].alias("a"), sides[1].alias("b"), sides[2].alias("before"), "y").agg(F.count("*").alias("n"))
@@ -527,7 +529,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     i = F.col(id_col).cast("long")
-    return docs.select(i.alias("doc_id"), held_out(i).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(i.alias("doc_id"), held_out(i).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(returning(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -542,7 +544,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # trained by one task of an executor: the sample is bounded
-    got = kept.select("i", "bag", "y").coalesce(1).mapInArrow(run, "model binary").collect()
+    got = kept.select("i", "bag", "y").coalesce(1).mapInArrow(returning(run), "model binary").collect()
     return pickle.loads(got[0].model) if got else train([], [])
 
 
@@ -565,4 +567,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
                 part = b.slice(lo, 1000)
                 yield part.filter(pa.array(shared.value.scores(scorer.worst(part.column(at).to_pylist())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
