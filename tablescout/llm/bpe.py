@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 

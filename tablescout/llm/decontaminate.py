@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import plan_bytes, stored
+from tablescout.llm.common import plan_bytes, returning, stored
 from tablescout.llm.dealing import BASE, mix
 from tablescout.llm.substrings import word_hashes
 
@@ -140,7 +140,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], ["item_id", "doc_id", "n_shingles", "n_shared", "containment"])
 
-        found = given.mapInArrow(run, "item_id long, doc_id long, n_shingles long, n_shared long, containment double")
+        found = given.mapInArrow(returning(run), "item_id long, doc_id long, n_shingles long, n_shared long, containment double")
         if several:  # one index at a time
             found = stored(found, "contained")
             index.unpersist()
@@ -168,7 +168,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             for b in batches:
                 yield b.filter(pa.array([not index.value.search(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(returning(run), docs.schema)
         if several:  # one index at a time
             docs = stored(docs, "without-items")
             index.unpersist()
