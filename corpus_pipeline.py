@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import bpe, decontaminate, linededup, neardup, toxicity
-from tablescout.llm.common import stored
+from tablescout.llm.common import arrow_rows, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that a Python worker is given at a time: whole texts, so few.
+ROWS = 1000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with arrow_rows(spark, ROWS):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
     return docs
