@@ -24,36 +24,41 @@ def hashed(x, seed=42):
     return h - (1 << 64) if h >> 63 else h
 
 
-def cut(text, window, divisor, least):
+def cut(text, window, divisor, least, cuts):
+    """(first line, line after the last) of chunks of two lines or more, of all cuts."""
     lines = text.split("\n")
     hs = [hashed(x) for x in lines]
-    out, begin = [], 0
-    for k in range(len(lines)):
-        roll = 17
-        for h in hs[max(0, k - window + 1) : k + 1]:
-            roll = hashed(h, hashed(roll))
-        if k + 1 == len(lines) or (roll % divisor == 0 and k + 1 - begin >= least):
-            out.append("\n".join(lines[begin : k + 1]))
-            begin = k + 1
-    return out
-
-
-def brute(docs, window, divisor, least):
+    out = set()
+    for bits in range(0, 8 * cuts, 8):
+        begin = 0
+        for k in range(len(lines)):
+            roll = 17
+            for h in hs[max(0, k - window + 1) : k + 1]:
+                roll = hashed(h, hashed(roll))
+            roll = roll if not bits else (roll & ((1 << 64) - 1)) >> bits
+            if k + 1 == len(lines) or (roll % divisor == 0 and k + 1 - begin >= least):
+                if k > begin:
+                    out.add((begin, k + 1))
+                begin = k + 1
+    return lines, out
+
+
+def brute(docs, window=linededup.WINDOW, divisor=linededup.DIVISOR, least=linededup.LEAST, cuts=linededup.CUTS):
     first = {}
+    all_cut = {t: cut(t, window, divisor, least, cuts) for _, t in docs if t is not None}
     for i, t in docs:
-        for k, c in enumerate(cut(t, window, divisor, least) if t is not None else []):
-            if "\n" in c:
-                at = (place(i), k, hashed(t))
-                first[c] = min(first.get(c, at), at)
+        for b, e in all_cut[t][1] if t is not None else []:
+            c, at = "\n".join(all_cut[t][0][b:e]), (place(i), b, hashed(t))
+            first[c] = min(first.get(c, at), at)
     out = []
     for i, t in docs:
         if t is None:
             out.append((i, None, 0, 0, 0))
             continue
-        chunks = cut(t, window, divisor, least)
-        gone = [k for k, c in enumerate(chunks) if "\n" in c and first[c] != (place(i), k, hashed(t))]
-        kept = [c for k, c in enumerate(chunks) if k not in gone]
-        out.append((i, "\n".join(kept) if gone else t, t.count("\n") + 1, len(gone), sum(chunks[k].count("\n") + 1 for k in gone)))
+        lines, chunks = all_cut[t]
+        lost = [(b, e) for b, e in chunks if first["\n".join(lines[b:e])] != (place(i), b, hashed(t))]
+        gone = {k for b, e in lost for k in range(b, e)}
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(lost), len(gone)))
     return out
 
 
@@ -67,12 +72,12 @@ def given():
     return docs + texts()
 
 
-@pytest.mark.parametrize(("window", "divisor", "least", "sent"), [(1, 2, 2, 1 << 24), (1, 2, 2, -1), (3, 4, 1, 1 << 24), (2, 3, 3, 0)])
-def test_chunks_against_brute_force(spark, monkeypatch, window, divisor, least, sent):
+@pytest.mark.parametrize(("window", "divisor", "least", "cuts", "sent"), [(2, 2, 2, 4, 1 << 24), (1, 2, 2, 1, -1), (3, 4, 1, 8, 1 << 24), (2, 3, 3, 2, 0)])
+def test_chunks_against_brute_force(spark, monkeypatch, window, divisor, least, cuts, sent):
     monkeypatch.setattr(linededup, "BROADCAST", sent)
     docs = given()
-    got = linededup.drop_repeated_chunks(made(spark, docs), window=window, divisor=divisor, least=least, carry=["a"]).collect()
-    want = brute(docs, window, divisor, least)
+    got = linededup.drop_repeated_chunks(made(spark, docs), window=window, divisor=divisor, least=least, cuts=cuts, carry=["a"]).collect()
+    want = brute(docs, window, divisor, least, cuts)
     assert sorted(map(str, [tuple(x)[:5] for x in got])) == sorted(map(str, want)) and sum(x[3] for x in want) > 100
     assert {x.a for x in got} == {"y"}
 
