@@ -1,6 +1,6 @@
 """CSV datasets with JSON metadata beside them: `<name>.csv`, `<name>_metadata.json`.
 
-Paths go through Hadoop's file systems, so any store Spark reads will do."""
+A large dataset is a folder `<name>.csv` of CSV files, each with the header.  Paths go through Hadoop's file systems, so any store Spark reads will do."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import io
 import json
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
 from typing import Any
 from urllib.parse import unquote
 
@@ -23,6 +24,10 @@ from tablescout.sources import csvtext
 from tablescout.sources.scratch import measured, stored
 
 META = "_metadata.json"
+#: Data of more bytes, as estimated, are saved as a folder of files, by many tasks.
+ONE_FILE = 16 << 20
+#: Estimates from here on mean that the optimizer knows nothing.
+UNKNOWN = 1 << 54
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -47,9 +52,17 @@ def _names(spark: SparkSession, folder: str) -> set[str]:
     return {s.getPath().getName() for s in fs.listStatus(p) if s.isFile()}
 
 
-def _file(column: str = "file") -> Column:
-    """The last part of a file's path, as it is called in its folder."""
-    return F.url_decode(F.replace(F.element_at(F.split(F.col(column), "/"), -1), F.lit("+"), F.lit("%2B")))
+def _parts(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Subfolder that ends in .csv -> paths of its files, of those that have any."""
+    p, fs = _hadoop(spark, folder)
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    parts = {n: [f"{folder}/{n}/{f}" for f in sorted(_names(spark, f"{folder}/{n}")) if not f.startswith((".", "_"))] for n in found if n.endswith(".csv") and not n.startswith((".", "_"))}
+    return {n: paths for n, paths in parts.items() if paths}
+
+
+def _file(column: str = "file", at: int = -1) -> Column:
+    """The last part of a file's path, as it is called in its folder; at -2, the folder's name."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col(column), "/"), at), F.lit("+"), F.lit("%2B")))
 
 
 def _names_in(header: str | None) -> list[str]:
@@ -62,8 +75,8 @@ def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(_names_in(h)) for h in b.column("header").to_pylist()], pa.int32())], [*b.schema.names, "width"])
 
 
-def inventory(spark: SparkSession, paths: list[str], multiline: bool | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """file, path, breaks, header, width of each CSV that is not empty, as a
+def inventory(spark: SparkSession, paths: list[str], multiline: bool | None = None, at: int = -1) -> tuple[DataFrame, DataFrame | None]:
+    """file (at -2, its folder), path, breaks, header, width of each CSV that is not empty, as a
     written table: whether a line holds an odd number of quotes, so that a cell
     may go on in the next, and the header's record and number of columns.  One
     scan of all files, whatever their number; the records of files with breaks
@@ -80,11 +93,11 @@ def inventory(spark: SparkSession, paths: list[str], multiline: bool | None = No
     broken = [r.path for r in plain.where("breaks").select("path").toLocalIterator()]
     found = None
     if broken:
-        by_name = {p.rsplit("/", 1)[-1]: p for p in paths}
-        found = csvtext.records(spark, [by_name[unquote(p.rsplit("/", 1)[-1])] for p in broken])
+        by_name = {tuple(p.split("/")[at:]): p for p in paths}
+        found = csvtext.records(spark, [by_name[tuple(unquote(x) for x in p.split("/")[at:])] for p in broken])
         tops = found.where("top").select(F.col("file").alias("path"), F.lit(True).alias("breaks"), F.col("record").alias("header"))
         plain = plain.where("not breaks").unionByName(tops)
-    return stored(plain.select(_file("path").alias("file"), "path", "breaks", "header").mapInArrow(_widths, schema), "csv-inventory"), found
+    return stored(plain.select(_file("path", at).alias("file"), "path", "breaks", "header").mapInArrow(_widths, schema), "csv-inventory"), found
 
 
 def _parsed_metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +183,14 @@ def load_dataset(spark: SparkSession, folder: str, name: str, include_metadata:
     """All columns as strings, missing-value literals as null.  Raises
     FileNotFoundError for a missing CSV first, then for missing metadata unless
     include_metadata is False, which gives none even if there is a file."""
-    return _load(spark, folder, [name], _names(spark, folder), include_metadata, multiline)[name]
+    return _load(spark, folder, [name], _names(spark, folder), _parts(spark, folder), include_metadata, multiline)[name]
 
 
 def load_folder(spark: SparkSession, folder: str, include_metadata: bool = True, multiline: bool | None = None) -> dict[str, Dataset]:
-    """Datasets of a folder, not of its subfolders, in name order: files that
-    end in .csv (this case) and not in _metadata.csv."""
-    files = _listed(spark, folder)
-    return _load(spark, folder, dataset_names(files), files, include_metadata, multiline)
+    """Datasets of a folder, not of its subfolders, in name order: files, and
+    folders of files, that end in .csv (this case) and not in _metadata.csv."""
+    files, parts = _listed(spark, folder), _parts(spark, folder)
+    return _load(spark, folder, dataset_names(files | set(parts)), files, parts, include_metadata, multiline)
 
 
 def _listed(spark: SparkSession, folder: str) -> set[str]:
@@ -209,21 +222,32 @@ def _required(folder: str, names: list[str], files: set[str], include_metadata:
             raise FileNotFoundError(f"Metadata file {folder}/{name}{META} not found.")
 
 
-def _load(spark: SparkSession, folder: str, names: list[str], files: set[str], include_metadata: bool, multiline: bool | None) -> dict[str, Dataset]:
-    _required(folder, names, files, include_metadata)
+def _inventories(spark: SparkSession, folder: str, names: list[str], parts: Mapping[str, list[str]], multiline: bool | None) -> Iterator[tuple[int, DataFrame, DataFrame | None]]:
+    """The `inventory` of single files, then of the files of folders, each with where in a path the dataset's name is."""
+    yield -1, *inventory(spark, [f"{folder}/{n}.csv" for n in names if f"{n}.csv" not in parts], multiline)
+    split = [p for n in names for p in parts.get(f"{n}.csv", ())]
+    if split:
+        yield -2, *inventory(spark, split, multiline, -2)
+
+
+def _load(spark: SparkSession, folder: str, names: list[str], files: set[str], parts: Mapping[str, list[str]], include_metadata: bool, multiline: bool | None) -> dict[str, Dataset]:
+    _required(folder, names, files | set(parts), include_metadata)
     metadata = read_metadata(spark, [f"{folder}/{n}{META}" for n in names]) if include_metadata else {}
-    listed, found = inventory(spark, [f"{folder}/{n}.csv" for n in names], multiline)
-    known = {r.file: r for r in listed.toLocalIterator()}
+    known = defaultdict(list)
+    for _, listed, found in _inventories(spark, folder, names, parts, multiline):
+        for r in listed.where("width > 0").orderBy("path").toLocalIterator():
+            known[r.file].append((r, found))
     out = {}
     for name in names:
-        r = known.get(f"{name}.csv")
-        if r is None or not r.width:
-            data = spark.createDataFrame([], T.StructType([]))
-        elif r.breaks:
-            data = _cleaned(csvtext.parsed(found.where(F.col("file") == r.path), r.width), r.width)
-        else:
-            data = read_csv(spark, [f"{folder}/{name}.csv"], r.width)
-        out[name] = Dataset(name, data.drop("_file").toDF(*_unique(_names_in(r.header))) if r and r.width else data, metadata.get(f"{name}{META}"))
+        rows = known[f"{name}.csv"]
+        data = spark.createDataFrame([], T.StructType([]))
+        if rows:
+            (first, found), width = rows[0], rows[0][0].width
+            broken, plain = ([r.path for r, _ in rows if r.breaks is b] for b in (True, False))
+            read = [_cleaned(csvtext.parsed(found.where(F.col("file").isin(broken)), width), width)] if broken else []
+            read += [read_csv(spark, [unquote(p) if "%" in p else p for p in plain], width)] if plain else []
+            data = reduce(DataFrame.unionByName, read).drop("_file").toDF(*_unique(_names_in(first.header)))
+        out[name] = Dataset(name, data, metadata.get(f"{name}{META}"))
     return out
 
 
@@ -231,27 +255,41 @@ def load_collection(spark: SparkSession, folder: str, include_metadata: bool = T
     """A folder of many datasets as a collection, in name order, whatever their
     number: executors read metadata, headers and cells; files of as many columns
     are one scan.  The driver lists the folder."""
-    files = _listed(spark, folder)
-    names = dataset_names(files)
-    _required(folder, names, files, include_metadata)
+    files, parts = _listed(spark, folder), _parts(spark, folder)
+    names = dataset_names(files | set(parts))
+    _required(folder, names, files | set(parts), include_metadata)
     catalog = read_catalog(spark, folder, names, include_metadata)
     text = spark.createDataFrame([], "dataset_name string, cell string")
-    for data in read_groups(spark, *inventory(spark, [f"{folder}/{n}.csv" for n in names], multiline)):
-        data = data.withColumn("_file", F.struct(dataset_name(_file("_file")).alias("name")))  # a struct is not searched
-        text = text.unionByName(cells(data, F.col("_file.name")))
+    for at, listed, found in _inventories(spark, folder, names, parts, multiline):
+        for data in read_groups(spark, listed, found):
+            data = data.withColumn("_file", F.struct(dataset_name(_file("_file", at)).alias("name")))  # a struct is not searched
+            text = text.unionByName(cells(data, F.col("_file.name")))
     return Collection(catalog, text)
 
 
+def _is_small(data: DataFrame) -> bool:
+    """Whether data have up to ONE_FILE bytes, by the optimizer's estimate; where it knows nothing, by their cells."""
+    size = int(str(data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = data.agg(F.sum(sum([F.coalesce(F.octet_length(F.col(f"`{c.replace('`', '``')}`").cast("string")), F.lit(0)) for c in data.columns], F.lit(1)).cast("long"))).first()[0] or 0
+    return size <= ONE_FILE
+
+
 def save_dataset(folder: str, name: str, data: DataFrame, metadata: Mapping[str, Any] | None = None) -> None:
-    """Writes one CSV (one task writes it) and, if there is any, its metadata, as `load_dataset` reads them."""
+    """Writes data and, if there is any, its metadata, as `load_dataset` reads
+    them: up to ONE_FILE bytes as one CSV, which one task writes, more as a
+    folder of CSVs, one of each task."""
     spark = data.sparkSession
     apart, fs = _hadoop(spark, f"{folder}/.{name}.writing")
-    data.coalesce(1).write.mode("overwrite").csv(f"{folder}/.{name}.writing", header=True, escape='"', emptyValue="", nullValue="", quoteAll=False)
-    part = next(s.getPath() for s in fs.listStatus(apart) if s.getPath().getName().startswith("part-"))
+    small = _is_small(data)
+    (data.coalesce(1) if small else data).write.mode("overwrite").csv(f"{folder}/.{name}.writing", header=True, escape='"', emptyValue="", nullValue="", quoteAll=False)
     to, _ = _hadoop(spark, f"{folder}/{name}.csv")
-    fs.delete(to, False)
-    fs.rename(part, to)
-    fs.delete(apart, True)
+    fs.delete(to, True)
+    if small:
+        fs.rename(next(s.getPath() for s in fs.listStatus(apart) if s.getPath().getName().startswith("part-")), to)
+        fs.delete(apart, True)
+    else:
+        fs.rename(apart, to)
     if metadata is not None:
         stream = fs.create(_hadoop(spark, f"{folder}/{name}{META}")[0], True)
         try:
