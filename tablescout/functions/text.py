@@ -32,7 +32,12 @@ def content_normalize(text: Column) -> Column:
 
 def tokens(normalized: Column) -> Column:
     """Words of a normalised text; empty and blank texts have none."""
-    return F.filter(F.split(F.trim(normalized), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.trim(normalized), " "), "")  # a lambda would keep `explode` out of code generation
+
+
+def words_of_content(text: Column) -> Column:
+    """`tokens` of `content_normalize`, cut in one go: a text that was lower-cased stays as it is when that is done again."""
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
 def long_enough(word: Column) -> Column:

@@ -3,14 +3,15 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.functions.text import content_normalize, is_content_word, normalize, tokens
+from tablescout.functions.text import is_content_word, normalize, tokens, words_of_content
 from tablescout.operators.collection import Collection
+from tablescout.sources.scratch import measured, stored
 
 
 def content_tokens(cells: DataFrame) -> DataFrame:
     """(dataset_name, word), a row for each content word.  Words never span
     cells, so each cell is cut on its own and no dataset becomes one string."""
-    words = cells.select("dataset_name", F.explode(tokens(content_normalize(F.col("cell")))).alias("word"))
+    words = cells.select("dataset_name", F.explode(words_of_content(F.col("cell"))).alias("word"))
     return words.where(is_content_word(F.col("word")))
 
 
@@ -24,6 +25,24 @@ def metadata_tokens(catalog: DataFrame) -> DataFrame:
     return catalog.where("has_metadata").select("dataset_name", F.explode(tokens(normalize(metadata_text()))).alias("word"))
 
 
+def metadata_counts(catalog: DataFrame) -> DataFrame:
+    """word, cnt, n_datasets: how often titles and descriptions hold a word, and
+    those of how many datasets.  Where a dataset is one row, a word's first
+    place in the row is counted, so that tasks sum before the shuffle; pairs of
+    word and dataset are made only of names that several rows share, or none has."""
+    described = catalog.where("has_metadata").select("dataset_name", metadata_text().alias("text"))
+    shared = described.groupBy("dataset_name").agg(F.count("*").alias("n")).where("n > 1 or dataset_name is null").select(F.col("dataset_name").alias("shared"))
+    shared = measured(stored(shared, "shared-names"), F.octet_length("shared"))
+    same = F.col("dataset_name").eqNullSafe(F.col("shared"))
+    # each word of a row beside the one before it in order
+    words = F.sort_array(tokens(normalize(F.col("text"))))
+    beside = described.join(shared, same, "left_anti").select(words.alias("words")).select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), "words").alias("before"))))
+    once = beside.where("word is not null").select("word", F.lit(1).alias("cnt"), (F.col("word") != F.col("before")).cast("long").alias("n_datasets"))
+    pairs = count_words(described.join(shared, same, "left_semi").select("dataset_name", F.explode(tokens(normalize(F.col("text")))).alias("word")))
+    several = pairs.select("word", "cnt", F.col("dataset_name").isNotNull().cast("long").alias("n_datasets"))
+    return once.unionByName(several).groupBy("word").agg(F.sum("cnt").alias("cnt"), F.sum("n_datasets").alias("n_datasets"))
+
+
 def count_words(words: DataFrame) -> DataFrame:
     """(dataset_name, word, cnt); summed on the map side, then one shuffle."""
     return words.groupBy("dataset_name", "word").agg(F.count("*").alias("cnt"))

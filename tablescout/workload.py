@@ -17,7 +17,7 @@ from tablescout.operators.collection import Collection, Dataset, spread
 from tablescout.operators.index import ContentIndex
 from tablescout.operators.results import display_lines, no_result_message, positive_count
 from tablescout.operators.search import keyword_search, report
-from tablescout.operators.words import content_index, content_tokens, count_words, metadata_tokens, top_words
+from tablescout.operators.words import content_index, content_tokens, count_words, metadata_counts, top_words
 from tablescout.plans.query import DiscoveryEngine, parse_frame
 from tablescout.sources.files import dataset_name, is_dataset_file, load_collection, load_dataset, load_folder, save_dataset
 from tablescout.sources.scratch import scratch, stored
@@ -85,8 +85,7 @@ def _filtered(keep):
 
 
 def _metadata_counts(spark, sf):
-    words = metadata_tokens(meta(spark, sf).catalog)
-    return words.groupBy("word").agg(F.count("*").alias("cnt"), F.count_distinct("dataset_name").alias("n_datasets"))
+    return metadata_counts(meta(spark, sf).catalog)
 
 
 def _results_frame(spark, sf):
