@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.functions.text import normalize, tokens
+from tablescout.functions.text import is_content_word, normalize, tokens
 from tablescout.operators.collection import Collection
 from tablescout.operators.index import ContentIndex
 from tablescout.operators.ordering import SLICE, numbered
@@ -16,6 +18,8 @@ from tablescout.sources.scratch import measured, stored
 
 #: Up to this many characters the queries' words go to all executors; beyond, the joins shuffle.
 BROADCAST_CHARS = 1 << 20
+#: So many words are looked for in whole cells before these are cut into words.
+SOUGHT = 16
 RESULT = ["query", "dataset_name", "ord", "score", "rank", "used_metadata", "metadata", "top_words"]
 
 
@@ -72,7 +76,12 @@ def keyword_searches(collection: Collection, queries: Sequence[str], in_metadata
     want_top = top and not in_metadata
 
     def counted(cells: DataFrame) -> DataFrame:
-        """Of the queries' words only: the semi-join stands below the count, so other words are never shuffled."""
+        """Of the queries' words only: the semi-join stands below the count, so
+        other words are never shuffled; cells that hold none are not cut."""
+        some = [r.word for r in words.where(is_content_word(F.col("word"))).limit(SOUGHT + 1).collect()]
+        if len(some) <= SOUGHT:
+            lower = F.lower("cell")
+            cells = cells.where(reduce(or_, [F.contains(lower, F.lit(w)) for w in some], F.lit(False)))
         return count_words(content_tokens(cells).join(words, "word", "left_semi"))
 
     index = ContentIndex.of(index) if index is not None else ContentIndex.of(stored(content_index(collection), "counts")) if want_top else None

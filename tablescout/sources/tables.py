@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.operators.collection import CATALOG, Collection, cells
@@ -30,6 +30,15 @@ def _scans(spark: SparkSession, paths: list[str]) -> Iterator[DataFrame]:
         yield from _scans(spark, paths[half:])
 
 
+def _table(path: Column) -> Column:
+    """The table of a file's path: of a folder's file, the folder's name, else its own."""
+    last, folder = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    is_table = lambda x: F.endswith(x, F.lit(SUFFIX)) & (F.length(x) > len(SUFFIX))
+    name = F.when(is_table(folder), folder).when(is_table(last), last)
+    name = F.substring(name, F.lit(1), F.length(name) - len(SUFFIX))
+    return F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+
+
 def load_tables(spark: SparkSession, folder: str) -> Collection:
     """A folder's Parquet tables as a collection, in name order, without
     metadata; tables whose columns agree are one scan, with the dataset's name
@@ -38,10 +47,8 @@ def load_tables(spark: SparkSession, folder: str) -> Collection:
     names = sorted(n.removesuffix(SUFFIX) for n in children(spark, folder) if n.endswith(SUFFIX) and n != SUFFIX)
     catalog = spark.createDataFrame([(n, k, False, "", "", None) for k, n in enumerate(names)], CATALOG)
     text = spark.createDataFrame([], "dataset_name string, cell string")
-    part = rf"/([^/]+)\{SUFFIX}$", rf"/([^/]+)\{SUFFIX}/[^/]*$"  # of a file, of a folder's file
     for data in _scans(spark, [f"{folder}/{n}{SUFFIX}" for n in names]) if names else ():
-        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        table = F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in reversed(part)])
-        data = data.withColumn("_table", F.struct(table.alias("name")))  # a struct is not searched
-        text = text.unionByName(cells(data, F.col("_table.name")))
+        data = data.withColumn("_file", F.struct(F.col("_metadata.file_path").alias("path")))  # a struct is not searched
+        # the name is worked out above the cells, so that filters of these are pushed below it
+        text = text.unionByName(cells(data, F.col("_file.path")).select(_table(F.col("dataset_name")).alias("dataset_name"), "cell"))
     return Collection(catalog, text)
