@@ -15,7 +15,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -246,11 +245,6 @@ class TreeBPE:
         return pieces[:n]
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, leaf: int) -> TreeBPE:
-    return TreeBPE(path, leaf)
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -275,7 +269,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path or default_path(), leaf)
+        encoder = TreeBPE(path or default_path(), leaf)  # of this task: Spark keeps workers, whose tables would add up
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
