@@ -206,7 +206,7 @@ def _apply(order: int, bits: int = 64):
         ids = [d for d, _ in docs]
         parcel = (ids, block.folds, block.n, *(_planes(x) for x in whole))
         totals = (block.known[0], words[0], block.known[1], words[1])
-        blobs = {"parcel": pa.array([pack(parcel, 3)], pa.binary()), "tuning": pa.array([pack((block.n[block.folds == TUNING], end, [_planes(x[tuning]) for x in some]), 3)], pa.binary())}
+        blobs = {"parcel": pa.array([pack(parcel, 3)], pa.binary()), "tuning": pa.array([pack([[_planes(_narrow(x)) for x in columns] for columns in _alike([x[tuning] for x in some], block.n[block.folds == TUNING], end)], 3)], pa.binary())}
         return pa.table(blobs | {c: pa.array([x], pa.int64()) for c, x in zip(TOTALS, totals, strict=True)})
 
     return apply
@@ -223,6 +223,20 @@ def _contexts(counts: list[np.ndarray], n: np.ndarray, end: int) -> list[np.ndar
     return out
 
 
+def _alike(counts: list[np.ndarray], n: np.ndarray, end: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Counts and contexts of tokens that tune, each kind of token once, and how
+    many there are of each.  Of an n-gram never counted only its context's bucket matters."""
+    contexts = _contexts(counts, n, end)
+    for k, c in enumerate(contexts):
+        contexts[k] = np.where((counts[k + 1] > 0) | (c == 0), c, 1 << np.maximum(bucket_of(c) - 1, 0))
+    columns = [*counts, *contexts]
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if len(order) else order
+    columns = [c[first] for c in columns]
+    return columns[: len(counts)], columns[len(counts) :], [np.diff(first, append=len(order))]
+
+
 # ------------------------------------------------------------ model
 
 
@@ -266,13 +280,13 @@ def new_shares(shares: np.ndarray, chosen: np.ndarray, reached: np.ndarray) -> n
     return out
 
 
-def expected(shares: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens that chose each order, and that came down to it, by bucket."""
+def expected(shares: np.ndarray, counts: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens that chose each order, and that came down to it, by bucket; times: how many tokens each one stands for."""
     chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
     for lo in range(0, len(counts[0]), STEP):
         at = slice(lo, lo + STEP)
         parts, buckets = components(shares, [c[at] for c in counts], [c[at] for c in contexts], n, v)
-        parts /= parts.sum(axis=0)
+        parts *= (1 if times is None else times[at]) / parts.sum(axis=0)
         below = np.cumsum(parts, axis=0)
         for k in range(len(shares)):
             chosen[k] += np.bincount(buckets[k], parts[k + 1], BUCKETS)
@@ -290,9 +304,8 @@ def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROU
             chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
             for b in batches:
                 for blob in b.column(0):
-                    sizes, end, counts = unpack(blob.as_py())
-                    counts = [_unplaned(x) for x in counts]
-                    a, r = expected(shares, counts, _contexts(counts, sizes, end), n, v)
+                    counts, contexts, (times,) = ([_unplaned(x) for x in columns] for columns in unpack(blob.as_py()))
+                    a, r = expected(shares, counts, contexts, n, v, times)
                     chosen, reached = chosen + a, reached + r
             k, bucket = np.nonzero(reached)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(chosen[k, bucket]), pa.array(reached[k, bucket])], ["k", "bucket", "chosen", "reached"])

@@ -2,9 +2,10 @@
 
 import gc
 
+import numpy as np
 import pyarrow as pa
 
-from tablescout.llm import bpe
+from tablescout.llm import bpe, ngrams
 
 
 def test_workers_keep_no_encoder(spark):
@@ -17,3 +18,19 @@ def test_workers_keep_no_encoder(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "TreeBPE" for x in gc.get_objects())] * b.num_rows, pa.int64())], ["n"])
 
     assert {r.n for r in docs.select("doc_id").mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_tokens_alike_tune_once():
+    """Expected choices of each kind of token, times its number, are those of all tokens."""
+    r = np.random.default_rng(3)
+    n = r.integers(1, 9, 400)
+    size = int(n.sum())
+    counts = [r.integers(0, top, size).astype(np.uint32) for top in (40, 4, 2)]
+    contexts = ngrams._contexts(counts, n, 7)
+    a, b, (times,) = ngrams._alike(counts, n, 7)
+    assert times.sum() == size and len(times) < size and all(len(x) == len(times) for x in (*a, *b))
+    shares = ngrams.first_shares(3)
+    for want, got in zip(ngrams.expected(shares, counts, contexts, 999, 50), ngrams.expected(shares, a, b, 999, 50, times), strict=True):
+        np.testing.assert_allclose(got, want, rtol=1e-12)
+    none = ngrams._alike([x[:0] for x in counts], n[:0], 7)
+    assert [len(x) for columns in none for x in columns] == [0] * 6
