@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablescout.sources.scratch import remove, scratch, stored
 
-__all__ = ["WORD", "Tables", "arrow_rows", "components", "parts", "plan_bytes", "remove", "returning", "scratch", "sent", "spread", "stored"]
+__all__ = ["WORD", "Tables", "arrow_rows", "components", "give_back", "parts", "plan_bytes", "remove", "returning", "scratch", "sent", "spread", "stored"]
 
 #: Words of a text: runs without the six ASCII spaces.  bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,14 +82,19 @@ def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Free memory that this process's allocators hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plans that run inside give Python workers so many rows at a time at most."""

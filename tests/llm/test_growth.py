@@ -34,3 +34,32 @@ def test_tokens_alike_tune_once():
         np.testing.assert_allclose(got, want, rtol=1e-12)
     none = ngrams._alike([x[:0] for x in counts], n[:0], 7)
     assert [len(x) for columns in none for x in columns] == [0] * 6
+
+
+def test_kinds_of_pieces_are_encoded_together():
+    """Each kind of piece goes to the library once, many in one string; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(bpe.default_path())
+    tree = bpe.TreeBPE(bpe.default_path())
+    words = [chr(c) + x for c in range(0xA1, 0x180) for x in ("", "Bé", "É,", "ß.", "×", "÷;", "'s", ",,")]
+    words += ["a<|endoftext|>b", "<|endof", "text|>", "<|startoftext|>", "́e", "é", "ΑΣ", "İ,", "ﬁ", "　", "x y", "é" * 300, "E" * 600, ",", "é,", "Ã"]
+    texts = [" ".join(words), "", " \n", " ".join(reversed(words)), *words]
+    calls = []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def encode_batch_fast(self, strings, **more):
+            calls.append(len(strings))
+            return self.of.encode_batch_fast(strings, **more)
+
+    tree.words, tree.tokenizer = Counted(tree.words), Counted(tree.tokenizer)
+    for t, (n, ids, decoded) in zip(texts, tree.encode_many(texts), strict=True):
+        want = whole.encode(t, add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), whole.decode(want, skip_special_tokens=False)), t
+    assert sum(calls) < len(words) / 20
