@@ -50,8 +50,10 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids; a row for each row, null texts as empty ones."""
-    return bpe.encode(docs, with_decoded=False)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids; a row for each row, null texts as empty ones.
+    Written here, so that workers get ROWS texts at a time whoever writes the result."""
+    with arrow_rows(spark, ROWS):
+        return stored(bpe.encode(docs, with_decoded=False), "tokens")
 
 
 STAGES = [
@@ -70,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with arrow_rows(spark, ROWS):
         for name, stage in STAGES:
-            docs = stored(stage(spark, docs, sf_dir), name)
+            docs = stage(spark, docs, sf_dir)
+            docs = docs if stage is to_tokens else stored(docs, name)
     return docs

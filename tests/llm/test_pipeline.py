@@ -226,3 +226,10 @@ def test_stages_and_run(spark, sf_dir):
         frame, kept = table(spark, got), got
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((str(r.doc_id), r.ids_sha256) for r in whole) == sorted((str(r.doc_id), r.ids_sha256) for r in rows)
+
+
+def test_tokens_come_in_small_batches(spark, sf_dir):
+    """Whoever writes the last stage's result: workers have been given ROWS texts at a time."""
+    out = corpus_pipeline.to_tokens(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() == len(corpus()[0])
