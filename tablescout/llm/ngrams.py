@@ -296,8 +296,11 @@ def expected(shares: np.ndarray, counts: list[np.ndarray], contexts: list[np.nda
 
 def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROUNDS) -> np.ndarray:
     """Expectation-maximisation over all tuning tokens: each round sums the
-    expected choices of every block, a row for each order and bucket."""
+    expected choices of every block, a row for each order and bucket.  A round
+    has a task for each core, not for each block: starting one costs more than
+    a block's kinds of tokens."""
     shares = first_shares(order)
+    blocks = table.select("tuning").coalesce(max(1, table.sparkSession.sparkContext.defaultParallelism))
 
     def step(shares: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +316,7 @@ def learn_shares(table: DataFrame, order: int, n: int, v: int, rounds: int = ROU
         return run
 
     for _ in range(rounds):
-        rows = table.select("tuning").mapInArrow(step(shares), "k long, bucket long, chosen double, reached double").groupBy("k", "bucket").agg(F.sum("chosen").alias("chosen"), F.sum("reached").alias("reached")).collect()
+        rows = blocks.mapInArrow(step(shares), "k long, bucket long, chosen double, reached double").groupBy("k", "bucket").agg(F.sum("chosen").alias("chosen"), F.sum("reached").alias("reached")).collect()
         chosen, reached = np.zeros_like(shares), np.zeros_like(shares)
         for r in rows:  # at most ORDER * BUCKETS
             chosen[r.k, r.bucket], reached[r.k, r.bucket] = r.chosen, r.reached

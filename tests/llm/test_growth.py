@@ -63,3 +63,25 @@ def test_kinds_of_pieces_are_encoded_together():
         want = whole.encode(t, add_special_tokens=False).ids
         assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), whole.decode(want, skip_special_tokens=False)), t
     assert sum(calls) < len(words) / 20
+
+
+def test_rounds_of_tuning_have_a_task_a_core(spark):
+    """However many blocks there are; the shares are those of all their tokens."""
+    r = np.random.default_rng(4)
+    blobs = []
+    for _ in range(40):
+        n = r.integers(1, 9, 30)
+        counts = [r.integers(0, top, int(n.sum())).astype(np.uint32) for top in (40, 4, 2)]
+        blobs.append((bytearray(ngrams.pack([[ngrams._planes(x) for x in columns] for columns in ngrams._alike(counts, n, 7)], 3)),))
+    table = spark.createDataFrame(blobs, "tuning binary").repartition(40)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("tuning", "rounds")
+    try:
+        got = ngrams.learn_shares(table, 3, 999, 50, rounds=1)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("tuning") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages if s and s.numTasks >= 40) <= 40  # dealing them out, no round
+    shares = ngrams.first_shares(3)
+    parts = [ngrams.expected(shares, *([ngrams._unplaned(x) for x in columns] for columns in ngrams.unpack(bytes(b))[:2]), 999, 50, ngrams._unplaned(ngrams.unpack(bytes(b))[2][0])) for (b,) in blobs]
+    np.testing.assert_allclose(got, ngrams.new_shares(shares, sum(x for x, _ in parts), sum(x for _, x in parts)), rtol=1e-9)
