@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +63,18 @@ LETTERS = 48  # 0: edge of the unit, 1..26: letters, 27..47: others, by their nu
 BETWEEN = "+"
 #: Pairs at most that labelled texts may blame, most blamed first; how like a word of one a word must be.
 PAIRS, ALIKE = 50, 0.5
-SINGLE = np.float32(-9e9)  # margin that stands for a unit of one letter
+SINGLE = -9e9  # margin that stands for a unit of one letter
+NOTHING = -np.inf  # margin that stands for a word without letters
 
 
 def fold(word: str) -> str:
     """Letters of a word: lower case, without accents, look-alikes as letters, marks dropped."""
     word = word.strip(_EDGE)
     if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        word = "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", word)))
     word = word.lower()
     if not word.isalpha():
-        if any(c.isalpha() for c in word):
+        if any(map(str.isalpha, word)):
             word = word.translate(LOOK_ALIKE)
         word = "".join(filter(str.isalpha, word))
     return word
@@ -96,23 +98,32 @@ def codes(units: list[str]) -> np.ndarray:
 
 
 _OFFSETS = [(j, k) for j in range(1, SPAN) for k in range(j + 1, SPAN)]
+_NUMBER = 4  # bits that number the offsets
+_DECAYS = np.array([DECAY ** (k - 2) for _, k in _OFFSETS])
 
 
 def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, subsequence, weight), each subsequence of a unit once, scaled so
-    that a unit's kernel with itself is 1.  Rows of units without any are absent."""
-    x = codes(units)
-    rows, subs, weights = [], [], []
-    for j, k in _OFFSETS:
-        a, b, c = x[:, : x.shape[1] - k], x[:, j : x.shape[1] - k + j], x[:, k:]
-        r, p = np.nonzero(c >= 0)
-        rows.append(r)
-        subs.append((a[r, p] * LETTERS + b[r, p]) * LETTERS + c[r, p])
-        weights.append(np.full(len(r), DECAY ** (k - 2)))
-    row, sub, weight = np.concatenate(rows), np.concatenate(subs), np.concatenate(weights)
-    whole, back = np.unique(row * LETTERS**3 + sub, return_inverse=True)
-    weight = np.bincount(back, weight, len(whole))
-    row, sub = whole // LETTERS**3, whole % LETTERS**3
+    that a unit's kernel with itself is 1.  Rows of units without any are absent.
+    Units of one length are laid out together and each sorted by itself, equal
+    subsequences by their offsets."""
+    x, size = codes(units), np.fromiter(map(len, units), np.int64, len(units)) + 2
+    number = np.maximum(size[:, None] - [k for _, k in _OFFSETS], 0).sum(axis=1)
+    start = np.cumsum(number) - number
+    flat = np.empty(int(number.sum()), np.int32)
+    for n in np.flatnonzero(np.bincount(size)).tolist():
+        at = np.flatnonzero(size == n)
+        y = x[at]
+        each = [((y[:, : n - k] * LETTERS + y[:, j : n - k + j]) * LETTERS + y[:, k:n] << _NUMBER) + i for i, (j, k) in enumerate(_OFFSETS) if k < n]
+        if each:
+            each = np.concatenate(each, axis=1)
+            each.sort(axis=1)
+            flat[start[at][:, None] + np.arange(each.shape[1])] = each
+    row, sub = np.repeat(np.arange(len(units)), number), flat >> _NUMBER
+    new = np.ones(len(flat), bool)
+    new[1:] = (sub[1:] != sub[:-1]) | (row[1:] != row[:-1])
+    weight = np.bincount(np.cumsum(new) - 1, _DECAYS[flat & (1 << _NUMBER) - 1], int(new.sum()))
+    row, sub = row[new], sub[new].astype(np.int64)
     norm = np.sqrt(np.bincount(row, weight**2, len(units)))
     return row, sub, weight / norm[row]
 
@@ -349,12 +360,17 @@ class Scorer:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        folded = [fold(w) for w in new]
-        distinct = sorted({p for u in folded if len(u) > 1 for p in windows(u)})
+        new = list(words.difference(self.known))
+        folded = list(map(fold, new))
+        units = set(folded)
+        long = [u for u in units if len(u) > UNIT]
+        single = [u for u in units if len(u) == 1]
+        distinct = list(units.difference(long, single, [""]).union(*map(windows, long)))
         margin = dict(zip(distinct, self.model.margins(distinct).tolist(), strict=True))
-        for w, u in zip(new, folded, strict=True):
-            self.known[w] = SINGLE if len(u) == 1 else max((margin[p] for p in windows(u)), default=None) if u else None
+        margin |= {u: max(map(margin.__getitem__, windows(u))) for u in long}
+        margin |= dict.fromkeys(single, SINGLE)
+        margin[""] = NOTHING
+        self.known.update(zip(new, map(margin.__getitem__, folded), strict=True))
         if self.model.pairs and new:
             self._sides(new, folded)
 
@@ -383,7 +399,7 @@ class Scorer:
                 if p not in self.pairs:
                     self.pairs[p] = float(self.model.margins(windows(p)).max())
                 best = max(best, self.pairs[p])
-            if m is not None:
+            if m != NOTHING:
                 before = w if self.sides.get(w, 0) & 1 else None
             if w[-1] in ".!?":
                 before = None
@@ -407,10 +423,12 @@ class Scorer:
         get, base = self.known.__getitem__, self.model.bias
         out = []
         for words in step:
-            values = [m for m in map(get, words) if m is not None]
-            best = max(values, default=base)
+            values = list(map(get, words))
+            best = max(values, default=NOTHING)
+            if best == NOTHING:
+                best = base
             if values.count(SINGLE) >= 3:  # spaced-out words
-                runs = [u for u in self._runs(words)]
+                runs = self._runs(words, values)
                 if runs:
                     best = max(best, float(self.model.margins(runs).max()))
             if self.sides:
@@ -418,18 +436,14 @@ class Scorer:
             out.append(max(best, -1e3) if best != SINGLE else base)
         return out
 
-    def _runs(self, words: list[str]) -> list[str]:
-        out, run = [], []
-        for w in [*words, None]:
-            m = None if w is None else self.known[w]
-            if w is not None and m is not None and m == SINGLE:
-                run.append(fold(w))
-                continue
-            if w is None or m is not None:
-                if len(run) >= 3:
-                    out += windows("".join(run))
-                run = []
-        return out
+    @staticmethod
+    def _runs(words: list[str], values: list[float]) -> list[str]:
+        """Units of three or more single letters that only words without letters part."""
+        m = np.array(values)
+        lettered = np.flatnonzero(m != NOTHING)
+        single = np.concatenate(([False], m[lettered] == SINGLE, [False]))
+        edges = np.flatnonzero(single[1:] != single[:-1]).reshape(-1, 2)
+        return [u for lo, hi in edges.tolist() if hi - lo >= 3 for u in windows("".join(fold(words[k]) for k in lettered[lo:hi].tolist()))]
 
 
 def chosen(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, tuple[str, ...]]:

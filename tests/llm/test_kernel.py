@@ -1,6 +1,7 @@
 """The subsequence kernel, its Nystroem map and the machine against brute force."""
 
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -41,6 +42,48 @@ def test_kernel_against_brute_force():
     assert got[0, 1] > 0.5 > got[0, 5] and got[7, 9] > 0.5 > got[7, 8]  # inserted letters stay close, in any script
 
 
+def all_sorted_together(units):
+    """Subsequences of all units laid out in one list and sorted as a whole."""
+    x = tox.codes(units)
+    rows, subs, weights = [], [], []
+    for j, k in tox._OFFSETS:
+        a, b, c = x[:, : x.shape[1] - k], x[:, j : x.shape[1] - k + j], x[:, k:]
+        r, p = np.nonzero(c >= 0)
+        rows.append(r)
+        subs.append((a[r, p] * tox.LETTERS + b[r, p]) * tox.LETTERS + c[r, p])
+        weights.append(np.full(len(r), tox.DECAY ** (k - 2)))
+    whole, back = np.unique(np.concatenate(rows) * tox.LETTERS**3 + np.concatenate(subs), return_inverse=True)
+    weight = np.bincount(back, np.concatenate(weights), len(whole))
+    row, sub = whole // tox.LETTERS**3, whole % tox.LETTERS**3
+    return row, sub, weight / np.sqrt(np.bincount(row, weight**2, len(units)))[row]
+
+
+def test_units_are_sorted_one_by_one():
+    """Words of a corpus are mostly seen once, so their subsequences are most of the work of scoring."""
+    r = random.Random(3)
+    units = ["", "a", "", *("".join(r.choice("abcdeаб馬ß+") for _ in range(r.randint(0, tox.UNIT))) for _ in range(tox.TOGETHER)), "a" * tox.UNIT]
+    for some in (units, units[:1], units[:3], []):
+        assert all(np.array_equal(x, y) for x, y in zip(tox.subsequences(some), all_sorted_together(some), strict=True))
+
+    def took(run):
+        began = time.thread_time()
+        run(units)
+        return time.thread_time() - began
+
+    assert min(took(tox.subsequences) for _ in range(5)) < 0.8 * min(took(all_sorted_together) for _ in range(5))
+
+
+def test_words_are_folded_once(monkeypatch):
+    """Single letters that make no run are not looked at again; those of a run are, and words without letters don't part it."""
+    folded, fold = [], tox.fold
+    monkeypatch.setattr(tox, "fold", lambda w: folded.append(w) or fold(w))
+    scorer = tox.Scorer(tox.Model(np.random.default_rng(0).normal(size=tox.LETTERS**3), -1.0, 1.0, 0.0, []))
+    texts = ["lamp a river b stone c lamp d", "-", "n i - t", None, ""]
+    alone = [max(scorer.model.margins(["lamp", "river", "stone"])), -1.0, scorer.model.margins(["nit"])[0], -1.0, -1.0]
+    assert np.array_equal(scorer.worst(texts), alone)
+    assert Counter(folded) == Counter({w for t in texts for w in (t or "").split()}) + Counter("nit")
+
+
 def test_landmarks_give_the_kernel_back():
     """Of landmarks themselves the map is exact, and margins are the machine's in that space."""
     k = tox.kernel(UNITS, UNITS)
