@@ -53,6 +53,39 @@ def closed(data: bytes) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _laid(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all words, one after another, and where each begins; and the end."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return data.to_pybytes() if data else b"", offsets
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique of 64-bit hashes, with the inverse.  What is sorted are the
+    upper bits of each with its place below them: values, which sort several times
+    as fast as places.  If keys differ in lower bits alone, a second pass over
+    the nearly sorted keys puts them right."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    least, places = keys.min(), np.uint64((len(keys) - 1).bit_length())
+    dropped = np.uint64(max(0, int(keys.max() - least).bit_length() + int(places) - 64))
+    packed = keys - least
+    packed >>= dropped
+    packed <<= places
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << int(places)) - 1)).astype(np.int64)
+    keys = keys[order]
+    if dropped and (keys[1:] < keys[:-1]).any():
+        again = np.argsort(keys, kind="stable")
+        order, keys = order[again], keys[again]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], back
+
+
 def tokens(docs: list[Doc]) -> tuple[pa.Array, np.ndarray]:
     """The tokens of all documents, each text's closed by an empty one, its end; and their numbers."""
     texts = [b" ".join(t.lower().split()) for _, t in docs]
@@ -68,7 +101,7 @@ def dealt_to(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class _Block:
     """Distinct n-grams of each order, sorted by bucket: `back` (of each token),
     `counts` (in texts that train and don't tune; in those that tune), `bucket`;
-    `words` are those of order one, `keys` the hashes of the others."""
+    `words` and `offsets` are those of order one (`_laid`), `keys` the hashes of the others."""
 
     def __init__(self, docs: list[Doc], buckets: int, order: int, bits: int = 64):
         self.docs = docs
@@ -81,10 +114,11 @@ class _Block:
         encoded = given.dictionary_encode()
         words, back = encoded.dictionary, encoded.indices.to_numpy()
         words, back = self._sorted(words, back)
-        hashes = np.array([xxhash.xxh64_intdigest(w[:-1]) for w in words.to_pylist()], np.uint64)
+        data, offsets = _laid(words)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True)), np.uint64, len(words))
         bucket = dealt_to(hashes, buckets)
         dealt = np.argsort(bucket, kind="stable")
-        self.words = words.take(pa.array(dealt))
+        self.words, self.offsets = _laid(words.take(pa.array(dealt)))
         place = np.empty(len(dealt), np.int64)
         place[dealt] = np.arange(len(dealt))
         self._count(place[back], bucket[dealt], kind)
@@ -101,9 +135,9 @@ class _Block:
                 key[lo : lo + STEP] = mix(key[lo : lo + STEP])
             if k > 2:
                 key[first] = before[first]  # a first word has no longer context than the start
-            distinct, back = np.unique(key >> np.uint64(64 - bits), return_inverse=True)
-            self.keys.append(distinct)
-            self._count(back, dealt_to(distinct << np.uint64(64 - bits), buckets), kind)
+            keys, back = distinct(key >> np.uint64(64 - bits))
+            self.keys.append(keys)
+            self._count(back, dealt_to(keys << np.uint64(64 - bits), buckets), kind)
             before = key
 
     @staticmethod
@@ -128,8 +162,11 @@ class _Block:
 
 
 def _planes(x: np.ndarray) -> tuple[str, int, bytes]:
-    """Bytes of equal weight side by side, which compress well."""
-    return x.dtype.str, len(x), x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    """Bytes of equal weight side by side, which compress well; most values are small.
+    x holds whole numbers, none below zero."""
+    most = int(x.max()) if len(x) else 0
+    planes = [(x >> x.dtype.type(8 * i)).astype(np.uint8).tobytes() if most >> 8 * i else bytes(len(x)) for i in range(x.dtype.itemsize)]
+    return x.dtype.str, len(x), b"".join(planes)
 
 
 def _unplaned(p: tuple[str, int, bytes]) -> np.ndarray:
@@ -151,7 +188,7 @@ def _ask(order: int, bits: int = 64):
                     keys = block.keys[k][at[k]]  # ascend: steps have fewer bytes
                     parcel.append((_planes(np.diff(keys, prepend=np.uint64(0))), *counts))
                 else:
-                    parcel.append((b"".join(block.words[at[0]].to_pylist()), *counts))
+                    parcel.append((block.words[block.offsets[at[0].start] : block.offsets[at[0].stop]], *counts))
             yield b, parcel
 
     return ask
@@ -164,11 +201,11 @@ def _answer(order: int):
         for k in range(order):
             if k:
                 keys = np.concatenate([np.cumsum(_unplaned(p[k][0])) for p in parcels])
-                _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                found, back = distinct(keys)
             else:
                 back = closed(b"".join([p[0][0] for p in parcels])).dictionary_encode().indices.to_numpy()
-                first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1)) if len(back) else back
-            some, rest = (np.bincount(back, np.concatenate([_unplaned(p[k][c]) for p in parcels]), len(first)).astype(np.int64) for c in (1, 2))
+                first = found = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1)) if len(back) else back
+            some, rest = (np.bincount(back, np.concatenate([_unplaned(p[k][c]) for p in parcels]), len(found)).astype(np.int64) for c in (1, 2))
             stops = np.cumsum([p[k][1][1] for p in parcels])
             if k == 0:
                 owner = np.searchsorted(stops, first, side="right")

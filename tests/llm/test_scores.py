@@ -2,11 +2,13 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tablescout.llm import ngrams
 from tablescout.llm.dealing import pack, unpack
@@ -135,3 +137,41 @@ def test_more_buckets_than_words():
             parcel = unpack(row["parcel"])
             results.append(([ngrams._unplaned(x).tolist() for x in parcel[3:]], {c: row[c] for c in ngrams.TOTALS}))
         assert results[0] == results[1] == results[2]
+
+
+def test_hashes_are_numbered_by_sorting_values():
+    """As np.unique does, but faster: hashes of a block are most of op4's work."""
+    rng = np.random.default_rng(5)
+    wide = rng.integers(0, 1 << 64, 300_000, np.uint64, endpoint=False)
+    near = (wide[:2000, None] & ~np.uint64(7)) + rng.integers(0, 8, (2000, 20)).astype(np.uint64)  # alike but for their last bits
+    bucket = (np.uint64(5) << np.uint64(56)) + rng.integers(0, 1 << 40, 50_000).astype(np.uint64)
+    ends = np.array([0, (1 << 64) - 1, 0, 1], np.uint64)
+    for keys in (wide, wide >> np.uint64(17), near.ravel(), rng.permutation(np.repeat(bucket, 3)), ends, ends[:1], ends[:0]):
+        before = keys.copy()
+        got, back = ngrams.distinct(keys)
+        want, places = np.unique(keys, return_inverse=True)
+        assert np.array_equal(got, want) and np.array_equal(back, places) and np.array_equal(keys, before)
+
+    block = rng.permutation(np.repeat(wide, 6)) >> np.uint64(17)
+
+    def took(run):
+        began = time.thread_time()
+        run(block)
+        return time.thread_time() - began
+
+    assert min(took(ngrams.distinct) for _ in range(5)) < 0.8 * min(took(lambda x: np.unique(x, return_inverse=True)) for _ in range(5))
+
+
+def test_words_of_a_block_stay_bytes():
+    """What buckets are asked holds each word once, in its bucket."""
+    docs = [(1, "b Ab ab \u00e9 b".encode()), (2, b""), (None, b"  x\tab ")]
+    asked = dict(ngrams._ask(3)(docs, 4))
+    words = {w: xxhash.xxh64_intdigest(w) for w in [b"b", b"ab", "\u00e9".encode(), b"", b"x"]}
+    for b in range(4):
+        mine = {w for w, h in words.items() if ngrams.dealt_to(np.array([h], np.uint64), 4)[0] == b}
+        got = asked[b][0][0].split(b" ")[:-1] if b in asked else []
+        assert len(got) == len(mine) and set(got) == mine
+    for x in (np.array([], np.uint32), np.array([0, 255, 256, 2**32 - 1], np.uint32), np.array([3, 2**63], np.uint64), np.array([1 << 40, 0], np.int64)):
+        kind, n, data = ngrams._planes(x)
+        assert data == x.view(np.uint8).reshape(n, -1 if n else x.itemsize).T.tobytes()
+        assert np.array_equal(ngrams._unplaned((kind, n, data)), x)
